@@ -95,30 +95,33 @@ def level_edges(edges: DataFrame, keys: tuple[str, ...], levels: int) -> tuple[D
 def components(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Connected components `(keys, node, comp)` of the nodes that have an edge.
 
-    Every round each vertex takes the smallest vertex next to it, chains are shortened by two
-    jumps, and the graph is contracted; it shrinks at least by half, until no edge is left.
+    Every round each vertex takes the neighbour (or itself) with the smallest hash, chains are
+    shortened by two jumps, and the graph is contracted, until no edge is left. The hash changes
+    with the round and keeps chains short, also on graphs that are one long path.
     """
     ids = list(keys)
     graph = durable(edges.select(*keys, "a", "b"))
-    nodes = graph.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = durable(nodes.withColumn("comp", F.col("node")))
+    found = graph.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    turn = 0
     while not graph.isEmpty():
-        both = graph.unionByName(graph.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).select(
-            *keys, F.col("a").alias("v"), F.least("a", "m").alias("to"))
+        mark = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        ends = graph.select(*keys, F.explode(F.array(
+            F.struct(F.col("a").alias("v"), mark("b").alias("m")), F.struct(F.col("b").alias("v"), mark("a").alias("m"))
+        )).alias("e"))
+        step = ends.groupBy(*keys, F.col("e.v").alias("v")).agg(F.min("e.m").alias("m")).select(
+            *keys, "v", F.least(F.col("m"), mark("v"))["v"].alias("to"))
         for _ in range(2):
             ahead = step.select(*keys, F.col("v").alias("to"), F.col("to").alias("_next"))
-            step = step.join(ahead, [*ids, "to"], "left").select(
-                *keys, "v", F.coalesce("_next", "to").alias("to"))
+            step = step.join(ahead, [*ids, "to"]).select(*keys, "v", F.col("_next").alias("to"))
         step = durable(step)
-        found = durable(found.join(step.withColumnsRenamed({"v": "comp"}), [*ids, "comp"], "left").select(
-            *keys, "node", F.coalesce("to", "comp").alias("comp")))
+        found = found.join(step.withColumnsRenamed({"v": "comp"}), [*ids, "comp"], "left").select(
+            *keys, "node", F.coalesce("to", "comp").alias("comp"))
         for side in ("a", "b"):
-            graph = graph.join(step.withColumnsRenamed({"v": side}), [*ids, side], "left").withColumn(
-                side, F.coalesce("to", side)).drop("to")
+            graph = graph.join(step.withColumnsRenamed({"v": side}), [*ids, side]).drop(side).withColumnRenamed("to", side)
         graph = durable(graph.where(F.col("a") != F.col("b")).select(
             *keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return found
+        turn += 1
+    return durable(found)
 
 
 def _condense(comps: DataFrame, scale: DataFrame, sizes: DataFrame, keys: tuple[str, ...], levels: int,

@@ -189,7 +189,6 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "newest500": (("reviews",), """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY date DESC, seq) AS pos FROM reviews)
         WHERE pos <= 500"""),
-    "own_runs": (("reviews",), "SELECT DISTINCT product, isoyear(date) AS iso_year, week(date) AS iso_week FROM reviews"),
 }
 
 

@@ -51,13 +51,12 @@ def cap_per_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("top_clusters", sql(f"SELECT {RUN_SQL}, {LABEL_SQL}, size, rank FROM top", "top"))
 def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.clusters(spark, sf_dir).select(*run_columns(), label(), "size", pos_column("rank"))
+    return tables.Given(spark, sf_dir).clusters.select(*run_columns(), label(), "size", pos_column("rank"))
 
 
 @query("rank_themes", sql(f"SELECT {RUN_SQL}, {LABEL_SQL}, name, theme_no FROM themes", "themes"))
 def rank_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, _ = tables.themes(spark, sf_dir)
-    return ranked.select(*run_columns(), label(), "name", pos_column("theme_no"))
+    return tables.Given(spark, sf_dir).themes.select(*run_columns(), label(), "name", pos_column("theme_no"))
 
 
 @query("email_topk", sql(f"""
@@ -66,7 +65,7 @@ def rank_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda a: t.name || ':' || a.title))), '|') AS actions FROM reports""", "reports"))
 def email_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, actions = render.email_topk(F.col("themes"))
-    return tables.reports(spark, sf_dir).select(
+    return tables.Given(spark, sf_dir, shared=True).reports.select(
         *run_columns(), F.array_join(F.transform(top, lambda t: t["name"]), "|").alias("themes"),
         F.array_join(F.transform(actions, lambda a: F.concat(a["theme"], F.lit(":"), a["title"])), "|").alias("actions"))
 
@@ -75,7 +74,7 @@ def email_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {RUN_SQL}, t.label::BIGINT AS label, array_to_string(list_transform(t.quotes[1:3], lambda q: q.text), '|') AS quotes
     FROM (SELECT {RUN}, unnest(themes) AS t FROM reports)""", "reports"))
 def quote_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.reports(spark, sf_dir).select(*RUN_KEY, F.explode("themes").alias("t"))
+    rows = tables.Given(spark, sf_dir, shared=True).reports.select(*RUN_KEY, F.explode("themes").alias("t"))
     return rows.select(
         *run_columns(), F.col("t.cluster_label").cast("long").alias("label"),
         F.array_join(F.transform(render.quote_topk(F.col("t.quotes")), lambda q: q["text"]), "|").alias("quotes"))
@@ -166,8 +165,8 @@ def embedding_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("validate_quotes", sql(f"SELECT {RUN_SQL}, {LABEL_SQL}, quote_no, text, validated FROM checked", "checked"))
 def validate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, asked = tables.themes(spark, sf_dir)
-    checked = quotes.validate_quotes(asked, tables.members(spark, sf_dir))
+    given = tables.Given(spark, sf_dir, shared=True)
+    checked = quotes.validate_quotes(given.quotes, given.top_members)
     return checked.select(*run_columns(), label(), pos_column("quote_no"), "text", "validated")
 
 
@@ -175,14 +174,15 @@ def validate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {RUN_SQL}, {LABEL_SQL}, quote_no, review_id, CAST(rating AS BIGINT) AS rating, store, {when_sql('date')} AS date
     FROM checked WHERE validated""", "checked"))
 def quote_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.checked_quotes(spark, sf_dir).where("validated").select(
+    return tables.Given(spark, sf_dir, shared=True).checked.where("validated").select(
         *run_columns(), label(), pos_column("quote_no"), "review_id", pos_column("rating"), "store",
         when_text("date").alias("date"))
 
 
 @query("runs_with_preview", sql(_PREVIEW_SQL, "run_ledger", "reports"))
 def runs_with_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_preview(spark, sf_dir, tables.reports(spark, sf_dir))
+    given = tables.Given(spark, sf_dir, shared=True)
+    rows = _with_preview(given, given.reports)
     return rows.select(
         *run_columns(), "run_id", "status", "doc_id", "preview.theme_name", "preview.quote", "preview.action")
 
@@ -190,7 +190,8 @@ def runs_with_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("report_with_product", sql(f"""
     SELECT {RUN_SQL}, display_name, doc_id, total_reviews, CAST(len(themes) AS BIGINT) AS themes FROM reports""", "reports"))
 def report_with_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readside.reports_with_product(tables.reports(spark, sf_dir), tables.products(spark, sf_dir))
+    given = tables.Given(spark, sf_dir, shared=True)
+    rows = readside.reports_with_product(given.reports, given.products)
     return rows.select(
         *run_columns(), "display_name", "doc_id", "stats.total_reviews", F.size("themes").cast("long").alias("themes"))
 
@@ -230,8 +231,8 @@ def anchor_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
       THEN 'resume' WHEN status = 'failed' THEN 'run' WHEN delivered THEN 'skip' ELSE 'run' END AS decision
     FROM ({_DELIVERED_SQL} FROM ({_GRID_SQL}) g) LEFT JOIN run_ledger USING ({RUN})""", "products", "published", "run_ledger"))
 def idempotency_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = tables.products(spark, sf_dir)
-    known = tables.run_records(tables.grid_of(tables.slim_members(spark, sf_dir), listed))
+    given = tables.Given(spark, sf_dir)
+    listed, known = given.products, tables.run_records(given.grid)
     rows = ledger_ops.idempotency_decision(
         ingest.run_grid(listed, _WEEKS), known, tables.published(spark, sf_dir), listed)
     return rows.select(*run_columns(), "decision")
@@ -286,7 +287,7 @@ def noise_count(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(count(*) FILTER (validated) / count(*), 6) AS rate,
       count(*) FILTER (validated) / count(*) < 0.5 AS low FROM checked GROUP BY ALL""", "checked"))
 def quote_validation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quotes.quote_validation_rate(tables.checked_quotes(spark, sf_dir), (*RUN_KEY, "label"))
+    rows = quotes.quote_validation_rate(tables.Given(spark, sf_dir, shared=True).checked, (*RUN_KEY, "label"))
     return rows.select(
         *run_columns(), label(), F.col("quotes_proposed").alias("proposed"), F.col("quotes_validated").alias("validated"),
         F.round("rate", 6).alias("rate"), "low")
@@ -307,7 +308,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
       input_tokens + output_tokens > 20000 AS over_tokens, cost > 0.02 AS over_cost
     FROM costs WHERE input_tokens + output_tokens > 20000 OR cost > 0.02""", "costs"))
 def cost_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = cost.run_cost(tables.run_calls(tables.clusters(spark, sf_dir)))
+    totals = cost.run_cost(tables.run_calls(tables.Given(spark, sf_dir).clusters))
     rows = cost.cost_alerts(totals, 20_000, 0.02)
     return rows.select(
         *run_columns(), "input_tokens", "output_tokens", F.round("estimated_cost_usd", 6).alias("cost_usd"),
@@ -320,12 +321,7 @@ _COUNTERS = ("total_reviews", "appstore_reviews", "playstore_reviews", "clusters
 
 @query("run_stats", sql(f"SELECT {RUN_SQL}, {', '.join(_COUNTERS)}, round(cost, 8) AS cost_usd FROM stats", "stats"))
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = tables.slim_members(spark, sf_dir)
-    top = cluster.top_clusters(cluster.cluster_sizes(slim))
-    ranked, asked = tables.themes(spark, sf_dir)
-    checked = quotes.validate_quotes(asked, tables.members(spark, sf_dir))
-    rows = report.run_stats(
-        report.counts_by_store(slim), cluster.noise_count(slim), top, ranked, checked, cost.run_cost(tables.run_calls(top)))
+    rows = tables.Given(spark, sf_dir, shared=True).stats
     return rows.select(*run_columns(), *_COUNTERS, F.round("estimated_cost_usd", 8).alias("cost_usd"))
 
 
@@ -338,7 +334,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assemble_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = lambda field, sub: F.array_join(F.flatten(F.transform(
         "themes", lambda t: F.transform(t[field], lambda x: x[sub]))), "|")
-    return tables.reports(spark, sf_dir).select(
+    return tables.Given(spark, sf_dir, shared=True).reports.select(
         *run_columns(), "display_name", when_text("review_window_start").alias("window_start"),
         F.array_join(F.transform("themes", lambda t: F.concat_ws(
             "/", t["name"], t["review_count"].cast("string"), t["description"])), "|").alias("themes"),
@@ -454,8 +450,7 @@ _SHOWN = _sanitize_sql("CASE WHEN title IS NULL THEN body ELSE title || ' - ' ||
           row_number() OVER (PARTITION BY {RUN}, label ORDER BY pos) AS n
           FROM members JOIN (SELECT {RUN}, label FROM top) USING ({RUN}, label)) GROUP BY ALL""", "members", "top"))
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = tables.clusters(spark, sf_dir).select(*RUN_KEY, "label")
-    found = tables.members(spark, sf_dir).join(top, [*RUN_KEY, "label"], "left_semi")
+    found = tables.Given(spark, sf_dir, shared=True).top_members
     return themes.build_prompts(found).select(*run_columns(), label(), F.md5("prompt").alias("prompt"))
 
 
@@ -472,8 +467,7 @@ def _first_review(prompt: str) -> tuple[str, int, int]:
 
 @query("summarize_clusters")
 def summarize_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = tables.clusters(spark, sf_dir).select(*RUN_KEY, "label")
-    found = tables.members(spark, sf_dir).join(top, [*RUN_KEY, "label"], "left_semi")
+    found = tables.Given(spark, sf_dir, shared=True).top_members
     answers = themes.summarize_clusters(themes.build_prompts(found), _first_review)
     parsed = themes.parse_themes(answers)
     return parsed.select(

@@ -13,7 +13,7 @@ from voxloom.plans import tables
 from voxloom.plans.catalog import RUN_SQL, longs, query, run_columns, when_sql, when_text
 from voxloom.plans.oracle import RUN, STAGES, hits, scrub, scrub_stage, sql
 from voxloom.schemas import RUN_KEY, SCRAPE_ROW
-from voxloom.session import scratch_path
+from voxloom.session import durable, scratch_path
 from voxloom.sources import feeds, ledger_store, registry, review_store
 
 PAGE_ROWS = 1000
@@ -137,7 +137,7 @@ def write_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
       total_reviews, quotes_validated FROM reports""", "reports"))
 def write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "reports")
-    review_store.write_reports(tables.reports(spark, sf_dir), path)
+    review_store.write_reports(tables.Given(spark, sf_dir, shared=True).reports, path)
     first = F.get("themes", F.lit(0))
     return review_store.read_reports(spark, path).select(
         *run_columns(), "display_name", F.size("themes").cast("long").alias("themes"), first["name"].alias("first_theme"),
@@ -160,18 +160,17 @@ _PREVIEW_SQL = f"""
       themes[1].actions[1].title AS action FROM run_ledger JOIN reports USING ({RUN})"""
 
 
-def _with_preview(spark: SparkSession, sf_dir: str, reports: DataFrame) -> DataFrame:
-    listed = tables.products(spark, sf_dir)
-    runs = tables.run_records(tables.grid_of(tables.slim_members(spark, sf_dir), listed))
-    return readside.runs_with_preview(runs, listed, reports)
+def _with_preview(given: tables.Given, reports: DataFrame) -> DataFrame:
+    return readside.runs_with_preview(tables.run_records(given.grid), given.products, reports)
 
 
 @query("static_snapshot", sql(_PREVIEW_SQL, "run_ledger", "reports"))
 def static_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "snapshot")
-    reports = tables.reports(spark, sf_dir)
-    runs = _with_preview(spark, sf_dir, reports)
-    review_store.write_snapshot(runs, readside.reports_with_product(reports, tables.products(spark, sf_dir)), path)
+    given = tables.Given(spark, sf_dir, shared=True)
+    reports = durable(given.reports)
+    runs = _with_preview(given, reports)
+    review_store.write_snapshot(runs, readside.reports_with_product(reports, given.products), path)
     return spark.read.schema(runs.schema).json(f"{path}/runs").select(
         *run_columns(), "run_id", "status", "doc_id", "preview.theme_name", "preview.quote", "preview.action")
 
@@ -184,7 +183,7 @@ def static_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
       || array_to_string(list_transform(t.actions, lambda a: '- ' || a.title || ': ' || a.details || '\n'), '')
       || '\n---\n\n'), '') AS text FROM reports""", "reports"))
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = render.report_markdown(tables.reports(spark, sf_dir))
+    texts = render.report_markdown(tables.Given(spark, sf_dir, shared=True).reports)
     return texts.select(*run_columns(), "text")
 
 
@@ -330,10 +329,10 @@ def run_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM grid JOIN (SELECT {RUN}, count(*) AS total_reviews FROM members GROUP BY ALL) USING ({RUN})""",
                            "grid", "members"))
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = tables.slim_members(spark, sf_dir)
-    bare = report.counts_by_store(slim).select(
+    given = tables.Given(spark, sf_dir)
+    bare = report.counts_by_store(given.slim).select(
         *RUN_KEY, F.lit("").alias("display_name"), F.col("total").alias("total_reviews"))
-    stamped = report.run_metadata(bare, tables.grid_of(slim, tables.products(spark, sf_dir)))
+    stamped = report.run_metadata(bare, given.grid)
     return stamped.select(
         *run_columns(), "display_name", when_text("review_window_start").alias("window_start"),
         when_text("review_window_end").alias("window_end"), "total_reviews")
@@ -345,7 +344,7 @@ def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
       AS summary, coalesce(themes[1].name, 'N/A') AS primary_signal, total_reviews || ' reviews analyzed' AS evidence,
       coalesce(themes[1].actions[1].title, 'N/A') AS focus FROM reports""", "reports"))
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = report.report_summary(tables.reports(spark, sf_dir))
+    rows = report.report_summary(tables.Given(spark, sf_dir, shared=True).reports)
     return rows.select(*run_columns(), "summary", "primary_signal", "evidence", "focus")
 
 
@@ -403,7 +402,7 @@ def noise_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
       coalesce(string_agg(text, '|' ORDER BY quote_no) FILTER (validated), '') AS texts
     FROM checked GROUP BY ALL""", "checked"))
 def validated_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = tables.checked_quotes(spark, sf_dir).groupBy(*RUN_KEY, "label").agg(
+    lists = tables.Given(spark, sf_dir, shared=True).checked.groupBy(*RUN_KEY, "label").agg(
         F.sort_array(F.collect_list(F.struct("quote_no", "text", "validated"))).alias("quotes"))
     kept = lists.withColumn("kept", report.validated_only(F.col("quotes")))
     return kept.select(

@@ -117,7 +117,7 @@ _BLOCKS_SQL = f"""
     SELECT {RUN_SQL}, unnest(generate_series(0, len(blocks) - 1)) AS block_no, unnest(blocks).text AS text,
       unnest(blocks).bold AS bold FROM (SELECT {RUN}, {_BLOCKS_SQL} AS blocks FROM reports)""", "reports"))
 def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = render.doc_blocks(tables.reports(spark, sf_dir))
+    rows = render.doc_blocks(tables.Given(spark, sf_dir, shared=True).reports)
     return rows.select(*run_columns(), F.col("block_no").cast("long").alias("block_no"), "text", "bold")
 
 
@@ -176,7 +176,8 @@ _MAILED = f"(SELECT *, {_ACTIONS} AS actions FROM reports)"
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.render_all(tables.reports(spark, sf_dir), tables.products(spark, sf_dir))
+    given = tables.Given(spark, sf_dir, shared=True)
+    return render.render_all(given.reports, given.products)
 
 
 @query("email_text", sql(f"SELECT {RUN_SQL}, {_SUBJECT_SQL} AS subject, {_TEXT_SQL} AS text_body FROM {_MAILED}", "reports"))
@@ -277,9 +278,8 @@ def delivery_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {RUN_SQL}, run_id, total_reviews AS reviews, clusters_found, themes_generated, quotes_proposed, quotes_validated,
       input_tokens AS tokens_in FROM run_ledger JOIN stats USING ({RUN})""", "run_ledger", "stats"))
 def ledger_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = tables.reports(spark, sf_dir)
-    stats = reports.select(*RUN_KEY, "stats.*").select("*", "llm_usage.*").drop("llm_usage")
-    runs = tables.run_records(tables.grid_of(tables.slim_members(spark, sf_dir), tables.products(spark, sf_dir)))
+    given = tables.Given(spark, sf_dir, shared=True)
+    runs, stats = tables.run_records(given.grid), given.stats
     return ledger_ops.ledger_metrics(runs, stats).select(
         *run_columns(), "run_id", F.col("reviews_fetched.total").alias("reviews"), "clusters_found", "themes_generated",
         "quotes_proposed", "quotes_validated", F.col("llm_tokens.input").alias("tokens_in"))

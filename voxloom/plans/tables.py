@@ -5,14 +5,17 @@ Everything here grows with the tables: no row is left out.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxloom.functions import ranking
 from voxloom.functions.keys import review_id, section_anchor
 from voxloom.functions.weeks import assign_windows, iso_week_of, iso_year_of, week_sunday, window_start
 from voxloom.operators import cluster, cost, ingest, quotes as quote_ops, report, themes as theme_ops
 from voxloom.operators.ledger import latest_records
 from voxloom.schemas import RUN_KEY, RUN_RECORD
-from voxloom.session import pin_utc, spread
+from voxloom.session import durable, pin_utc, spread
 
 FIRST_DAY = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 MINUTES_APART = 97
@@ -30,11 +33,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` as reviews, with planted personal data; `seq` is the document id."""
-    return as_reviews(documents(spark, sf_dir))
-
-
 def as_reviews(docs: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     digits = lambda n: F.lpad(F.pmod(doc, F.lit(10 ** n)).cast("string"), n, "0")
@@ -58,17 +56,9 @@ def as_reviews(docs: DataFrame) -> DataFrame:
         F.col("lang").alias("language"), F.length(body).alias("raw_length"), doc.alias("seq"))
 
 
-def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First poll, and a second one that delivers every tenth review again, edited."""
-    first = reviews(spark, sf_dir)
-    second = first.where(F.col("seq") % 10 == 0).withColumns({
-        "body": F.concat("body", F.lit(" (edited)")), "seq": F.col("seq") + EDIT_SEQ})
-    return first.unionByName(second)
-
-
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products_of(docs: DataFrame) -> DataFrame:
     """One product per source; some lack an id for a store."""
-    slugs = table(spark, sf_dir, "documents").select(F.col("source").alias("slug")).distinct()
+    slugs = docs.select(F.col("source").alias("slug")).distinct()
     number = F.regexp_extract("slug", r"(\d+)$", 1).cast("int")
     return slugs.select(
         "slug", F.concat(F.lit("Product "), F.upper("slug")).alias("display_name"),
@@ -79,19 +69,6 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ).alias("stakeholder_emails"))
 
 
-def slim_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of every rolling window without their texts: run key, `pos` (capped) and `label`."""
-    slim = reviews(spark, sf_dir).select("product", "id", "store", "rating", "date", "seq")
-    ranked = ingest.cap_per_product(assign_windows(slim), MAX_RUN)
-    return ranked.withColumn("label", (F.pmod(F.col("seq"), F.lit(LABELS)) - 1).cast("int"))
-
-
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with title and body."""
-    texts = reviews(spark, sf_dir).select("id", "title", "body")
-    return slim_members(spark, sf_dir).join(texts, "id")
-
-
 def grid_of(runs: DataFrame, listed: DataFrame) -> DataFrame:
     """Window and product of the given run keys."""
     return runs.select(*RUN_KEY).distinct().join(
@@ -101,47 +78,117 @@ def grid_of(runs: DataFrame, listed: DataFrame) -> DataFrame:
         "window_end": week_sunday(F.col("iso_year"), F.col("iso_week"))})
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest clusters of every window, by the planted labels."""
-    return cluster.top_clusters(cluster.cluster_sizes(slim_members(spark, sf_dir)))
-
-
-def raw_themes(spark: SparkSession, sf_dir: str, top: DataFrame | None = None,
-               found: DataFrame | None = None) -> DataFrame:
-    """What a summariser might answer: the first three members quoted, the third one wrongly."""
-    top = clusters(spark, sf_dir) if top is None else top
-    found = members(spark, sf_dir) if found is None else found
-    keyed = found.join(top.select(*RUN_KEY, "label"), [*RUN_KEY, "label"], "left_semi")
-    first = theme_ops.ranking.top_n(
-        keyed.select(*RUN_KEY, "label", "pos", F.substring("body", 1, 60).alias("head")), (*RUN_KEY, "label"),
-        [F.col("pos")], 3, "quote_no")
-    text = (
-        F.when(F.col("quote_no") == 1, F.concat(F.lit("  "), F.substring("head", 1, 60), F.lit("  ")))
-        .when(F.col("quote_no") == 2, F.substring("head", 11, 50))
-        .otherwise(F.concat(F.lit("zz"), F.substring("head", 1, 30))))
-    quoted = first.groupBy(*RUN_KEY, "label").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("quote_no", text.alias("text")))), lambda q: q["text"]).alias("quotes"))
-    name = F.format_string("Theme %d of %s", F.col("label"), F.col("product"))
-    ideas = F.array(
-        F.concat(F.lit("Improve what reviewers of group "), F.col("label").cast("string"), F.lit(" mention first")),
-        F.lit("Reply soon"))
-    return top.join(quoted, [*RUN_KEY, "label"]).select(
-        *RUN_KEY, "label", "rank", "size", F.to_json(F.struct(
-            name.alias("name"), F.format_string("About %d reviews.", F.col("size")).alias("description"),
-            "quotes", ideas.alias("action_ideas"))).alias("raw"))
-
-
-def themes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(ranked themes, their quotes one per row)."""
-    parsed = theme_ops.parse_themes(raw_themes(spark, sf_dir))
-    ranked = theme_ops.rank_themes(parsed.withColumn("review_count", F.col("size")))
-    asked = ranked.select(*RUN_KEY, "label", F.posexplode("quotes").alias("quote_no", "text"))
-    return ranked, asked.withColumn("quote_no", F.col("quote_no") + 1)
-
-
-def checked_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, asked = themes(spark, sf_dir)
-    return quote_ops.attribute_quotes(asked, members(spark, sf_dir))
+class Given:
+    """The given tables in one session; what several results share is built once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        # A plan that reads the ranked runs several times stores them first.
+        self._keep = durable if shared else lambda df: df
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """`documents` as reviews, with planted personal data; `seq` is the document id."""
+        return as_reviews(documents(self.spark, self.sf_dir))
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return products_of(table(self.spark, self.sf_dir, "documents"))
+
+    @cached_property
+    def slim(self) -> DataFrame:
+        """Reviews of every rolling window without their texts: run key, `pos` (capped) and `label`."""
+        rows = self.reviews.select("product", "id", "store", "rating", "date", "seq")
+        ranked = ingest.cap_per_product(assign_windows(rows), MAX_RUN)
+        return self._keep(ranked.withColumn("label", (F.pmod(F.col("seq"), F.lit(LABELS)) - 1).cast("int")))
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        """The largest clusters of every window, by the planted labels."""
+        return cluster.top_clusters(cluster.cluster_sizes(self.slim))
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        """Members of the largest clusters, without texts."""
+        return self.slim.join(self.clusters.select(*RUN_KEY, "label", "rank", "size"), [*RUN_KEY, "label"])
+
+    @cached_property
+    def top_members(self) -> DataFrame:
+        """Members of the largest clusters with title and body."""
+        return self.chosen.join(self.reviews.select("id", "title", "body"), "id")
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """What a summariser might say: the first three members quoted, the third one wrongly."""
+        first = ranking.top_n(
+            self.chosen.select(*RUN_KEY, "label", "rank", "size", "pos", "id"), (*RUN_KEY, "label"), [F.col("pos")], 3,
+            "quote_no")
+        told = first.join(self.reviews.select("id", F.substring("body", 1, 60).alias("head")), "id")
+        text = (
+            F.when(F.col("quote_no") == 1, F.concat(F.lit("  "), F.col("head"), F.lit("  ")))
+            .when(F.col("quote_no") == 2, F.substring("head", 11, 50))
+            .otherwise(F.concat(F.lit("zz"), F.substring("head", 1, 30))))
+        quoted = told.groupBy(*RUN_KEY, "label", "rank", "size").agg(F.transform(
+            F.sort_array(F.collect_list(F.struct("quote_no", text.alias("text")))), lambda q: q["text"]).alias("quotes"))
+        name = F.format_string("Theme %d of %s", F.col("label"), F.col("product"))
+        ideas = F.array(
+            F.concat(F.lit("Improve what reviewers of group "), F.col("label").cast("string"), F.lit(" mention first")),
+            F.lit("Reply soon"))
+        return quoted.select(
+            *RUN_KEY, "label", "rank", "size", F.to_json(F.struct(
+                name.alias("name"), F.format_string("About %d reviews.", F.col("size")).alias("description"),
+                "quotes", ideas.alias("action_ideas"))).alias("raw"))
+
+    @cached_property
+    def themes(self) -> DataFrame:
+        parsed = theme_ops.parse_themes(self.answers)
+        return self._keep(theme_ops.rank_themes(parsed.withColumn("review_count", F.col("size"))))
+
+    @cached_property
+    def quotes(self) -> DataFrame:
+        """The proposed quotes of the themes, one per row."""
+        asked = self.themes.select(*RUN_KEY, "label", F.posexplode("quotes").alias("quote_no", "text"))
+        return asked.withColumn("quote_no", F.col("quote_no") + 1)
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        return self._keep(quote_ops.attribute_quotes(self.quotes, self.top_members))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return report.run_stats(
+            report.counts_by_store(self.slim), cluster.noise_count(self.slim), self.clusters, self.themes, self.checked,
+            cost.run_cost(run_calls(self.clusters)))
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        return grid_of(self.slim, self.products)
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        """A full report of every rolling window, from the planted clusters."""
+        at = F.lit("2026-01-05 06:07:08").cast("timestamp")
+        return report.assemble_report(self.grid, self.themes, self.checked, self.stats, at)
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Given(spark, sf_dir).reviews
+
+
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First poll, and a second one that delivers every tenth review again, edited."""
+    first = reviews(spark, sf_dir)
+    second = first.where(F.col("seq") % 10 == 0).withColumns({
+        "body": F.concat("body", F.lit(" (edited)")), "seq": F.col("seq") + EDIT_SEQ})
+    return first.unionByName(second)
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Given(spark, sf_dir).products
+
+
+def slim_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Given(spark, sf_dir).slim
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,23 +275,3 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc-"), F.col("source")).alias("doc_id"),
         F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" - Anchor ID: "), anchor, F.lit(" end"))
                ).otherwise(F.col("text")).alias("text"))
-
-
-def own_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs (product and own ISO week) that reviews fall into."""
-    slim = reviews(spark, sf_dir).select("product", "date")
-    return slim.select(
-        "product", iso_year_of(F.col("date")).alias("iso_year"), iso_week_of(F.col("date")).alias("iso_week")).distinct()
-
-
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full report of every rolling window, from the planted clusters."""
-    slim = slim_members(spark, sf_dir)
-    top = cluster.top_clusters(cluster.cluster_sizes(slim))
-    ranked, asked = themes(spark, sf_dir)
-    checked = quote_ops.attribute_quotes(asked, members(spark, sf_dir))
-    stats = report.run_stats(
-        report.counts_by_store(slim), cluster.noise_count(slim), top, ranked, checked, cost.run_cost(run_calls(top)))
-    grid = grid_of(slim, products(spark, sf_dir))
-    at = F.lit("2026-01-05 06:07:08").cast("timestamp")
-    return report.assemble_report(grid, ranked, checked, stats, at)

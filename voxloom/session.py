@@ -55,9 +55,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in a way that survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage with a table in the shared folder: it survives the loss of executors, is
+    computed once, and tells the optimizer its real size."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -67,6 +70,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     enough partitions and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
