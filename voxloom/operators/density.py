@@ -15,6 +15,9 @@ from voxloom.session import durable
 
 NOISE = -1
 _TINY = 1e-12
+# v -> v * _FACTOR^k mod _PRIME shuffles the numbers below the prime and can be undone.
+_PRIME = 2 ** 31 - 1
+_FACTOR = 48271
 
 
 def _nearest(queries: np.ndarray, others: np.ndarray, ids_q: np.ndarray, ids_o: np.ndarray, k: int):
@@ -95,21 +98,23 @@ def level_edges(edges: DataFrame, keys: tuple[str, ...], levels: int) -> tuple[D
 def components(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Connected components `(keys, node, comp)` of the nodes that have an edge.
 
-    Every round each vertex takes the neighbour (or itself) with the smallest hash, chains are
-    shortened by two jumps, and the graph is contracted, until no edge is left. The hash changes
-    with the round and keeps chains short, also on graphs that are one long path.
+    Every round each vertex takes the neighbour (or itself) that comes first in a shuffled order,
+    chains are shortened by two jumps, and the graph is contracted, until no edge is left. The
+    order changes with the round and keeps chains short, also on graphs that are one long path.
+    Nodes are numbers from 0 to 2^31 - 2.
     """
     ids = list(keys)
     graph = durable(edges.select(*keys, "a", "b"))
     found = graph.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
     turn = 0
     while not graph.isEmpty():
-        mark = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        factor = pow(_FACTOR, turn + 1, _PRIME)
+        place = lambda c: F.col(c) * F.lit(factor) % F.lit(_PRIME)  # noqa: B023, E731
         ends = graph.select(*keys, F.explode(F.array(
-            F.struct(F.col("a").alias("v"), mark("b").alias("m")), F.struct(F.col("b").alias("v"), mark("a").alias("m"))
+            F.struct(F.col("a").alias("v"), place("b").alias("p")), F.struct(F.col("b").alias("v"), place("a").alias("p"))
         )).alias("e"))
-        step = ends.groupBy(*keys, F.col("e.v").alias("v")).agg(F.min("e.m").alias("m")).select(
-            *keys, "v", F.least(F.col("m"), mark("v"))["v"].alias("to"))
+        step = ends.groupBy(*keys, F.col("e.v").alias("v")).agg(F.min("e.p").alias("p")).select(
+            *keys, "v", (F.least(F.col("p"), place("v")) * F.lit(pow(factor, -1, _PRIME)) % F.lit(_PRIME)).alias("to"))
         for _ in range(2):
             ahead = step.select(*keys, F.col("v").alias("to"), F.col("to").alias("_next"))
             step = step.join(ahead, [*ids, "to"]).select(*keys, "v", F.col("_next").alias("to"))

@@ -110,10 +110,13 @@ def window_end_filter(df: DataFrame, end_day) -> DataFrame:
     return df.where(F.col("date") < F.date_add(end_day, 1).cast("timestamp"))
 
 
-def select_run_rows(reviews: DataFrame, weeks: Sequence[Week], settings: Settings) -> DataFrame:
+def select_run_rows(reviews: DataFrame, weeks: Sequence[Week], settings: Settings,
+                    runs: DataFrame | None = None) -> DataFrame:
     """Which reviews each run keeps: caps, dedup and order, decided on slim rows without any text."""
     slim = reviews.select("product", "store", "id", "date", "seq")
     seen = candidate_runs(slim, weeks, settings)
+    if runs is not None:
+        seen = seen.join(runs.select(*RUN_KEY), list(RUN_KEY), "left_semi")
     capped = cap_per_store(seen, settings.max_reviews_per_product)
     # Last value, first position: the text is fetched by the last `seq`, the order kept by the first.
     unique = capped.groupBy(*RUN_KEY, "id").agg(
@@ -123,14 +126,15 @@ def select_run_rows(reviews: DataFrame, weeks: Sequence[Week], settings: Setting
     return window_end_filter(kept, F.col("_end")).select(*RUN_KEY, "id", "last_seq", "pos")
 
 
-def ingest_runs(reviews: DataFrame, weeks: Sequence[Week], settings: Settings | None = None) -> DataFrame:
-    """Cleaned reviews of every run, newest first by `pos`.
+def ingest_runs(reviews: DataFrame, weeks: Sequence[Week], settings: Settings | None = None,
+                runs: DataFrame | None = None) -> DataFrame:
+    """Cleaned reviews of every run (of those in `runs`, when given), newest first by `pos`.
 
     `reviews` holds all polls of both stores with `seq`. Text is read once, for the kept rows
     only, and scrubbed once per review, not once per run.
     """
     settings = settings or Settings()
-    chosen = select_run_rows(reviews, weeks, settings)
+    chosen = select_run_rows(reviews, weeks, settings, runs)
     used = chosen.select("id", F.col("last_seq").alias("seq")).distinct()
     texts = reviews.drop("product").join(used, ["id", "seq"], "left_semi")
     clean = scrub_columns(texts).where(has_letter(F.col("body"))).withColumnRenamed("seq", "last_seq")

@@ -143,7 +143,7 @@ def apply_outcomes(records: DataFrame, outcomes: DataFrame, now: Column) -> Data
     `outcomes` has the run key, `docs_delivery, email_delivery, mode, dry_run, crashed, doc_id, recipients`.
     """
     ids = list(RUN_KEY)
-    joined = delivery_ids(records.drop("_o").join(
+    joined = delivery_ids(records.join(
         outcomes.withColumnsRenamed({"email_delivery": "_mail"}), ids).withColumnRenamed("email_delivery", "_email")
         .withColumnRenamed("_mail", "email_delivery")).withColumnsRenamed(
             {"email_delivery": "_mail", "_email": "email_delivery"})

@@ -40,8 +40,12 @@ def build_prompts(members: DataFrame, quotes: int = 3, actions: int = 2,
 
 
 def summarize_clusters(prompts: DataFrame, summarizer: Summarizer, keys: tuple[str, ...] = RUN_KEY,
-                       tries: int = 3) -> DataFrame:
-    """Ask a pluggable summariser on the executors; a prompt that fails `tries` times gives a NULL answer."""
+                       tries: int = 3, budget: int | None = None, start: int = 0) -> DataFrame:
+    """Ask a pluggable summariser on the executors; a prompt that fails `tries` times gives a NULL answer.
+
+    With `budget`, the clusters of a run (a handful, by `rank`) are asked one after the other and
+    none is asked once the tokens so far exceed the budget.
+    """
     def ask(prompt: str) -> tuple[str | None, int, int]:
         for _ in range(tries):
             try:
@@ -50,18 +54,30 @@ def summarize_clusters(prompts: DataFrame, summarizer: Summarizer, keys: tuple[s
                 continue
         return None, 0, 0
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def with_answers(frame: pd.DataFrame, answers: list[tuple[str | None, int, int]]) -> pd.DataFrame:
+        out = frame.drop(columns="prompt").iloc[:len(answers)].copy()
+        for i, name in enumerate(("raw", "input_tokens", "output_tokens")):
+            out[name] = [a[i] for a in answers]
+        return out
+
+    def all_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = [ask(p) for p in frame["prompt"]]
-            out = frame.drop(columns="prompt")
-            out["raw"] = [a[0] for a in answers]
-            out["input_tokens"] = [a[1] for a in answers]
-            out["output_tokens"] = [a[2] for a in answers]
-            yield out
-
-    kept = [f for f in prompts.schema if f.name != "prompt"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return prompts.mapInPandas(run, f"{schema}, raw string, input_tokens long, output_tokens long")
+            yield with_answers(frame, [ask(p) for p in frame["prompt"]])
+
+    def in_turn(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered, answers, spent = frame.sort_values("rank"), [], start
+        for prompt in ordered["prompt"]:
+            if spent > budget:
+                break
+            answers.append(ask(prompt))
+            spent += answers[-1][1] + answers[-1][2]
+        return with_answers(ordered, answers)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != "prompt")
+    schema = f"{kept}, raw string, input_tokens long, output_tokens long"
+    if budget is None:
+        return prompts.mapInPandas(all_of, schema)
+    return prompts.groupBy(*keys).applyInPandas(in_turn, schema)
 
 
 def summarize_builtin(members: DataFrame, prompts: DataFrame, terms: int = 3, quotes: int = 3, actions: int = 2,

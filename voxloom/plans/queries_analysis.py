@@ -166,7 +166,7 @@ def embedding_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("validate_quotes", sql(f"SELECT {RUN_SQL}, {LABEL_SQL}, quote_no, text, validated FROM checked", "checked"))
 def validate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = tables.Given(spark, sf_dir, shared=True)
-    checked = quotes.validate_quotes(given.quotes, given.top_members)
+    checked = quotes.validate_quotes(given.quotes, given.chosen, given.reviews.select("id", "body"))
     return checked.select(*run_columns(), label(), pos_column("quote_no"), "text", "validated")
 
 

@@ -152,7 +152,8 @@ class Given:
 
     @cached_property
     def checked(self) -> DataFrame:
-        return self._keep(quote_ops.attribute_quotes(self.quotes, self.top_members))
+        return self._keep(quote_ops.attribute_quotes(
+            self.quotes, self.chosen, self.reviews.select("id", "body")))
 
     @cached_property
     def stats(self) -> DataFrame:
