@@ -17,8 +17,11 @@ def clamp_rating(rating: Column) -> Column:
 
 
 def to_utc(text: Column) -> Column:
-    """ISO-8601 text to a timestamp; text without offset is read as UTC, junk is NULL."""
-    return text.try_cast("timestamp")
+    """ISO-8601 text to a timestamp; text without offset is read as UTC, junk is NULL.
+
+    The test keeps out what a cast would also take: a year alone, a time alone, `today`.
+    """
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
 
 
 def raw_length(body: Column) -> Column:
