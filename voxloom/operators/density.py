@@ -51,18 +51,19 @@ def neighbours(points: DataFrame, keys: tuple[str, ...], node: str, vec: str, k:
 
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asking, asked = rows[rows["asks"]], rows[~rows["asks"]]
-        columns = [*keys, "a", "b", "d"]
         if asking.empty or asked.empty:
-            return pd.DataFrame(columns=columns)
+            return pd.DataFrame()
         ids_q, ids_o = asking["node"].to_numpy(), asked["node"].to_numpy()
         order, distance = _nearest(np.stack(asking["vec"].to_numpy()).astype(float),
                                    np.stack(asked["vec"].to_numpy()).astype(float), ids_q, ids_o, k)
         out = pd.DataFrame({
             "a": np.repeat(ids_q, order.shape[1]), "b": ids_o[order].ravel(), "d": distance.ravel()})
         out = out[np.isfinite(out["d"])]
+        if out.empty:
+            return pd.DataFrame()
         for name, value in zip(keys, key):
             out[name] = value
-        return out[columns]
+        return out[[*keys, "a", "b", "d"]]
 
     found = queries.unionByName(others).groupBy(*cell).applyInPandas(best, f"{kinds}, a long, b long, d double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("d", "b")))

@@ -55,10 +55,11 @@ def summarize_clusters(prompts: DataFrame, summarizer: Summarizer, keys: tuple[s
         return None, 0, 0
 
     def with_answers(frame: pd.DataFrame, answers: list[tuple[str | None, int, int]]) -> pd.DataFrame:
-        out = frame.drop(columns="prompt").iloc[:len(answers)].copy()
-        for i, name in enumerate(("raw", "input_tokens", "output_tokens")):
-            out[name] = [a[i] for a in answers]
-        return out
+        if not answers:
+            return pd.DataFrame()
+        kept = {c: frame[c].tolist()[:len(answers)] for c in frame.columns if c != "prompt"}
+        told = {n: [a[i] for a in answers] for i, n in enumerate(("raw", "input_tokens", "output_tokens"))}
+        return pd.DataFrame({**kept, **told})
 
     def all_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

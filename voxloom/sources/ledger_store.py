@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxloom.operators.ledger import ledger_upsert
 from voxloom.schemas import RUN_RECORD
 
+_DAMAGED = ("CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE.NO_HINT", "is not a Parquet file")
+
 
 def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
     """(version, complete) of every version folder."""
@@ -31,12 +34,15 @@ def load_ledger(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.createDataFrame([], RUN_RECORD)
     if not complete:
         return empty
+    ledger = spark.read.schema(RUN_RECORD).parquet(f"{path}/v{complete[-1]:08d}")
     try:
-        ledger = spark.read.schema(RUN_RECORD).parquet(f"{path}/v{complete[-1]:08d}")
-        ledger.limit(1).count()
+        ledger.agg(F.max("update_seq")).first()
         return ledger
-    except PySparkException:
-        return empty
+    except (PySparkException, Py4JJavaError) as failure:
+        # Only a damaged file counts as empty; any other failure must not hide the ledger.
+        if any(sign in str(failure) for sign in _DAMAGED):
+            return empty
+        raise
 
 
 def save_ledger(ledger: DataFrame, path: str) -> int:
