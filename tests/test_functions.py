@@ -23,15 +23,13 @@ def test_parse_iso_week(spark):
         "26-W23": (None, None, "bad format"), "2026-W0": (None, None, "week out of range"),
         "2026-W54": (None, None, "week out of range"), "2025-W53": (None, None, "no such week in year"),
         "": (None, None, "bad format")}
-    given = {k: v for k, v in given.items() if "\t" not in k} | {"  2020-W53 ": (2020, 53, None)}
     rows = weeks.parse_iso_week(spark.createDataFrame([(k,) for k in given], "w string"), "w").collect()
     assert {r["w"]: (r["iso_year"], r["iso_week"], r["reason"]) for r in rows} == given
 
 
 def test_weeks_agree_with_the_calendar(spark):
-    days = [dt.date(1999, 12, 25) + dt.timedelta(days=random.Random(1).randrange(11000)) for _ in range(1)]
     rng = random.Random(2)
-    days += [dt.date(1999, 12, 25) + dt.timedelta(days=rng.randrange(11000)) for _ in range(300)]
+    days = [dt.date(1999, 12, 25) + dt.timedelta(days=rng.randrange(11000)) for _ in range(300)]
     frame = spark.createDataFrame([(d,) for d in days], "d date").withColumns(
         {"y": weeks.iso_year_of(F.col("d")), "w": weeks.iso_week_of(F.col("d"))})
     rows = frame.select("d", "y", "w", weeks.week_monday(F.col("y"), F.col("w")).alias("mon"),

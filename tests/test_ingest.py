@@ -104,7 +104,7 @@ def test_union_keeps_source_order(spark):
 
 
 def brute_run(rows, week, settings):
-    """The reference order of steps for one product and week, on plain lists."""
+    """The same steps for one product and week on plain lists."""
     sunday = dt.date.fromisocalendar(*week, 7)
     start = dt.datetime.combine(sunday - dt.timedelta(weeks=settings.review_window_weeks), dt.time())
     end = dt.datetime.combine(sunday + dt.timedelta(days=1), dt.time())

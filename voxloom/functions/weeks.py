@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions.text import strip
+
 
 def iso_year_of(day: Column) -> Column:
     return F.extract(F.lit("YEAROFWEEK"), day)
@@ -45,7 +47,7 @@ def format_iso_week(year: Column, week: Column) -> Column:
 def parse_iso_week(df: DataFrame, text: str) -> DataFrame:
     """Add `iso_year`, `iso_week` and `reason` (NULL when the text names an existing week)."""
     shape = r"^(\d{4})-W(\d{1,2})$"
-    trimmed = F.btrim(F.col(text))
+    trimmed = strip(F.col(text))
     year = F.regexp_extract(trimmed, shape, 1).try_cast("int")
     week = F.regexp_extract(trimmed, shape, 2).try_cast("int")
     reason = (

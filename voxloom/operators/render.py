@@ -165,7 +165,7 @@ def render_all(reports: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def report_markdown(reports: DataFrame, title: str = "Groq Analysis Output") -> DataFrame:
-    """Report as markdown text."""
+    """Report as markdown text; the default title is a fixed value."""
     def part(t: Column, i: Column) -> Column:
         quotes = F.array_join(F.transform(validated_only(t["quotes"]), lambda q: F.format_string(
             '- "%s" (%d stars)\n', q["text"], q["rating"])), "")

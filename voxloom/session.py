@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_steps: dict[str, list[str]] = {}
 
 
 def build_session(name: str = "voxloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -59,10 +62,21 @@ def durable(df: DataFrame) -> DataFrame:
     computed once, and tells the optimizer its real size."""
     spark = df.sparkSession
     path = scratch_path(spark, "step")
+    _steps.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables `durable` wrote in this application; call it when their readers are done."""
+    paths = _steps.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for CPU-bound work on a scan with fewer partitions than cores.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voxloom.functions.pii import scrub_columns
 from voxloom.functions.text import embedding_text, has_letter
@@ -74,7 +74,7 @@ def run_embed_missing(reviews: DataFrame, feed: str, cache_path: str, checkpoint
 
     def land(batch: DataFrame, batch_id: int) -> None:
         # A retried batch must not see what its first try wrote: it replaces its own folder.
-        known = read_cache(spark, cache_path, but=(feed, batch_id))
+        known = _cache_rows(spark, cache_path).where(~((F.col("feed") == feed) & (F.col("batch") == batch_id)))
         _, missing = split_cached(dedupe_last_wins(batch), known, model)
         texts = missing.select(
             F.col("id").alias("review_id"), embedding_text(F.col("title"), F.col("body")).alias("text"))
@@ -85,14 +85,16 @@ def run_embed_missing(reviews: DataFrame, feed: str, cache_path: str, checkpoint
         availableNow=True).start().awaitTermination()
 
 
-def read_cache(spark: SparkSession, path: str, but: tuple[str, int] | None = None) -> DataFrame:
-    """The cached vectors, one per id and model; `but` leaves out one batch of one feed."""
-    empty = spark.createDataFrame([], EMBEDDING)
+def _cache_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All vectors as they were written, with feed and batch."""
+    schema = T.StructType([*EMBEDDING, T.StructField("feed", T.StringType()), T.StructField("batch", T.LongType())])
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     root = jvm.org.apache.hadoop.fs.Path(path)
     if not root.getFileSystem(conf).exists(root):
-        return empty
-    rows = spark.read.schema(EMBEDDING).option("basePath", path).parquet(f"{path}/feed=*")
-    if but is not None:
-        rows = rows.where(~((F.col("feed") == but[0]) & (F.col("batch") == but[1])))
-    return merge_cache(empty, rows)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cached vectors, one per id and model."""
+    return merge_cache(spark.createDataFrame([], EMBEDDING), _cache_rows(spark, path))
