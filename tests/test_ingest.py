@@ -199,3 +199,14 @@ def test_caps_are_applied_before_the_shuffle(spark):
     capped = ingest.cap_per_product(rows, 5, ("product",))
     assert capped._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
     assert sorted(r["id"] for r in capped.collect()) == ["0", "1", "2", "3", "4"]
+
+
+def test_newest_per_window_equals_capping_all_rows(spark):
+    from voxloom.functions.weeks import assign_windows
+    rng = random.Random(8)
+    rows = [("hot" if i % 4 else "q", "appstore", str(i), NOW + dt.timedelta(hours=rng.randrange(24 * 30)), i, "b")
+            for i in range(800)]
+    frame = spark.createDataFrame(rows, SLIM).repartition(4)
+    thinned = ingest.newest_per_window(frame, 7).select("product", "iso_year", "iso_week", "id", "pos")
+    plain = ingest.cap_per_product(assign_windows(frame), 7).select("product", "iso_year", "iso_week", "id", "pos")
+    assert thinned.count() == plain.count() and plain.exceptAll(thinned).count() == 0

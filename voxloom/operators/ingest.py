@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxloom.functions import ranking
 from voxloom.functions.pii import scrub_columns
 from voxloom.functions.text import has_letter
+from voxloom.functions.weeks import assign_windows
 from voxloom.schemas import RUN_KEY
 from voxloom.settings import Settings
 
@@ -48,6 +49,17 @@ def cap_per_product(df: DataFrame, cap: int = 500, keys: tuple[str, ...] = RUN_K
     return ranking.top_n(df, keys, newest_order(), cap)
 
 
+def newest_per_window(df: DataFrame, cap: int = 500, weeks: int = 10) -> DataFrame:
+    """The newest `cap` rows of every rolling window, with the window's run key and `pos`.
+
+    A window holds whole days, so no more than the newest `cap` rows of a product's day can
+    matter. They are cut first: a hot product is thinned before its rows are multiplied.
+    """
+    days = df.withColumn("_day", F.to_date("date"))
+    daily = ranking.top_n(days, ("product", "_day"), newest_order(), cap, "_day_pos").drop("_day", "_day_pos")
+    return cap_per_product(assign_windows(daily, weeks=weeks), cap)
+
+
 def cap_per_store(df: DataFrame, cap: int = 500, keys: tuple[str, ...] = RUN_KEY) -> DataFrame:
     """The first `cap` rows per key and store, in input order."""
     return ranking.top_n(df, (*keys, "store"), [F.col("seq")], cap, "_store_pos").drop("_store_pos")

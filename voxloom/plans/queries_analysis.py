@@ -370,13 +370,19 @@ def latest_run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- vectors and clusters
 
-@query("embed_reviews")
+_NORM_SQL = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+
+
+@query("embed_reviews", f"""
+    SELECT CAST(doc_id AS VARCHAR) AS id, CAST(CASE WHEN vec_id IS NULL THEN 128 ELSE len(embedding) END AS BIGINT) AS dims,
+      CASE WHEN vec_id IS NULL THEN 1.0::DOUBLE ELSE round({_NORM_SQL}, 4) END AS norm
+    FROM documents LEFT JOIN embeddings ON vec_id = doc_id AND vec_id % 3 <> 0""")
 def embed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrub-free texts of all reviews; those with a number below the cache size have a vector already."""
     rows = tables.reviews(spark, sf_dir).select(F.col("seq").cast("string").alias("id"), "title", "body")
     vectors, _ = embed.embed_reviews(rows, _cache(spark, sf_dir), "new-model")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    return vectors.select("id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return vectors.select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
 def _vector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,13 +448,16 @@ def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHOWN = _sanitize_sql("CASE WHEN title IS NULL THEN body ELSE title || ' - ' || body END")
 
 
-@query("build_prompts", sql(f"""
-    SELECT {RUN_SQL}, {LABEL_SQL}, md5('Analyze the following ' || count(*) || ' reviews to extract a theme.' || chr(10) || chr(10)
-      || 'Provide exactly 3 representative quotes and 2 action ideas.' || chr(10) || chr(10) || '<REVIEWS>' || chr(10)
-      || string_agg(n || '. [' || rating || '⭐] ' || shown || chr(10), '' ORDER BY n) || '</REVIEWS>' || chr(10)) AS prompt
+_PROMPT_SQL = f"""
+    SELECT {RUN_SQL}, {LABEL_SQL}, 'Analyze the following ' || count(*) || ' reviews to extract a theme.' || chr(10) || chr(10)
+      || 'Provide exactly 3 representative quotes and 2 action ideas.' || chr(10) || chr(10) || '<REVIEWS>' || chr(10) AS head,
+      string_agg(n || '. [' || rating || '⭐] ' || shown || chr(10), '' ORDER BY n) || '</REVIEWS>' || chr(10) AS listed
     FROM (SELECT {RUN}, label, rating, {_SHOWN} AS shown,
           row_number() OVER (PARTITION BY {RUN}, label ORDER BY pos) AS n
-          FROM members JOIN (SELECT {RUN}, label FROM top) USING ({RUN}, label)) GROUP BY ALL""", "members", "top"))
+          FROM members JOIN (SELECT {RUN}, label FROM top) USING ({RUN}, label)) GROUP BY ALL"""
+
+
+@query("build_prompts", sql(f"SELECT {RUN}, label, md5(head || listed) AS prompt FROM ({_PROMPT_SQL})", "members", "top"))
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.Given(spark, sf_dir, shared=True).top_members
     return themes.build_prompts(found).select(*run_columns(), label(), F.md5("prompt").alias("prompt"))
@@ -465,13 +474,16 @@ def _first_review(prompt: str) -> tuple[str, int, int]:
     return json.dumps(answer), len(prompt) // 4, 25
 
 
-@query("summarize_clusters")
+@query("summarize_clusters", sql(f"""
+    SELECT {RUN}, label, 'About ' || (len(string_split(listed, chr(10))) - 2) || ' reviews' AS name, 1::BIGINT AS quotes,
+      'Read them again, with care...' AS action, length(head || listed) // 4 AS input_tokens, 25::BIGINT AS output_tokens
+    FROM ({_PROMPT_SQL}) WHERE length(head || listed) >= 400""", "members", "top"))
 def summarize_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.Given(spark, sf_dir, shared=True).top_members
     answers = themes.summarize_clusters(themes.build_prompts(found), _first_review)
     parsed = themes.parse_themes(answers)
     return parsed.select(
-        *run_columns(), label(), "name", F.size("quotes").alias("quotes"), F.get("actions", F.lit(0))["title"].alias("action"),
+        *run_columns(), label(), "name", F.size("quotes").cast("long").alias("quotes"), F.get("actions", F.lit(0))["title"].alias("action"),
         "input_tokens", "output_tokens")
 
 

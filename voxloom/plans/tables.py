@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxloom.functions import ranking
 from voxloom.functions.keys import review_id, section_anchor
-from voxloom.functions.weeks import assign_windows, iso_week_of, iso_year_of, week_sunday, window_start
+from voxloom.functions.weeks import iso_week_of, iso_year_of, week_sunday, window_start
 from voxloom.operators import cluster, cost, ingest, quotes as quote_ops, report, themes as theme_ops
 from voxloom.operators.ledger import latest_records
 from voxloom.schemas import RUN_KEY, RUN_RECORD
@@ -99,7 +99,7 @@ class Given:
     def slim(self) -> DataFrame:
         """Reviews of every rolling window without their texts: run key, `pos` (capped) and `label`."""
         rows = self.reviews.select("product", "id", "store", "rating", "date", "seq")
-        ranked = ingest.cap_per_product(assign_windows(rows), MAX_RUN)
+        ranked = ingest.newest_per_window(rows, MAX_RUN)
         return self._keep(ranked.withColumn("label", (F.pmod(F.col("seq"), F.lit(LABELS)) - 1).cast("int")))
 
     @cached_property
