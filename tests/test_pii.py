@@ -105,3 +105,10 @@ def test_name_detector(spark):
 def test_one_pass_without_python(spark):
     plan = pii.scrub_columns(frame(spark, PAIRS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_letter_filter_equals_filtering_afterwards(spark):
+    bodies = [*PAIRS, "12 !!", "9812345678", "123@456", "😀", "12345678", "é", "2345 6789 0123", "..."]
+    early = pii.scrub_lettered(frame(spark, bodies))
+    late = pii.scrub_columns(frame(spark, bodies)).where(F.col("body").rlike(r"\p{L}"))
+    assert early.count() == late.count() > len(PAIRS) and late.exceptAll(early).count() == 0

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions.text import has_letter
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,50 +54,62 @@ def anonymize_author(author: Column) -> Column:
     return F.when(author != "", F.lit(AUTHOR_PLACEHOLDER)).otherwise(author)
 
 
-def _staged(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
-    """One column per rule; placeholders hold no digits or '@', so guards are taken once, on the input."""
-    df = df.withColumns({f"_{column}_{g}": _may_match(g, F.col(column)) for g in ("at", "digits")})
-    names, before = [], column
+def _chain(text: Column, *guards: str) -> Column:
     for rule in RULES:
-        name = f"_{column}_{rule.name}"
-        df = df.withColumn(name, F.when(
-            F.col(f"_{column}_{rule.guard}"),
-            F.regexp_replace(F.col(before), rule.pattern, rule.placeholder)).otherwise(F.col(before)))
-        names.append(name)
-        before = name
-    return df, names
+        if rule.guard in guards:
+            text = F.regexp_replace(text, rule.pattern, rule.placeholder)
+    return text
 
 
-def scrub_columns(df: DataFrame, columns: tuple[str, ...] = ("body", "title"), author: str | None = "author",
-                  counts: bool = False) -> DataFrame:
-    """The whole chain on the given columns, in one pass; with `counts`, also how often each rule hit.
+def scrub_text(text: Column) -> Column:
+    """All rules in order. Placeholders hold no digits or '@', so both guards are taken on the input."""
+    numbers = F.when(_may_match("digits", text), _chain(text, "digits")).otherwise(text)
+    every = F.when(_may_match("digits", text), _chain(text, "at", "digits")).otherwise(_chain(text, "at"))
+    return F.when(_may_match("at", text), every).otherwise(numbers)
 
-    Counts are taken on the text each rule sees, so an e-mail is not also a payment handle.
-    """
-    wanted = df.columns
+
+def lettered_after_scrub(text: Column) -> Column:
+    """`has_letter(scrub_text(text))`, which scrubs only texts without letters: placeholders have some."""
+    return has_letter(text) | has_letter(scrub_text(text))
+
+
+def scrub_columns(df: DataFrame, columns: tuple[str, ...] = ("body", "title"), author: str | None = "author") -> DataFrame:
+    """The whole chain on the given columns in one projection."""
+    clean = {c: scrub_text(F.col(c)) for c in columns}
+    if author:
+        clean[author] = anonymize_author(F.col(author))
+    return df.select(*[clean.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
+def scrub_lettered(df: DataFrame) -> DataFrame:
+    """Scrubbed reviews, without those whose body then holds no letter."""
+    return scrub_columns(df.where(lettered_after_scrub(F.col("body"))))
+
+
+def count_hits(df: DataFrame, columns: tuple[str, ...] = ("body", "title"), author: str = "author") -> DataFrame:
+    """Add how often each kind hits. Counts are taken on the text each rule sees, so an e-mail is not
+    also a payment handle."""
+    kept = df.columns
     totals: dict[str, Column] = {}
-    final: dict[str, Column] = {}
     for column in columns:
-        df, names = _staged(df, column)
-        for rule, before in zip(RULES, [column, *names[:-1]]):
-            hits = F.when(
-                F.col(f"_{column}_{rule.guard}"), F.regexp_count(F.col(before), F.lit(rule.pattern))).otherwise(0)
-            hits = F.coalesce(hits, F.lit(0)).cast("long")
+        df = df.withColumns({f"_{column}_{g}": F.coalesce(_may_match(g, F.col(column)), F.lit(False))
+                             for g in ("at", "digits")})
+        before = column
+        for rule in RULES:
+            guard, after = F.col(f"_{column}_{rule.guard}"), f"_{column}_{rule.name}"
+            df = df.withColumn(after, F.when(
+                guard, F.regexp_replace(F.col(before), rule.pattern, rule.placeholder)).otherwise(F.col(before)))
+            hits = F.when(guard, F.regexp_count(F.col(before), F.lit(rule.pattern))).otherwise(0).cast("long")
             totals[rule.counter] = totals[rule.counter] + hits if rule.counter in totals else hits
-        final[column] = F.col(names[-1])
-    if author:
-        final[author] = anonymize_author(F.col(author))
-        totals["authors_anonymized"] = F.coalesce(
-            (F.col(author) != "") & (F.col(author) != AUTHOR_PLACEHOLDER), F.lit(False)).cast("long")
-    selected = [final.get(name, F.col(name)).alias(name) for name in wanted]
-    if counts:
-        selected += [total.alias(name) for name, total in totals.items()]
-    return df.select(*selected)
+            before = after
+    totals["authors_anonymized"] = F.coalesce(
+        (F.col(author) != "") & (F.col(author) != AUTHOR_PLACEHOLDER), F.lit(False)).cast("long")
+    return df.select(*kept, *[total.alias(name) for name, total in totals.items()])
 
 
 def pii_stats(df: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...] = ("body", "title")) -> DataFrame:
     """Hits per kind and key."""
-    counted = scrub_columns(df, columns, counts=True)
+    counted = count_hits(df, columns)
     return counted.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in (*COUNTERS, "authors_anonymized")])
 

@@ -8,8 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from voxloom.functions import ranking
-from voxloom.functions.pii import scrub_columns
-from voxloom.functions.text import has_letter
+from voxloom.functions.pii import scrub_lettered
 from voxloom.functions.weeks import assign_windows
 from voxloom.schemas import RUN_KEY
 from voxloom.settings import Settings
@@ -149,5 +148,5 @@ def ingest_runs(reviews: DataFrame, weeks: Sequence[Week], settings: Settings |
     chosen = select_run_rows(reviews, weeks, settings, runs)
     used = chosen.select("id", F.col("last_seq").alias("seq")).distinct()
     texts = reviews.drop("product").join(used, ["id", "seq"], "left_semi")
-    clean = scrub_columns(texts).where(has_letter(F.col("body"))).withColumnRenamed("seq", "last_seq")
+    clean = scrub_lettered(texts).withColumnRenamed("seq", "last_seq")
     return chosen.join(clean, ["id", "last_seq"]).drop("last_seq")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from voxloom.functions.pii import scrub_columns
-from voxloom.functions.text import embedding_text, has_letter
+from voxloom.functions.pii import scrub_lettered
+from voxloom.functions.text import embedding_text
 from voxloom.operators.embed import Encoder, encode_with, merge_cache, split_cached
 from voxloom.operators.ingest import dedupe_last_wins
 from voxloom.schemas import EMBEDDING
@@ -17,7 +17,7 @@ def stream_ingest(reviews: DataFrame, delay: str = "71 days") -> DataFrame:
     State per id is dropped once the watermark has passed it.
     """
     fresh = reviews.withWatermark("date", delay).dropDuplicatesWithinWatermark(["id"])
-    return scrub_columns(fresh).where(has_letter(F.col("body")))
+    return scrub_lettered(fresh)
 
 
 def run_stream_ingest(reviews: DataFrame, path: str, checkpoint: str, delay: str = "71 days") -> None:
@@ -31,7 +31,7 @@ def run_stream_latest(reviews: DataFrame, path: str, checkpoint: str) -> None:
     """Land scrubbed polls batch by batch; `latest_reviews` then gives the last poll of each id."""
     def land(batch: DataFrame, batch_id: int) -> None:
         # A batch that is retried after a failure replaces its own folder.
-        unique = scrub_columns(dedupe_last_wins(batch)).where(has_letter(F.col("body")))
+        unique = scrub_lettered(dedupe_last_wins(batch))
         unique.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     reviews.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(
