@@ -64,5 +64,5 @@ def write_snapshot(runs: DataFrame, reports: DataFrame, path: str) -> None:
 
 
 def write_markdown(texts: DataFrame, path: str) -> None:
-    """Save one markdown text per report; `text` must be the only column besides the run key."""
-    texts.select(*RUN_KEY, "text").write.partitionBy(*RUN_KEY).mode("overwrite").text(path)
+    """Save the markdown `text` of each report under its run."""
+    _write(texts.select(*RUN_KEY, "text"), path, "text", RUN_KEY)
