@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from voxloom.functions import ranking
 from voxloom.functions.text import embedding_text
 from voxloom.schemas import EMBEDDING, RUN_KEY
+from voxloom.session import durable
 
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
@@ -77,7 +78,8 @@ def embed_reviews(reviews: DataFrame, cache: DataFrame, model: str, encoder: Enc
     distinct = reviews.select("id", "title", "body").dropDuplicates(["id"])
     _, missing = split_cached(distinct, cache, model)
     texts = missing.select(F.col("id").alias("review_id"), embedding_text(F.col("title"), F.col("body")).alias("text"))
-    new = encode_hashed(texts, model) if encoder is None else encode_with(texts, encoder, model, batch)
+    # Vectors are costly and read twice (by the run and by the cache): they are stored at once.
+    new = durable(encode_hashed(texts, model) if encoder is None else encode_with(texts, encoder, model, batch))
     cached = cache.where(F.col("model") == model).join(
         distinct.select(F.col("id").alias("review_id")), "review_id", "left_semi")
     every = cached.select(*EMBEDDING.names).unionByName(new)

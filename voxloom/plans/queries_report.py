@@ -302,7 +302,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_rolling_counts", sql(f"""
-    SELECT product, strftime(sunday - 70, '%Y-%m-%d') AS window_start, count(*) AS reviews, CAST(sum(rating) AS BIGINT) AS rating_sum
+    SELECT product, strftime(sunday - 70, '%Y-%m-%d') AS window_start, count(*) AS reviews, CAST(sum(rating) AS BIGINT) AS rating_sum,
+      round(avg(rating), 6) AS avg_rating
     FROM (SELECT s.*, CAST(date AS DATE) + CAST(7 - isodow(date) AS INTEGER) + CAST(7 * k AS INTEGER) AS sunday
       FROM reviews s, (SELECT unnest(generate_series(0, 10)) AS k)) WHERE CAST(date AS DATE) >= sunday - 70
     GROUP BY ALL""", "reviews"))
@@ -312,7 +313,8 @@ def stream_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _review_stream(spark, sf_dir).select("product", "date", "rating")
     streams.run_rolling_counts(rows, f"{path}/out", f"{path}/checkpoint")
     return streams.latest_counts(spark, f"{path}/out").select(
-        "product", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "reviews", "rating_sum")
+        "product", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "reviews", "rating_sum",
+        F.round("avg_rating", 6).alias("avg_rating"))
 
 
 def _letter_counts(texts: list[str]) -> list[list[float]]:

@@ -64,7 +64,9 @@ def run_rolling_counts(reviews: DataFrame, path: str, checkpoint: str, weeks: in
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path).groupBy("product", "window_start").agg(
         F.max_by(F.struct("reviews", "rating_sum"), "update_no").alias("v"))
-    return rows.select("product", "window_start", "v.reviews", "v.rating_sum")
+    return rows.select(
+        "product", "window_start", "v.reviews", "v.rating_sum",
+        (F.col("v.rating_sum") / F.col("v.reviews")).alias("avg_rating"))
 
 
 def run_embed_missing(reviews: DataFrame, feed: str, cache_path: str, checkpoint: str, model: str,
