@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import near_dedup
+from voxloom.llm import near_dedup, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,5 +20,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup,)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 50 words that also start in a smaller document."""
+    cut = window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op8_substring_dedup)}
 ORACLES: dict[str, str] = {}
