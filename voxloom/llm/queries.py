@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import near_dedup, window_dedup
+from voxloom.llm import mixing, near_dedup, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +20,17 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document; sources weigh 5, 2, 1 in turn, at most three passes each."""
+    each, _ = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+    return each.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without windows of 50 words that also start in a smaller document."""
     cut = window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), window=50)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op8_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op7_source_mixing, op8_substring_dedup)}
+ORACLES: dict[str, str] = {"op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3)}
