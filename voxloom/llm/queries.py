@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import embedding_dedup, mixing, near_dedup, window_dedup
+from voxloom.llm import embedding_dedup, mixing, near_dedup, page_diff, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_diff.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all sources takes of every document; sources weigh 5, 2, 1 in turn, at most three passes each."""
     each, _ = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
@@ -37,5 +42,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op7_source_mixing, op8_substring_dedup, op10_embedding_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3)}
