@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import embedding_dedup, mixing, near_dedup, page_diff, window_dedup
+from voxloom.llm import embedding_dedup, mixing, near_dedup, page_diff, toxicity, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, and whether it is toxic."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, toxicity.graded(docs, labels))
+    return toxicity.predict(docs, model).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return page_diff.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -42,5 +49,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op10_embedding_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3)}
