@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import embedding_dedup, mixing, near_dedup, page_diff, toxicity, window_dedup
+from voxloom.llm import embedding_dedup, language_id, mixing, near_dedup, page_diff, toxicity, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    learned = language_id.samples(docs.where(language_id.remainder(F.col("doc_id")) != 1))
+    found = language_id.predict(docs, learned)
+    held = F.coalesce(language_id.remainder(F.col("doc_id")) == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, and whether it is toxic."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -49,5 +58,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op10_embedding_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3)}
