@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import embedding_dedup, language_id, mixing, near_dedup, page_diff, toxicity, window_dedup
+from voxloom.llm import decontamination, embedding_dedup, language_id, mixing, near_dedup, page_diff, toxicity, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,10 +53,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that align with an item of the benchmark."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of vectors of one label whose cosine is 0.93 or more."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op10_embedding_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op9_benchmark_decontamination, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3)}
