@@ -35,7 +35,7 @@ _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0.5, rare: float = 4.0, id: str = "doc_id", text: str = "text",
           item: str = "item_id", item_text: str = "text") -> DataFrame:
     """`doc_id, item_id, score, start, end`: the best aligned passage (word numbers) of every document and item that reach `least`."""
-    items = durable(benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL").mapInArrow(
+    items = durable(benchmark.select(F.col(item).cast("long").alias("item"), F.lower(item_text).alias("text")).where("item IS NOT NULL").mapInArrow(
         lambda b: _items(b, gram), "item long, words array<long>, grams array<long>").withColumn("number", F.monotonically_increasing_id()))
     grams = durable(items.select("number", "item", F.posexplode("grams").alias("place", "gram")))
     bits = grams.select(F.shiftright("gram", 64 - BITS).alias("bit"))
@@ -44,7 +44,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0
     for row in slots:  # at most 2 ** (BITS - 6) rows
         bitmap[row.slot + (len(bitmap) >> 1)] = row["mask"]
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    source = docs.select(F.col(id).cast("long").alias("id"), F.lower(text).alias("text")).where("id IS NOT NULL")
     passages = durable(source.mapInArrow(
         lambda b: _passages(b, gram, longest, bitmap), "id long, first long, words array<long>, grams array<long>, places array<int>").withColumn(
         "row", F.monotonically_increasing_id()))
@@ -106,17 +106,10 @@ def _passages(batches: Iterator[pa.RecordBatch], gram: int, reach: int, bitmap:
             row = np.searchsorted(first, at, "right") - 1
             inside = at + gram <= first[row + 1]
             at, row = at[inside], row[inside]
-            lo, hi = K.merge(np.maximum(first[row], at - reach), np.minimum(first[row + 1], at + gram + reach))
-            if len(lo) > 1:  # passages of neighbouring documents touch, they don't merge
-                cuts = first[(first > lo[0]) & (first < hi[-1])]
-                inner = cuts[np.searchsorted(lo, cuts, "left") > np.searchsorted(hi, cuts, "right")]
-                lo, hi = np.sort(np.concatenate([lo, inner])), np.sort(np.concatenate([hi, inner]))
-            elif len(lo):
-                inner = first[(first > lo[0]) & (first < hi[0])]
-                lo, hi = np.sort(np.concatenate([lo, inner])), np.sort(np.concatenate([hi, inner]))
-            lo, keep = np.unique(lo, return_index=True)
-            hi = hi[keep]
-            owner = np.searchsorted(first, lo, "right") - 1
+            # shifted by the document's number, passages of neighbouring documents don't touch
+            lo, hi = K.merge(np.maximum(first[row], at - reach) + row, np.minimum(first[row + 1], at + gram + reach) + row)
+            owner = np.searchsorted(first + np.arange(len(first)), lo, "right") - 1
+            lo, hi = lo - owner, hi - owner
             begin = np.searchsorted(at, lo)
             end = np.searchsorted(at, hi)
             yield pa.RecordBatch.from_arrays([
@@ -152,9 +145,8 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     if not n:
         return 0, 0, 0
     place = np.arange(n)
-    score, begin = np.zeros(n + 1, np.int64), np.concatenate([[0], place])  # of alignments that end before word j
+    score, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)  # of alignments that end before word j
     best = (0, 0, 0)
-    begin = np.arange(n + 1)
     for x in item:
         step = np.where(words == x, MATCH, -MISS)
         through, down = score[:-1] + step, score[1:] - GAP
