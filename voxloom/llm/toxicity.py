@@ -77,7 +77,7 @@ def fit(docs: DataFrame, grades: DataFrame, per_grade: int = 2000, id: str = "do
     if chosen.select("grade").distinct().count() < 2:
         return None
     # at most per_grade rows of two numbers per grade
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.lower(text).alias("text")).join(F.broadcast(chosen), "id")
     marked = durable(texts.select("grade", "text").mapInArrow(_marks, "grade int, marks array<int>"))
     counts = marked.select((F.col("grade") > 0).cast("int").alias("bad"), F.explode("marks").alias("feature")).groupBy("feature").agg(
         F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
@@ -151,7 +151,7 @@ def _solve(rows: list[list[int]], target: np.ndarray, shares: np.ndarray, width:
 
 def predict(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, severity, grade, p_toxic` per row of `docs`: mean grade, likeliest grade and the probability of a grade above 0."""
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(text).alias("text"))
     if model is None:
         return source.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"))
 
@@ -186,7 +186,7 @@ def graded(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
         return flat
     bad = flat.where("doc_id IS NOT NULL AND grade > 0").select("doc_id").distinct()
     chosen = durable(top_n(bad.withColumn("k", F.lit(1)), ("k",), [F.xxhash64("doc_id"), F.col("doc_id")], per_grade).select("doc_id"))
-    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     marks = coarse.features[coarse.weights > 0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
