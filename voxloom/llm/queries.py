@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import decontamination, embedding_dedup, language_id, line_dedup, mixing, near_dedup, page_diff, toxicity, window_dedup
+from voxloom.llm import decontamination, embedding_dedup, language_id, line_dedup, mixing, near_dedup, page_diff, suffix_dedup, toxicity, window_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes of 100-byte strings that also start earlier."""
+    cut = suffix_dedup.remove_later_copies(table(spark, sf_dir, "documents"), length=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without lines that equal an earlier line, or differ from it by two edits or less."""
     cut = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), errors=2)
@@ -69,5 +75,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op9_benchmark_decontamination, op10_embedding_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op9_benchmark_decontamination, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3)}
