@@ -12,12 +12,12 @@ NO_ID = 2**63 - 1
 SUB_BITS = 20
 
 
-def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
     """All operators that join positions back to texts use this one projection, so one exchange of the texts serves all joins."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(whole).bitwiseAND(2**SUB_BITS - 1).cast("int").alias("sub"), whole.alias("text"))
+        F.xxhash64(whole).bitwiseAND(2**SUB_BITS - 1).cast("int").alias("sub"), whole.alias("text"), *more)
 
 
 def named(id: str = "id") -> Column:

@@ -30,8 +30,11 @@ from voxloom.session import durable
 BYTES, TILE, BITS = 1 << 18, 256, 23
 
 
-def remove_repeated_lines(docs: DataFrame, errors: int = 2, least: int = 24, small: int = 16, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id, n_lines, n_removed, n_near, kept_text` per row of `docs`; `n_near` of the removed lines equal no earlier line."""
+def remove_repeated_lines(docs: DataFrame, errors: int = 2, least: int = 24, small: int = 16, id: str = "doc_id", text: str = "text",
+                          carry: tuple[str, ...] = ()) -> DataFrame:
+    """`doc_id, n_lines, n_removed, n_near, kept_text` per row of `docs`; `n_near` of the removed lines equal no earlier line.
+
+    The struct `carried` brings columns of `docs` along."""
     source = keyed(docs, id, text)
     lines = durable(source.mapInArrow(lambda b: _lines(b, least), "print long, id long, sub int, line int"))
     at = F.struct("id", "sub", "line")
@@ -55,9 +58,11 @@ def remove_repeated_lines(docs: DataFrame, errors: int = 2, least: int = 24, sma
     gone = lines.join(decided, "print").where(at != F.col("head")).select(
         "id", "sub", "line", (at == F.col("first")).alias("near"))
     places = gone.groupBy("id", "sub").agg(F.collect_set("line").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
-    return source.join(places, ["id", "sub"], "left").select("id", "sub", "text", "gone", "near").mapInArrow(
-        _cut, "id long, n_lines long, n_removed long, n_near long, kept_text string").select(
-        named().alias("doc_id"), "n_lines", "n_removed", "n_near", "kept_text")
+    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).isNull().alias("no_text")).alias("carried")
+    whole = keyed(docs, id, text, carried)
+    schema = "id long, n_lines long, n_removed long, n_near long, kept_text string, carried " + whole.schema["carried"].dataType.simpleString()
+    return whole.join(places, ["id", "sub"], "left").select("id", "sub", "text", "gone", "near", "carried").mapInArrow(_cut, schema).select(
+        named().alias("doc_id"), "n_lines", "n_removed", "n_near", "kept_text", "carried")
 
 
 class Lines:
@@ -272,5 +277,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append((b"\n".join(x for k, x in enumerate(split) if k not in drop) if drop else text).decode())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(part.lo, len(part)), pa.array(counts, pa.int64()), pa.array(np.diff(begin), pa.int64()),
-                pa.array(np.bincount(near_owner, minlength=len(part)), pa.int64()), pa.array(texts, pa.string())],
-                names=["id", "n_lines", "n_removed", "n_near", "kept_text"])
+                pa.array(np.bincount(near_owner, minlength=len(part)), pa.int64()), pa.array(texts, pa.string()),
+                batch.column(5).slice(part.lo, len(part))], names=["id", "n_lines", "n_removed", "n_near", "kept_text", "carried"])

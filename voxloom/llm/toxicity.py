@@ -151,19 +151,30 @@ def _solve(rows: list[list[int]], target: np.ndarray, shares: np.ndarray, width:
 
 def predict(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, severity, grade, p_toxic` per row of `docs`: mean grade, likeliest grade and the probability of a grade above 0."""
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(text).alias("text"))
+    found = annotate(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), model, "text")
+    return found.select("doc_id", F.col("_severity").alias("severity"), F.col("_grade").alias("grade"), F.col("_p_toxic").alias("p_toxic"))
+
+
+def annotate(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """`docs` with `_severity`, `_grade` and `_p_toxic`; columns of these names are replaced."""
+    added = {"_severity": "double", "_grade": "integer", "_p_toxic": "double"}
+    docs = docs.drop(*added)
     if model is None:
-        return source.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"))
+        return docs.withColumns({c: F.lit(0).cast(kind) for c, kind in added.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [_score(part, model) for part in K.slices(batch.column("text"), 1 << 18)]
+            columns, names = batch.columns, batch.schema.names
+            scores = [_score(part, model) for part in K.slices(columns[-1], 1 << 18)]
             spread = model.spread(np.concatenate([*scores, np.zeros(0)]))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(spread @ np.arange(spread.shape[1])), pa.array(spread.argmax(axis=1).astype(np.int32)),
-                pa.array(1 - spread[:, 0])], names=["doc_id", "severity", "grade", "p_toxic"])
+                *columns[:-1], pa.array(spread @ np.arange(spread.shape[1])), pa.array(spread.argmax(axis=1).astype(np.int32)),
+                pa.array(1 - spread[:, 0])], names=[*names[:-1], *added])
 
-    return source.mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double")
+    schema = docs.schema
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return docs.select("*", F.lower(text).alias("_low")).mapInArrow(run, schema)
 
 
 def _score(part: K.Slice, model: Model) -> np.ndarray:
