@@ -33,7 +33,7 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, SLICE + 1)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             out = np.full(size, base, np.uint64)
