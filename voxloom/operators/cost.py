@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions import ranking
 from voxloom.functions.pricing import token_cost
 from voxloom.schemas import RUN_KEY
 
@@ -30,10 +31,9 @@ def cost_alerts(totals: DataFrame, max_tokens: int = 60_000, max_usd: float = 2.
 
 def token_budget(ranked: DataFrame, tokens: str, budget: int, keys: tuple[str, ...] = RUN_KEY, rank: str = "rank",
                  start: Column | int = 0) -> DataFrame:
-    """Clusters summarised before the budget ran out; the one that crosses it is still kept.
+    """Calls made before the budget ran out; the one that crosses it is still kept.
 
-    A run has at most a handful of ranked clusters, so the window is small.
+    A key may hold any number of calls: the running totals come from slices.
     """
-    before = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(tokens).over(before), F.lit(0)) + start
-    return ranked.withColumn("tokens_before", spent.cast("long")).where(F.col("tokens_before") <= budget)
+    spent = ranking.total_before(ranked, keys, [F.col(rank)], F.col(tokens), "tokens_before")
+    return spent.withColumn("tokens_before", (F.col("tokens_before") + start).cast("long")).where(F.col("tokens_before") <= budget)

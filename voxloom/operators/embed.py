@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -62,14 +62,17 @@ def encode_with(texts: DataFrame, encoder: Encoder, model: str, batch: int = 100
 
 
 def encode_hashed(texts: DataFrame, model: str, dims: int = 128) -> DataFrame:
-    """Built-in encoder without a model file: hashed terms, weighted by rarity, unit length; all in the JVM."""
+    """Built-in encoder without a model file: hashed terms, log-scaled counts, unit length; all in the JVM.
+
+    Nothing is fitted, so a text has the same vector whatever else is in the batch or the cache.
+    """
     words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\W+").transform(
         texts.select("review_id", "text"))
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return unit.select(
-        "review_id", vector_to_array("_unit", "float32").alias("embedding"), F.lit(model).alias("model"))
+    scaled = counts.select("review_id", F.transform(vector_to_array("_tf"), lambda x: F.log1p(x)).alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform("_v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    return scaled.select("review_id", unit.cast("array<float>").alias("embedding"), F.lit(model).alias("model"))
 
 
 def embed_reviews(reviews: DataFrame, cache: DataFrame, model: str, encoder: Encoder | None = None,

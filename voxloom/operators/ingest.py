@@ -13,7 +13,7 @@ from voxloom.functions.weeks import assign_windows
 from voxloom.schemas import RUN_KEY
 from voxloom.settings import Settings
 
-_SEQ_PER_SOURCE = 1 << 48
+_SEQ_PER_SOURCE = 1 << 60
 Week = tuple[int, int]
 
 
@@ -147,6 +147,7 @@ def ingest_runs(reviews: DataFrame, weeks: Sequence[Week], settings: Settings |
     settings = settings or Settings()
     chosen = select_run_rows(reviews, weeks, settings, runs)
     used = chosen.select("id", F.col("last_seq").alias("seq")).distinct()
-    texts = reviews.drop("product").join(used, ["id", "seq"], "left_semi")
+    # polls without numbers may repeat a place: one text per place
+    texts = reviews.drop("product").join(used, ["id", "seq"], "left_semi").dropDuplicates(["id", "seq"])
     clean = scrub_lettered(texts).withColumnRenamed("seq", "last_seq")
     return chosen.join(clean, ["id", "last_seq"]).drop("last_seq")

@@ -107,12 +107,20 @@ def pending_channels(decided: DataFrame, ledger: DataFrame) -> DataFrame:
         "email_pending": active & ~F.coalesce("email_delivered", F.lit(False))})
 
 
-def delivery_plan(runs: DataFrame, published: DataFrame, products: DataFrame, mode: str = "draft") -> DataFrame:
-    """Per run: append or skip the section, and how to mail whom. The table is the hand-off."""
-    checked = anchor_exists(runs, published, products)
+def delivery_plan(runs: DataFrame, published: DataFrame, products: DataFrame, mode: str = "draft",
+                  ledger: DataFrame | None = None) -> DataFrame:
+    """Per run: append or skip the section, and how to mail whom. The table is the hand-off.
+
+    With the ledger, a resumed run does not mail again what has been mailed.
+    """
+    checked = runs if {"anchor", "delivered"} <= set(runs.columns) else anchor_exists(runs, published, products)
+    mailed = F.lit(False)
+    if ledger is not None:
+        flags = run_flags(ledger).select(*RUN_KEY, F.col("email_delivered").alias("_mailed"))
+        checked, mailed = checked.join(flags, list(RUN_KEY), "left"), F.coalesce("_mailed", F.lit(False))
     return checked.select(
         *RUN_KEY, "doc_id", "anchor", F.when(F.col("delivered"), "skip").otherwise("append").alias("doc_action"),
-        F.lit({"none": "skip", "send": "send"}.get(mode, "draft")).alias("email_action"),
+        F.when(mailed, "skip").otherwise({"none": "skip", "send": "send"}.get(mode, "draft")).alias("email_action"),
         F.array_join("stakeholder_emails", ", ").alias("recipients"))
 
 

@@ -7,12 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxloom.functions.keys import STORES, clamp_rating, raw_length, review_id, to_utc
 
 _SEQ_PER_PAGE = 1 << 20
+_SEQ_PER_POLL = 1 << 40
 
 
 def _whole_number(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.btrim(text).try_cast("int"))
 
 
+def _extra(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "poll"]
+
+
+def _poll(df: DataFrame) -> Column:
+    """The poll as the highest part of `seq`: of two polls with a review in the same place, the later one wins."""
+    return F.coalesce("poll", F.lit(0)).cast("long") * _SEQ_PER_POLL if _extra(df) else F.lit(0).cast("long")
+
+
 def normalize_appstore(entries: DataFrame) -> DataFrame:
     """Feed entries to reviews. Every label is required; a bad date or rating drops the row."""
     label = {
@@ -20,20 +30,20 @@ def normalize_appstore(entries: DataFrame) -> DataFrame:
         "title": F.col("entry.title.label"), "body": F.col("entry.content.label"),
         "version": F.col("entry.`im:version`.label"), "rating": _whole_number(F.col("entry.`im:rating`.label")),
         "date": to_utc(F.col("entry.updated.label"))}
-    rows = entries.select("product", "app_id", "page", "pos", *[c.alias(n) for n, c in label.items()])
+    rows = entries.select("product", "app_id", "page", "pos", *_extra(entries), *[c.alias(n) for n, c in label.items()])
     return rows.dropna(subset=list(label)).select(
         review_id(F.lit("appstore"), F.col("app_id"), F.col("source_id")).alias("id"),
         F.lit("appstore").alias("store"), "product", "author", clamp_rating(F.col("rating")).alias("rating"),
         "title", "body", "date", "version", F.lit("en").alias("language"),
         raw_length(F.col("body")).alias("raw_length"),
-        (F.col("page").cast("long") * _SEQ_PER_PAGE + F.col("pos")).alias("seq"))
+        (_poll(entries) + F.col("page").cast("long") * _SEQ_PER_PAGE + F.col("pos")).alias("seq"))
 
 
 def normalize_playstore(rows: DataFrame) -> DataFrame:
     """Scrape rows to reviews. No id or no time drops the row; other gaps get defaults."""
     score = F.when(F.col("score").isNull(), F.lit(0)).otherwise(_whole_number(F.col("score")))
     read = rows.select(
-        "product", "app_id", "batch", "pos", "reviewId",
+        "product", "app_id", "batch", "pos", "reviewId", *_extra(rows),
         F.coalesce("userName", F.lit("Unknown")).alias("author"), F.coalesce("content", F.lit("")).alias("body"),
         score.alias("rating"), F.col("reviewCreatedVersion").alias("version"), to_utc(F.col("at")).alias("date"))
     kept = read.where((F.col("reviewId") != "") & F.col("date").isNotNull() & F.col("rating").isNotNull())
@@ -42,7 +52,7 @@ def normalize_playstore(rows: DataFrame) -> DataFrame:
         F.lit("playstore").alias("store"), "product", "author", clamp_rating(F.col("rating")).alias("rating"),
         F.lit(None).cast("string").alias("title"), "body", "date", "version", F.lit("en").alias("language"),
         raw_length(F.col("body")).alias("raw_length"),
-        (F.col("batch").cast("long") * _SEQ_PER_PAGE + F.col("pos")).alias("seq"))
+        (_poll(rows) + F.col("batch").cast("long") * _SEQ_PER_PAGE + F.col("pos")).alias("seq"))
 
 
 def review_reason(df: DataFrame) -> DataFrame:

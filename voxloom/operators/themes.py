@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,16 +42,23 @@ def build_prompts(members: DataFrame, quotes: int = 3, actions: int = 2,
 
 
 def summarize_clusters(prompts: DataFrame, summarizer: Summarizer, keys: tuple[str, ...] = RUN_KEY,
-                       tries: int = 3, budget: int | None = None, start: int = 0) -> DataFrame:
-    """Ask a pluggable summariser on the executors; a prompt that fails `tries` times gives a NULL answer.
+                       tries: int = 3, budget: int | None = None, start: int = 0, pause: float = 0.2) -> DataFrame:
+    """Ask a pluggable summariser on the executors; a prompt that fails `tries` times gives a NULL answer
+    and costs nothing. An answer that is no JSON object is a failure; an empty one counts as `{}`.
 
     With `budget`, the clusters of a run (a handful, by `rank`) are asked one after the other and
     none is asked once the tokens so far exceed the budget.
     """
     def ask(prompt: str) -> tuple[str | None, int, int]:
-        for _ in range(tries):
+        for turn in range(tries):
+            if turn:
+                time.sleep(pause)
             try:
-                return summarizer(prompt)
+                raw, asked, told = summarizer(prompt)
+                raw = raw or "{}"
+                if not isinstance(json.loads(raw), dict):
+                    raise ValueError("the answer is no JSON object")
+                return raw, asked, told
             except Exception:  # noqa: BLE001 - any failure of the callable costs one try
                 continue
         return None, 0, 0

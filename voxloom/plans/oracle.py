@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from voxloom.plans.tables import MAX_RUN
+
 RUN = "product, iso_year, iso_week"
 
 _DIGITS = "lpad(CAST(doc_id % {m} AS VARCHAR), {n}, '0')"
@@ -75,16 +77,20 @@ def windows(source: str, date: str = "date") -> str:
 
 _MODELS = "['gpt-4o-mini', 'gpt-4o-2024', 'llama-3.1-8b', 'some-other-model', 'text-embedding-3-small']"
 
+# Prices per 1,000 tokens, input and output.
+_PRICES = {
+    "text-embedding-3-small": (0.00002, 0.0), "gpt-4o-mini": (0.00015, 0.0006), "gpt-4o": (0.0025, 0.01), "llama": (0.0, 0.0),
+    "all-MiniLM": (0.0, 0.0)}
+
 
 def price(model: str, side: str) -> str:
-    cost = {"input": (0.00002, 0.00015, 0.0025, 0.0, 0.0), "output": (0.0, 0.0006, 0.01, 0.0, 0.0)}[side]
-    parts = ("text-embedding-3-small", "gpt-4o-mini", "gpt-4o", "llama", "all-MiniLM")
-    whens = " ".join(f"WHEN contains({model}, '{p}') THEN {c}::DOUBLE" for p, c in zip(parts, cost))
-    return f"(CASE {whens} ELSE {cost[1]}::DOUBLE END)"
+    at = ("input", "output").index(side)
+    whens = " ".join(f"WHEN contains({model}, '{part}') THEN {prices[at]}::DOUBLE" for part, prices in _PRICES.items())
+    return f"(CASE {whens} ELSE {_PRICES['gpt-4o-mini'][at]}::DOUBLE END)"
 
 
 _ANCHOR = "product || '-' || iso_year || '-W' || lpad(CAST(iso_week AS VARCHAR), 2, '0')"
-_DAY = "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(97 * doc_id))"
+_DAY = "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(97 * (doc_id % 10000)))"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "reviews": ((), f"""
@@ -103,10 +109,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN n % 5 = 0 THEN '' ELSE 'com.' || slug END AS playstore_id, 'doc-' || slug AS doc_id,
           'Doc ' || slug AS doc_title, slug || '@example.com, team@' || slug || '.org' AS recipients
         FROM (SELECT DISTINCT source AS slug, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS n FROM documents)"""),
-    "members": (("reviews",), f"""
+    "all_members": (("reviews",), f"""
         SELECT *, CAST(seq % 7 - 1 AS INTEGER) AS label FROM (
           SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY date DESC, seq) AS pos
-          FROM ({windows('reviews')})) WHERE pos <= 500"""),
+          FROM ({windows('reviews')}))"""),
+    "members": (("all_members",), f"SELECT * FROM all_members WHERE pos <= {MAX_RUN}"),
     "sizes": (("members",), f"""
         SELECT {RUN}, label, count(*) AS size, avg(rating) AS avg_rating, min(pos) AS first_pos
         FROM members WHERE label <> -1 GROUP BY ALL"""),
@@ -186,9 +193,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT 'doc-' || source AS doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' - Anchor ID: ' || source || '-' ||
           isoyear({_DAY}) || '-W' || lpad(CAST(week({_DAY}) AS VARCHAR), 2, '0') || ' end' ELSE text END AS text
         FROM documents"""),
-    "newest500": (("reviews",), """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY date DESC, seq) AS pos FROM reviews)
-        WHERE pos <= 500"""),
+    "newest": (("reviews",), """
+        SELECT *, row_number() OVER (PARTITION BY product ORDER BY date DESC, seq) AS pos FROM reviews"""),
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom.functions import ranking, text
@@ -35,10 +37,10 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.newest_first(rows, ("product",)).select("product", "id", pos_column())
 
 
-@query("cap_per_product", sql("SELECT product, id, pos FROM newest500", "newest500"))
+@query("cap_per_product", sql(f"SELECT product, id, pos FROM newest WHERE pos <= {tables.MAX_RUN}", "newest"))
 def cap_per_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.reviews(spark, sf_dir).select("product", "id", "date", "seq")
-    return ingest.cap_per_product(rows, 500, ("product",)).select("product", "id", pos_column())
+    return ingest.cap_per_product(rows, tables.MAX_RUN, ("product",)).select("product", "id", pos_column())
 
 
 @query("cap_per_store", sql("""
@@ -96,9 +98,9 @@ def runs_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("number_items", sql(f"""
     SELECT {RUN_SQL}, {LABEL_SQL}, id, row_number() OVER (PARTITION BY {RUN}, label ORDER BY pos) AS n
-    FROM members WHERE label <> -1""", "members"))
+    FROM all_members WHERE label <> -1""", "all_members"))
 def number_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cluster.noise_exclude(tables.slim_members(spark, sf_dir))
+    found = cluster.noise_exclude(tables.every_member(spark, sf_dir))
     numbered = cluster.number_items(found, (*RUN_KEY, "label"), [F.col("pos")])
     return numbered.select(*run_columns(), label(), "id", pos_column("n"))
 
@@ -107,25 +109,23 @@ def number_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, turn, tokens, tokens_before FROM (
       SELECT *, coalesce(CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING
         AND 1 PRECEDING) AS BIGINT), 0) AS tokens_before
-      FROM (SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS tokens,
-            row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 5)
+      FROM (SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS tokens
+            FROM conversations))
     WHERE tokens_before <= 120""")
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = tables.calls(spark, sf_dir).withColumn("tokens", F.col("input_tokens") + F.col("output_tokens"))
-    ranked = ranking.top_n(calls, ("conv_id",), [F.col("turn")], 5, "rank")
-    kept = cost.token_budget(ranked, "tokens", 120, ("conv_id",))
+    kept = cost.token_budget(calls, "tokens", 120, ("conv_id",), rank="turn")
     return kept.select("conv_id", "turn", "tokens", "tokens_before")
 
 
 @query("embed_budget", sql("""
     SELECT product, id, batch FROM (SELECT *, sum(total) OVER (PARTITION BY product ORDER BY batch) AS spent
-      FROM (SELECT product, (pos - 1) // 10 AS batch, sum(raw_length) AS total FROM newest500 GROUP BY ALL))
-    JOIN (SELECT product, id, (pos - 1) // 10 AS batch FROM newest500) USING (product, batch)
-    WHERE spent <= 60000""", "newest500"))
+      FROM (SELECT product, (pos - 1) // 10 AS batch, sum(raw_length) AS total FROM newest GROUP BY ALL))
+    JOIN (SELECT product, id, (pos - 1) // 10 AS batch FROM newest) USING (product, batch)
+    WHERE spent <= 60000""", "newest"))
 def embed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.reviews(spark, sf_dir).select("product", "id", "raw_length", "date", "seq")
-    capped = ingest.cap_per_product(rows, 500, ("product",))
-    kept = embed.embed_budget(capped, "raw_length", 60_000, 10, keys=("product",))
+    kept = embed.embed_budget(ingest.newest_first(rows, ("product",)), "raw_length", 60_000, 10, keys=("product",))
     return kept.select("product", "id", "batch")
 
 
@@ -196,10 +196,11 @@ def report_with_product(spark: SparkSession, sf_dir: str) -> DataFrame:
         *run_columns(), "display_name", "doc_id", "stats.total_reviews", F.size("themes").cast("long").alias("themes"))
 
 
-_WEEKS = [(2024, w) for w in range(1, 53)] + [(2025, w) for w in range(1, 45)]
-_GRID_SQL = """
+_WEEKS = tables.all_weeks()
+_LAST_MONDAY = date.fromisocalendar(*_WEEKS[-1], 1)
+_GRID_SQL = f"""
     SELECT slug AS product, isoyear(d) AS iso_year, week(d) AS iso_week, display_name, doc_id, d - 64 AS window_start,
-      d + 6 AS window_end FROM products, (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2025-10-27',
+      d + 6 AS window_end FROM products, (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '{_LAST_MONDAY}',
       INTERVAL 7 DAY)) AS DATE) AS d)"""
 
 
@@ -276,9 +277,9 @@ def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("noise_count", sql(f"""
     SELECT {RUN_SQL}, count(*) FILTER (label = -1) AS noise_reviews, count(*) FILTER (label <> -1) AS clustered_reviews
-    FROM members GROUP BY ALL""", "members"))
+    FROM all_members GROUP BY ALL""", "all_members"))
 def noise_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cluster.noise_count(tables.slim_members(spark, sf_dir))
+    rows = cluster.noise_count(tables.every_member(spark, sf_dir))
     return rows.select(*run_columns(), "noise_reviews", "clustered_reviews")
 
 

@@ -56,7 +56,7 @@ def _landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_appstore_pages", sql(f"""
     SELECT product, seq // {PAGE_ROWS} + 1 AS page, CAST(seq AS VARCHAR) AS source_id, md5(body) AS body,
       CAST(rating AS VARCHAR) AS rating
-    FROM reviews WHERE store = 'appstore' AND seq // {PAGE_ROWS} + 1 <= 10""", "reviews"))
+    FROM reviews WHERE store = 'appstore'""", "reviews"))
 def scan_appstore_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "pages")
     _landed_pages(spark, sf_dir).write.json(path)
@@ -391,9 +391,9 @@ def incremental_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("reviews"), when_text(F.min("date")).alias("oldest"))
 
 
-@query("noise_exclude", sql(f"SELECT {RUN_SQL}, id, CAST(label AS BIGINT) AS label FROM members WHERE label <> -1", "members"))
+@query("noise_exclude", sql(f"SELECT {RUN_SQL}, id, CAST(label AS BIGINT) AS label FROM all_members WHERE label <> -1", "all_members"))
 def noise_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cluster.noise_exclude(tables.slim_members(spark, sf_dir))
+    rows = cluster.noise_exclude(tables.every_member(spark, sf_dir))
     return rows.select(*run_columns(), "id", F.col("label").cast("long").alias("label"))
 
 

@@ -8,7 +8,7 @@ from voxloom.functions import keys, weeks
 from voxloom.operators import ingest, ledger as ledger_ops, render
 from voxloom.plans import tables
 from voxloom.plans.catalog import RUN_SQL, longs, query, run_columns, when_sql, when_text
-from voxloom.plans.oracle import RUN, sql
+from voxloom.plans.oracle import RUN, scrub, sql
 from voxloom.plans.queries_analysis import _DELIVERED_SQL, _GRID_SQL, _WEEKS
 from voxloom.schemas import RUN_KEY
 from voxloom.session import scratch_path
@@ -322,9 +322,9 @@ def _letter_counts(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(t.count(" "))] for t in texts]
 
 
-@query("stream_embed_missing", sql(r"""
+@query("stream_embed_missing", sql(f"""
     SELECT id, CAST(length(CASE WHEN title IS NULL THEN body ELSE title || chr(10) || body END) AS BIGINT) AS chars
-    FROM reviews""", "reviews"))
+    FROM (SELECT id, {scrub('title')} AS title, {scrub('body')} AS body FROM reviews)""", "reviews"))
 def stream_embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.pin_utc(spark)
     path = scratch_path(spark, "stream")

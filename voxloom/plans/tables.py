@@ -5,13 +5,14 @@ Everything here grows with the tables: no row is left out.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom.functions import ranking
 from voxloom.functions.keys import review_id, section_anchor
-from voxloom.functions.weeks import iso_week_of, iso_year_of, week_sunday, window_start
+from voxloom.functions.weeks import assign_windows, iso_week_of, iso_year_of, week_sunday, window_start
 from voxloom.operators import cluster, cost, ingest, quotes as quote_ops, report, themes as theme_ops
 from voxloom.operators.ledger import latest_records
 from voxloom.schemas import RUN_KEY, RUN_RECORD
@@ -19,7 +20,10 @@ from voxloom.session import durable, pin_utc, spread
 
 FIRST_DAY = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 MINUTES_APART = 97
-MAX_RUN = 500
+#: Documents of one round of the calendar: dates span a fixed time, so runs grow with the tables.
+CALENDAR = 10_000
+#: Cap of a run in the queries about capped runs; small enough to cut runs of the small tables too.
+MAX_RUN = 40
 LABELS = 7
 EDIT_SEQ = 1_000_000_000_000
 MODELS = ("gpt-4o-mini", "gpt-4o-2024", "llama-3.1-8b", "some-other-model", "text-embedding-3-small")
@@ -33,6 +37,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def calendar(doc: Column) -> Column:
+    """The time of a document."""
+    return F.timestamp_seconds(F.lit(FIRST_DAY) + F.pmod(doc, F.lit(CALENDAR)) * (60 * MINUTES_APART))
+
+
+def all_weeks(window_weeks: int = 10) -> list[tuple[int, int]]:
+    """Every ISO week that has a document of the calendar in its window."""
+    first = date(1970, 1, 1) + timedelta(seconds=FIRST_DAY)
+    last = first + timedelta(minutes=(CALENDAR - 1) * MINUTES_APART, weeks=window_weeks)
+    return [(first + timedelta(weeks=n)).isocalendar()[:2] for n in range((last - first).days // 7 + 1)]
+
+
 def as_reviews(docs: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     digits = lambda n: F.lpad(F.pmod(doc, F.lit(10 ** n)).cast("string"), n, "0")
@@ -51,7 +67,7 @@ def as_reviews(docs: DataFrame) -> DataFrame:
         F.col("source").alias("product"), F.concat(F.lit("user_"), (doc % 97).cast("string")).alias("author"),
         (doc % 5 + 1).cast("int").alias("rating"),
         F.when(doc % 2 == 0, F.substring("text", 1, 40)).alias("title"), body.alias("body"),
-        F.timestamp_seconds(F.lit(FIRST_DAY) + doc * (60 * MINUTES_APART)).alias("date"),
+        calendar(doc).alias("date"),
         F.when(doc % 3 != 0, F.concat(F.lit("1."), (doc % 10).cast("string"))).alias("version"),
         F.col("lang").alias("language"), F.length(body).alias("raw_length"), doc.alias("seq"))
 
@@ -102,6 +118,12 @@ class Given:
         ranked = ingest.newest_per_window(rows, MAX_RUN)
         return self._keep(ranked.withColumn("label", (F.pmod(F.col("seq"), F.lit(LABELS)) - 1).cast("int")))
 
+    @cached_property
+    def every_member(self) -> DataFrame:
+        """Reviews of every rolling window, however many, with `pos` and `label`."""
+        rows = ingest.newest_first(assign_windows(self.reviews.select("product", "id", "store", "rating", "date", "seq")))
+        return rows.withColumn("label", (F.pmod(F.col("seq"), F.lit(LABELS)) - 1).cast("int"))
+
     @cached_property
     def clusters(self) -> DataFrame:
         """The largest clusters of every window, by the planted labels."""
@@ -192,6 +214,10 @@ def slim_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Given(spark, sf_dir).slim
 
 
+def every_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Given(spark, sf_dir).every_member
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model call per turn of `conversations`: words asked and words answered."""
     talk = table(spark, sf_dir, "conversations")
@@ -270,7 +296,7 @@ def run_records(runs: DataFrame) -> DataFrame:
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as text blocks of the published documents; every third one holds an anchor."""
-    day = F.timestamp_seconds(F.lit(FIRST_DAY) + F.col("doc_id") * (60 * MINUTES_APART))
+    day = calendar(F.col("doc_id"))
     anchor = section_anchor(F.col("source"), iso_year_of(day), iso_week_of(day))
     return documents(spark, sf_dir).select(
         F.concat(F.lit("doc-"), F.col("source")).alias("doc_id"),

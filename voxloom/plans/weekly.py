@@ -97,7 +97,7 @@ def run_weekly(reviews: DataFrame, products: DataFrame, weeks: Sequence[ingest.W
     reports = durable(report.assemble_report(runs, ranked, checked, stats, now))
     records = ledger_ops.ledger_metrics(start_records(runs, ledger, now, update_seq), stats)
     delivery = ledger_ops.delivery_plan(
-        runs.drop("anchor", "delivered", "status", "decision"), published, products, settings.email_mode)
+        runs.drop("status", "decision"), published, products, settings.email_mode, ledger)
     return WeeklyRun(
         runs, cleaned, labelled, ranked, checked, reports, render.render_all(reports, products), delivery,
         records.select(*RUN_RECORD.names), new)

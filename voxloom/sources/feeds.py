@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from voxloom.schemas import FEED_ENTRY, FEED_PAGE, RAW_PAGE, SCRAPE_ROW
 
+POLL = T.StructField("poll", T.IntegerType())
 _SKIP_BROKEN = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
+def _poll(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == POLL.name]
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages as JSON lines `{product, app_id, page, payload}`."""
-    return spark.read.schema(RAW_PAGE).json(path)
+    """Landed pages as JSON lines `{product, app_id, page, payload, poll}`; `poll` counts the fetches and may be missing."""
+    return spark.read.schema(T.StructType([*RAW_PAGE, POLL])).json(path)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Landed scrape rows as JSON lines, 100 to a batch, newest first."""
-    return spark.read.schema(SCRAPE_ROW).json(path)
+    return spark.read.schema(T.StructType([*SCRAPE_ROW, POLL])).json(path)
 
 
 def _with_entries(pages: DataFrame) -> DataFrame:
@@ -33,15 +38,15 @@ def _with_entries(pages: DataFrame) -> DataFrame:
     }).drop("_page")
 
 
-def scan_appstore_pages(pages: DataFrame, max_pages: int = 10) -> DataFrame:
-    """One row per feed entry. Broken pages give no rows; pages beyond `max_pages` are not read."""
-    read = _with_entries(pages.where(F.col("page") <= max_pages))
-    return read.select("product", "app_id", "page", F.posexplode("entries").alias("pos", "entry"))
+def scan_appstore_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """One row per feed entry. Broken pages give no rows; with `max_pages`, pages beyond it are not read."""
+    read = _with_entries(pages if max_pages is None else pages.where(F.col("page") <= max_pages))
+    return read.select("product", "app_id", "page", *_poll(pages), F.posexplode("entries").alias("pos", "entry"))
 
 
 def scan_playstore_batches(batches: DataFrame) -> DataFrame:
     """Scrape rows with their place in the feed; a line that is no JSON object gives an empty row."""
-    return batches.select(*SCRAPE_ROW.names)
+    return batches.select(*SCRAPE_ROW.names, *_poll(batches))
 
 
 def drop_after_failure(pages: DataFrame) -> DataFrame:

@@ -29,26 +29,34 @@ def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
 
 
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version; an absent or unreadable ledger counts as empty."""
+    """The newest complete version that can be read; an absent ledger counts as empty.
+
+    A damaged version falls back to the one before it, so the history is never lost.
+    """
     complete = [version for version, done in _versions(spark, path) if done]
     empty = spark.createDataFrame([], RUN_RECORD)
-    if not complete:
-        return empty
-    ledger = spark.read.schema(RUN_RECORD).parquet(f"{path}/v{complete[-1]:08d}")
-    try:
-        ledger.agg(F.max("update_seq")).first()
-        return ledger
-    except (PySparkException, Py4JJavaError) as failure:
-        # Only a damaged file counts as empty; any other failure must not hide the ledger.
-        if any(sign in str(failure) for sign in _DAMAGED):
-            return empty
-        raise
+    for version in reversed(complete):
+        ledger = spark.read.schema(RUN_RECORD).parquet(f"{path}/v{version:08d}")
+        try:
+            ledger.agg(F.max("update_seq")).first()
+            return ledger
+        except (PySparkException, Py4JJavaError) as failure:
+            # Only a damaged file falls back; any other failure must not hide the ledger.
+            if not any(sign in str(failure) for sign in _DAMAGED):
+                raise
+    return empty
 
 
 def save_ledger(ledger: DataFrame, path: str) -> int:
-    """Write a new version; a version is seen only once it is complete. Concurrent savers collide and fail."""
+    """Write a new version; a version is seen only once it is complete.
+
+    A saver claims its number by creating a file that must not exist yet: of two savers, one fails.
+    """
     spark = ledger.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     version = max([v for v, _ in _versions(spark, path)], default=0) + 1
+    claim = jvm.org.apache.hadoop.fs.Path(f"{path}/claim-{version:08d}")
+    claim.getFileSystem(conf).create(claim, False).close()
     ledger.select(*RUN_RECORD.names).write.mode("errorifexists").parquet(f"{path}/v{version:08d}")
     return version
 

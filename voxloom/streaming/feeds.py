@@ -11,20 +11,25 @@ from voxloom.operators.ingest import dedupe_last_wins
 from voxloom.schemas import EMBEDDING
 
 
-def stream_ingest(reviews: DataFrame, delay: str = "71 days") -> DataFrame:
-    """Scrubbed reviews of a stream, each id once: the first poll that delivers it wins.
+def run_stream_ingest(reviews: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what has landed and stop: scrubbed reviews, each id once, from the first poll that delivers it.
 
-    State per id is dropped once the watermark has passed it.
+    No watermark: a review of any age counts, in whatever order files land. What an id store must remember is the stored reviews
+    themselves; a batch meets only their ids.
     """
-    fresh = reviews.withWatermark("date", delay).dropDuplicatesWithinWatermark(["id"])
-    return scrub_lettered(fresh)
+    spark = reviews.sparkSession
 
+    def land(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c != "id"]
+        first = batch.groupBy("id").agg(F.min_by(F.struct(*rest), "seq").alias("_v")).select("id", "_v.*").select(*batch.columns)
+        if _exists(spark, path):
+            # A retried batch must not see what its first try wrote: it replaces its own folder.
+            known = spark.read.parquet(path).where(F.col("batch") != batch_id).select("id")
+            first = first.join(known, "id", "left_anti")
+        scrub_lettered(first).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def run_stream_ingest(reviews: DataFrame, path: str, checkpoint: str, delay: str = "71 days") -> None:
-    """Process what has landed and stop."""
-    query = (stream_ingest(reviews, delay).writeStream.format("parquet").option("path", path)
-             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    reviews.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
 
 
 def run_stream_latest(reviews: DataFrame, path: str, checkpoint: str) -> None:
@@ -42,22 +47,25 @@ def latest_reviews(spark: SparkSession, path: str) -> DataFrame:
     return dedupe_last_wins(spark.read.parquet(path).drop("batch"))
 
 
-def rolling_counts(reviews: DataFrame, weeks: int = 10, delay: str = "7 days") -> DataFrame:
-    """Reviews and mean rating per product and rolling Sunday-to-Sunday window; late rows are dropped."""
+def rolling_counts(reviews: DataFrame, weeks: int = 10) -> DataFrame:
+    """Reviews and mean rating per product and rolling Sunday-to-Sunday window; rows of any age count.
+
+    The state is one row per product and window, so it needs no watermark to stay small.
+    """
     # 1970-01-01 was a Thursday: a start of three days puts the windows on Sundays.
     sliding = F.window("date", f"{7 * weeks + 1} days", "7 days", "3 days")
-    return reviews.withWatermark("date", delay).groupBy(sliding.alias("window"), "product").agg(
+    return reviews.groupBy(sliding.alias("window"), "product").agg(
         F.count("*").alias("reviews"), F.sum("rating").alias("rating_sum"))
 
 
-def run_rolling_counts(reviews: DataFrame, path: str, checkpoint: str, weeks: int = 10, delay: str = "7 days") -> None:
+def run_rolling_counts(reviews: DataFrame, path: str, checkpoint: str, weeks: int = 10) -> None:
     """Write changed windows batch by batch; `latest_counts` keeps the newest figure of each."""
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.select(
             F.lit(batch_id).cast("long").alias("update_no"), "product", F.col("window.start").alias("window_start"),
             "reviews", "rating_sum").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    rolling_counts(reviews, weeks, delay).writeStream.outputMode("update").foreachBatch(land).option(
+    rolling_counts(reviews, weeks).writeStream.outputMode("update").foreachBatch(land).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -77,7 +85,7 @@ def run_embed_missing(reviews: DataFrame, feed: str, cache_path: str, checkpoint
     def land(batch: DataFrame, batch_id: int) -> None:
         # A retried batch must not see what its first try wrote: it replaces its own folder.
         known = _cache_rows(spark, cache_path).where(~((F.col("feed") == feed) & (F.col("batch") == batch_id)))
-        _, missing = split_cached(dedupe_last_wins(batch), known, model)
+        _, missing = split_cached(scrub_lettered(dedupe_last_wins(batch)), known, model)
         texts = missing.select(
             F.col("id").alias("review_id"), embedding_text(F.col("title"), F.col("body")).alias("text"))
         encode_with(texts, encoder, model).write.mode("overwrite").parquet(
@@ -87,12 +95,16 @@ def run_embed_missing(reviews: DataFrame, feed: str, cache_path: str, checkpoint
         availableNow=True).start().awaitTermination()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(conf).exists(root)
+
+
 def _cache_rows(spark: SparkSession, path: str) -> DataFrame:
     """All vectors as they were written, with feed and batch."""
     schema = T.StructType([*EMBEDDING, T.StructField("feed", T.StringType()), T.StructField("batch", T.LongType())])
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    if not root.getFileSystem(conf).exists(root):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
