@@ -37,10 +37,10 @@ def pages(spark):
 
 
 def test_pages(pages):
-    rows = feeds.scan_appstore_pages(pages).select("page", "pos", F.col("entry.id.label").alias("id")).collect()
+    rows = feeds.scan_appstore_pages(pages, max_pages=10).select("page", "pos", F.col("entry.id.label").alias("id")).collect()
     assert sorted((r["page"], r["pos"], r["id"]) for r in rows) == [
         (1, 0, "1"), (1, 1, "2"), (2, 0, "3"), (4, 0, "bare"), (4, 1, "4"), (4, 2, "5"), (6, 0, "6")]
-    good = {r["body"]: r for r in normalise.normalize_appstore(feeds.scan_appstore_pages(pages)).collect()}
+    good = {r["body"]: r for r in normalise.normalize_appstore(feeds.scan_appstore_pages(pages, max_pages=10)).collect()}
     assert set(good) == {"body 1", "body 2", "body 3", "body 6"}
     assert good["body 2"]["rating"] == 5 and good["body 1"]["date"] == dt.datetime(2026, 6, 1, 17)
     assert good["body 1"]["seq"] < good["body 2"]["seq"] < good["body 3"]["seq"]
@@ -210,3 +210,17 @@ def test_newest_per_window_equals_capping_all_rows(spark):
     thinned = ingest.newest_per_window(frame, 7).select("product", "iso_year", "iso_week", "id", "pos")
     plain = ingest.cap_per_product(assign_windows(frame), 7).select("product", "iso_year", "iso_week", "id", "pos")
     assert thinned.count() == plain.count() and plain.exceptAll(thinned).count() == 0
+
+
+def test_the_later_poll_of_a_place_wins(spark):
+    """Two polls hold one review in the same place, edited in between."""
+    def entry(text):
+        label = lambda v: {"label": v}
+        return {"id": label("7"), "author": {"name": label("A")}, "title": label("t"), "content": label(text),
+                "im:rating": label("4"), "im:version": label("1"), "updated": label("2026-06-01T10:00:00-07:00")}
+
+    rows = [("p", "1", 1, json.dumps({"feed": {"entry": [entry(text)]}}), poll) for poll, text in ((1, "before"), (2, "after"))]
+    pages = spark.createDataFrame(rows, "product string, app_id string, page int, payload string, poll int")
+    reviews = normalise.normalize_appstore(feeds.scan_appstore_pages(pages))
+    assert reviews.select("seq").distinct().count() == 2
+    assert [r["body"] for r in ingest.dedupe_last_wins(reviews).collect()] == ["after"]
