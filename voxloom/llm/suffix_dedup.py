@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from voxloom.llm import kernels as K
@@ -37,14 +38,15 @@ _START_BITS = 40
 def remove_later_copies(docs: DataFrame, length: int = 100, gram: int = GRAM, block: int = BLOCK, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans` per row of `docs`; `spans` are the maximal removed byte runs."""
     source = keyed(docs, id, text)
-    marks = source.mapInArrow(lambda b: _marks(b, length, gram), "gram long, id long, sub int")
+    marks = source.mapInArrow(lambda b: _marks(b, length, gram), "gram long, id long")
+    packed = source.mapInArrow(_packed, "id long, sub int, text binary")
     # the gram changes its name for the join, so both sides get an exchange that adaptive execution may split
     counts = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
         F.expr("~gram").alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    known = marks.withColumn("key", F.expr("~gram")).join(counts, "key").groupBy("id", "sub").agg(
-        F.collect_set(F.struct("gram", "blocks")).alias("known"))
-    held = source.join(known, ["id", "sub"]).select(
-        "id", "sub", "text", F.col("known.gram").alias("grams"), F.col("known.blocks").alias("blocks"))
+    known = marks.withColumn("key", F.expr("~gram")).join(counts, "key").groupBy("id").agg(
+        F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("blocks") > 1, F.struct("gram", "blocks"))).alias("hot"))
+    held = packed.join(known, "id").select(
+        "id", "sub", "text", "grams", F.col("hot.gram").alias("hot"), F.col("hot.blocks").alias("blocks"))
     contexts = held.mapInArrow(
         lambda b: _contexts(b, length, gram), "gram long, salt int, shared boolean, id long, place long, size int, bytes binary")
     # a hash of both, so that the blocks of one gram are dealt apart
@@ -55,10 +57,8 @@ def remove_later_copies(docs: DataFrame, length: int = 100, gram: int = GRAM, bl
     at = F.struct("id", "place")
     first = open_.groupBy("print").agg(F.min(at).alias("first")).select(F.expr("~print").alias("key"), "first")
     later = open_.withColumn("key", F.expr("~print")).join(first, "key").where(at != F.col("first")).select("id", "place", "size")
-    sub = F.shiftrightunsigned("place", _START_BITS).cast("int")
-    removed = done.unionByName(later).groupBy("id", sub.alias("sub")).agg(F.collect_list(F.struct(
-        F.col("place").bitwiseAND((1 << _START_BITS) - 1).alias("start"), F.col("size").alias("size"))).alias("cuts"))
-    return source.join(removed, ["id", "sub"], "left").select("id", "sub", "text", F.col("cuts.start").alias("starts"), F.col("cuts.size").alias("sizes")).mapInArrow(
+    removed = done.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("place", "size")).alias("cuts"))
+    return packed.join(removed, "id", "left").select("id", "sub", "text", F.col("cuts.place").alias("places"), F.col("cuts.size").alias("sizes")).mapInArrow(
         _cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>").select(
         named().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
@@ -71,13 +71,29 @@ def _grams(part: K.Slice, gram: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _marks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, subs = np.array(batch.column(0)), np.array(batch.column(1))
+        ids = np.array(batch.column(0))
         for part in K.slices(batch.column(2), BYTES):
             _, grams = _grams(part, gram)
             _, at = K.anchors(grams, part.offsets, gram, length)
             row = np.searchsorted(part.offsets, at, "right") - 1 + part.lo
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[at].view(np.int64)), pa.array(ids[row]), pa.array(subs[row])], names=["gram", "id", "sub"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(ids[row])], names=["gram", "id"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames: what two joins share is the greatest part of the data that moves."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        frames = [packer.compress(t.encode()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(frames, pa.binary())], names=["id", "sub", "text"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    opener = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            some = batch.slice(lo, rows)
+            texts = pa.array([opener.decompress(t) for t in some.column(2).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            yield some.set_column(2, "text", texts)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -85,15 +101,15 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
 
     Equal contexts of a slice travel once, for the smallest position; the others are known to be later copies and travel without bytes.
     """
-    for batch in batches:
+    for batch in _unpacked(batches):
         ids, subs = np.array(batch.column(0)), np.array(batch.column(1)).astype(np.int64)
         for part in K.slices(batch.column(2), BYTES):
             prefix, grams = _grams(part, gram)
             least, at = K.anchors(grams, part.offsets, gram, length)
-            values, owner = lists(batch.column(3), part.lo, len(part))
-            blocks, _ = lists(batch.column(4), part.lo, len(part))
-            values, index = np.unique(values.view(np.uint64), return_index=True)
-            blocks = blocks[index]
+            values = np.unique(lists(batch.column(3), part.lo, len(part))[0].view(np.uint64))
+            hot = lists(batch.column(4), part.lo, len(part))[0].view(np.uint64)
+            blocks = np.ones(len(values), np.int64)
+            blocks[np.searchsorted(values, hot)] = lists(batch.column(5), part.lo, len(part))[0]
             start = np.flatnonzero(least)
             if not len(start) or not len(values):
                 continue
@@ -226,15 +242,18 @@ def _strings(owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _unpacked(batches):
+        subs = np.array(batch.column(1)).astype(np.int64)
         for part in K.slices(batch.column(2), 8 << 20):
-            starts, owner = lists(batch.column(3), part.lo, len(part))
+            places, owner = lists(batch.column(3), part.lo, len(part))
             sizes, _ = lists(batch.column(4), part.lo, len(part))
+            mine = places >> _START_BITS == subs[owner + part.lo]  # rows under one id differ in their texts
+            places, sizes, owner = places[mine] & (1 << _START_BITS) - 1, sizes[mine], owner[mine]
             begin = np.searchsorted(owner, np.arange(len(part) + 1))
             removed, shas, spans = [], [], []
             for i in range(len(part)):
                 text = part.text(i)
-                at = starts[begin[i]:begin[i + 1]]
+                at = places[begin[i]:begin[i + 1]]
                 lo, hi = K.merge(at, at + sizes[begin[i]:begin[i + 1]])
                 edges = [0, *np.stack([lo, hi], axis=1).ravel().tolist(), len(text)] if len(lo) else [0, len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
