@@ -60,6 +60,20 @@ def test_toxic_documents_are_found(spark, sf):
     assert hit > 0.75 and clear > 0.99
 
 
+def test_more_toxic_labels_than_the_sample_keep_their_share(spark, monkeypatch):
+    """240 toxic labels of 640, 40 of them fitted, and a clean row with the mark: the prior is that of all labels."""
+    rows = [(i, f"garden tools and weather number{i}" + (" vileword" if i < 240 or i == 300 else "")) for i in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 240)) for i in range(640)] + [(i, 0) for i in range(240)], "doc_id long, toxic int")
+    shares = []
+    solve = toxicity._solve
+    monkeypatch.setattr(toxicity, "_solve", lambda rows, target, share, width: shares.append(share) or solve(rows, target, share, width))
+    model = toxicity.fit(docs, toxicity.graded(docs, labels, per_grade=40), per_grade=40)
+    assert [(s[0], pytest.approx(sum(s[1:]))) for s in shares] == [(400, 240), (400, 240)]
+    found = {r.doc_id: r.p_toxic for r in toxicity.predict(docs, model).collect()}
+    assert all(found[i] > 0.5 for i in range(240)) and found[600] < 0.5
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (None, 1), (99, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, toxicity.graded(odd, labels))

@@ -68,12 +68,16 @@ def features(part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, grades: DataFrame, per_grade: int = 2000, id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model | None:
-    """A model from the rows of `docs` whose id has a grade (0 is clean); None without two grades."""
+    """A model from the rows of `docs` whose id has a grade (0 is clean); None without two grades.
+
+    A grade's share is its number of ids; a column `stands` of `grades` tells how many ids each of them counts for.
+    """
+    stands = F.col("stands") if "stands" in grades.columns else F.lit(1.0)
     graded = grades.where(F.col(id).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(id).cast("long").alias("id")).agg(
-        F.max(F.col(grade).cast("int")).alias("grade"))
+        F.max(F.col(grade).cast("int")).alias("grade"), F.max(stands).alias("stands"))
     ids = docs.select(F.col(id).cast("long").alias("id")).where("id IS NOT NULL").distinct()
     chosen = durable(top_n(graded.join(ids, "id"), ("grade",), [F.xxhash64("id"), F.col("id")], per_grade).select("id", "grade"))
-    shares = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
+    shares = {r["grade"]: r["count"] * r["stands"] for r in graded.groupBy("grade").agg(F.count("*").alias("count"), F.max("stands").alias("stands")).collect()}
     if chosen.select("grade").distinct().count() < 2:
         return None
     # at most per_grade rows of two numbers per grade
@@ -189,13 +193,16 @@ def _score(part: K.Slice, model: Model) -> np.ndarray:
 
 
 def graded(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_grade: int = 2000) -> DataFrame:
-    """`doc_id, grade` from labels that only tell toxic from clean: 0 is clean; a bounded sample of toxic rows is 1 or 2, up to and above
-    their median number of different marks, the features that speak for toxic in a model of the two classes."""
+    """`doc_id, grade, stands` from labels that only tell toxic from clean: 0 is clean; a bounded sample of toxic rows is 1 or 2, up to and
+    above their median number of different marks, the features that speak for toxic in a model of the two classes. Each row of the sample
+    stands for as many toxic ids of all labels as make the sample whole, so the classes keep their shares."""
     flat = labels.select(F.col(id).alias("doc_id"), F.col(toxic).cast("int").alias("grade"))
     coarse = fit(docs, flat, per_grade, id, text)
     if coarse is None:
-        return flat
-    bad = flat.where("doc_id IS NOT NULL AND grade > 0").select("doc_id").distinct()
+        return flat.withColumn("stands", F.lit(1.0))
+    flat = flat.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max("grade").alias("grade"))
+    bad = flat.where("grade > 0").select("doc_id")
     chosen = durable(top_n(bad.withColumn("k", F.lit(1)), ("k",), [F.xxhash64("doc_id"), F.col("doc_id")], per_grade).select("doc_id"))
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.lower(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     marks = coarse.features[coarse.weights > 0]
@@ -212,4 +219,5 @@ def graded(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     counts = durable(texts.select("doc_id", "text").mapInArrow(count, "doc_id long, n long"))
     middle = counts.agg(F.percentile_approx("n", 0.5)).first()[0]
     severe = counts.groupBy("doc_id").agg(F.max("n").alias("n")).select("doc_id", F.when(F.col("n") > middle, 2).otherwise(1).alias("grade"))
-    return severe.unionByName(flat.where("grade = 0"))
+    stands = bad.count() / max(severe.count(), 1)
+    return severe.withColumn("stands", F.lit(stands)).unionByName(flat.where("grade = 0").withColumn("stands", F.lit(1.0)))
