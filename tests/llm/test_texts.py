@@ -198,6 +198,17 @@ def test_leaks_exact_edited_and_clean(spark, odd):
     assert decontamination.leaks(odd, benchmark.limit(0)).count() == 0 and decontamination.leaks(odd.limit(0), benchmark).count() == 0
 
 
+def test_edited_copies_beside_an_exact_one_are_found(spark):
+    """1,000 copies with every tenth word changed, and one exact copy whose n-grams the edits break."""
+    item = [f"term{i}" for i in range(40)]
+    edited = [f"other{i}" if i % 10 == 5 else w for i, w in enumerate(item)]
+    rows = [(0, " ".join(item))] + [(i, f"page {i} says " + " ".join(edited)) for i in range(1, 1001)] + [(2000, " ".join(item[:4]) + " and no more")]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: r.score for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert set(found) == set(range(1001)) and found[0] == 1
+    assert all(found[i] == pytest.approx((36 * 2 - 4) / 80) for i in range(1, 1001))
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
     draw = np.random.default_rng(3)

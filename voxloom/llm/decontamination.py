@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. The word n-grams of the benchmark set bits in a bitmap of fixed size (a megabyte, whatever the benchmark's). One scan of the documents
    looks every n-gram up and keeps the words around those that hit; a benchmark that fills the bitmap lets more through, never less.
-2. Counted over all documents, an item's seeds are its rare n-grams: those not much more frequent than its lower quartile. An item that
-   leaked into a third of the documents raises all its counts and keeps its seeds; phrases that occur anyway drop out.
+2. Every n-gram of an item is a seed, however frequent: a group of edited copies beside an exact one shares only the item's frequent n-grams.
 3. Seeds join passages to items by n-gram; each pair is aligned locally on words (match 2, mismatch and gap -1), so that edited or
-   paraphrased copies score too. The score is the share of the item's best possible score.
+   paraphrased copies score too. The score is the share of the item's best possible score. A passage that holds too few of the item's
+   words to reach the bound, in whatever order, is passed over.
 
 A hot item is a hot key only in joins whose other side is the benchmark, which adaptive execution broadcasts or splits.
 
@@ -32,7 +32,7 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0.5, rare: float = 4.0, id: str = "doc_id", text: str = "text",
+def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0.5, id: str = "doc_id", text: str = "text",
           item: str = "item_id", item_text: str = "text") -> DataFrame:
     """`doc_id, item_id, score, start, end`: the best aligned passage (word numbers) of every document and item that reach `least`."""
     items = durable(benchmark.select(F.col(item).cast("long").alias("item"), F.lower(item_text).alias("text")).where("item IS NOT NULL").mapInArrow(
@@ -49,11 +49,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0
         lambda b: _passages(b, gram, longest, bitmap), "id long, first long, words array<long>, grams array<long>, places array<int>").withColumn(
         "row", F.monotonically_increasing_id()))
     hits = passages.select("row", F.explode(F.arrays_zip("grams", "places")).alias("hit")).select("row", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("at"))
-    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
-    counted = grams.join(counts, "gram")
-    quartile = counted.groupBy("number").agg(F.percentile_approx("n", 0.25, 1000).alias("low"))
-    seeds = durable(counted.join(quartile, "number").where(F.col("n") <= rare * F.col("low")).select("number", "gram", "place"))
-    pairs = hits.join(seeds, "gram").groupBy("row", "number").agg(F.collect_set((F.col("at") - F.col("place")).cast("int")).alias("offsets"))
+    pairs = hits.join(grams.select("number", "gram", "place"), "gram").groupBy("row", "number").agg(F.collect_set((F.col("at") - F.col("place")).cast("int")).alias("offsets"))
     both = pairs.join(passages.select("row", "id", "first", "words"), "row").join(
         items.select("number", "item", F.col("words").alias("item_words")), "number").select("id", "item", "first", "words", "item_words", "offsets")
     found = both.mapInArrow(lambda b: _aligned(b, least), "id long, item long, score double, start long, end long")
@@ -129,6 +125,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
             best = (0.0, 0, 0)
             lo, hi = K.merge(np.maximum(offsets - len(item) // 2, 0), np.minimum(offsets + len(item) + len(item) // 2, len(words)))
             for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                if np.isin(item, words[a:b]).sum() < least * len(item):
+                    continue  # every match takes a word of the item
                 score, start, end = smith_waterman(item, words[a:b])
                 best = max(best, (score / (MATCH * len(item)), start + a, end + a), key=lambda x: x[0])
             if best[0] >= least:
