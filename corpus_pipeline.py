@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier line (up to two edits); a document that has nothing else left goes."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = line_dedup.remove_repeated_lines(docs, carry=tuple(rest))
+    cut = line_dedup.remove_repeated_lines(docs, carry=tuple(rest), short=True)
     left = cut.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) != ""))
     columns = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("carried.no_text"), F.col("kept_text"))}
     columns |= {c: F.col(f"carried.c{i}") for i, c in enumerate(rest)}

@@ -6,7 +6,8 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from voxloom.llm import line_dedup, near_dedup, suffix_dedup, window_dedup
+import corpus_pipeline
+from voxloom.llm import line_dedup, near_dedup, queries, suffix_dedup, window_dedup
 from voxloom.llm.components import components
 
 
@@ -149,6 +150,17 @@ def test_line_dedup_against_brute_force(spark, small):
     assert got == want
 
 
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    """Equal lines of any length keep the first only; short lines that are a letter apart, and blank ones, stay."""
+    docs = spark.createDataFrame([(1, "Yes\n\nNo\nYes"), (2, " Yes \nNo!\n\nx"), (3, "x\nNo"), (4, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: "Yes\n\nNo", 2: "No!\n\nx", 3: "", 4: ""}
+    assert {r.doc_id: r.kept_text for r in line_dedup.remove_repeated_lines(docs, short=True).collect()} == want
+    found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {i: ({1: 1, 2: 1, 3: 2, 4: 0}[i], hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()} == {1: want[1], 2: want[2], 4: None}
+
+
 def test_line_dedup_odd_rows(odd):
     rows = line_dedup.remove_repeated_lines(odd, carry=("size", "id")).collect()
     assert len(rows) == odd.count()

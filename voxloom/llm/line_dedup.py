@@ -9,8 +9,9 @@ Equal lines count once from the start. A key of up to ``small`` lines gives its
 lines into a cluster, which is cut into tiles by length, and tasks compare pairs of tiles: only a spanning forest of their links
 leaves a task. A bitmap of fixed size tells a second scan which texts are asked for; the join that follows is exact.
 
-Defined results: lines are what line feeds separate, without white space around them; lines under ``least`` bytes (ordinary short lines) are
-never removed; null and empty texts have no lines; rows that share id and text are one document, rows that share an id only are
+Defined results: lines are what line feeds separate, without white space around them; blank lines are never removed; lines under ``least``
+bytes, where two edits may be most of a line, are linked to no other line, and of equal ones the first stays if ``short`` is set (all stay
+otherwise); null and empty texts have no lines; rows that share id and text are one document, rows that share an id only are
 ordered by a fingerprint of their text; a null id comes after all others; other columns are ignored.
 """
 
@@ -31,12 +32,12 @@ BYTES, TILE, BITS = 1 << 18, 256, 23
 
 
 def remove_repeated_lines(docs: DataFrame, errors: int = 2, least: int = 24, small: int = 16, id: str = "doc_id", text: str = "text",
-                          carry: tuple[str, ...] = ()) -> DataFrame:
+                          carry: tuple[str, ...] = (), short: bool = False) -> DataFrame:
     """`doc_id, n_lines, n_removed, n_near, kept_text` per row of `docs`; `n_near` of the removed lines equal no earlier line.
 
     The struct `carried` brings columns of `docs` along."""
     source = keyed(docs, id, text)
-    lines = durable(source.mapInArrow(lambda b: _lines(b, least), "print long, id long, sub int, line int"))
+    lines = durable(source.mapInArrow(lambda b: _lines(b, 1 if short else least), "print long, id long, sub int, line int"))
     at = F.struct("id", "sub", "line")
     distinct = durable(lines.groupBy("print").agg(F.min(at).alias("first"), (F.min(at) != F.max(at)).alias("again")))
     index = source.mapInArrow(lambda b: _keys(b, least, errors, False), "key long, a long, own boolean")
@@ -66,7 +67,7 @@ def remove_repeated_lines(docs: DataFrame, errors: int = 2, least: int = 24, sma
 
 
 class Lines:
-    """The trimmed lines of at least some length of a slice: where they begin and end, their numbers and documents."""
+    """The trimmed lines of at least some length (blank ones never) of a slice: where they begin and end, their numbers and documents."""
 
     def __init__(self, part: K.Slice, least: int):
         data = part.data

@@ -23,7 +23,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without lines that equal an earlier line, or differ from it by two edits or less."""
-    cut = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), errors=2)
+    cut = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), errors=2, short=True)
     return cut.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
