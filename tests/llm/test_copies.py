@@ -47,6 +47,17 @@ def brute_bytes(rows, length):
     return out
 
 
+def test_suffix_dedup_repeated_row_is_one_document(spark):
+    """A row that is there three times, in one slice and in others, keeps its whole text; its copy under another id goes."""
+    draw = random.Random(8)
+    alone, copied = (" ".join(draw.choices([f"v{i}" for i in range(300)], k=80)) for _ in range(2))
+    rows = [(1, alone), (1, alone), (2, copied), (2, copied), (3, copied), (1, alone)]
+    for parts in (1, 6):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_later_copies(docs, 100).collect())
+        assert found == [(1, 0), (1, 0), (1, 0), (2, 0), (2, 0), (3, len(copied))]
+
+
 @pytest.mark.parametrize("block", [8192, 3])
 def test_suffix_dedup_removes_what_brute_force_removes(spark, block):
     """With tiny blocks every repeated gram is hot: local firsts meet again across blocks."""

@@ -83,7 +83,8 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The strings that have a repeated gram as their least, one row per occurrence: from the first string's start to the last one's end.
 
-    Equal contexts of a slice travel once, for the smallest position; the others are known to be later copies and travel without bytes.
+    Equal contexts of a slice travel once, for the smallest position; the others are known to be later copies and travel without bytes,
+    unless they have that position too (a repeated row).
     """
     for batch in batches:
         ids, subs = np.array(batch.column(0)), np.array(batch.column(1)).astype(np.int64)
@@ -114,8 +115,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             place = subs[row + part.lo] << _START_BITS | (lo - part.offsets[row])
             key = ids[row + part.lo]
             order = np.lexsort((place, key, print_))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = print_[order[1:]] == print_[order[:-1]]
+            fresh = np.concatenate([[True], print_[order[1:]] != print_[order[:-1]]])
+            head = np.empty(len(order), np.int64)
+            head[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            again = (key != key[head]) | (place != place[head])
+            once = again | (head == np.arange(len(head)))
+            lo, hi, code, print_, place, key, again = (x[once] for x in (lo, hi, code, print_, place, key, again))
             several = blocks[code] > 1
             salt = np.where(several, (print_ >> np.uint64(33)).astype(np.int64) % blocks[code], 0).astype(np.int32)
             name = values[code].view(np.int64)
@@ -166,13 +171,16 @@ def _block(table: pa.Table, length: int) -> pa.RecordBatch:
     offsets = offsets - offsets[0]
     prefix = K.prefix_hash(K.byte_values(data))
     whole = K.mix64(K.span_hash(prefix, offsets[:-1], offsets[1:]) ^ gram.view(np.uint64))
-    _, first = np.unique(whole, return_index=True)  # the smallest position of each distinct context
-    copy = np.ones(len(whole), bool)
-    copy[first] = False
+    _, first, head = np.unique(whole, return_index=True, return_inverse=True)  # the smallest position of each distinct context
+    head = first[head]
+    # a context at its first one's position is that one, of a repeated row
+    copy = (ids != ids[head]) | (place != place[head])
     # suffixes of the distinct contexts, in the order of their positions
-    lone = np.unique(gram[~copy], return_counts=True)
+    distinct = np.zeros(len(whole), bool)
+    distinct[first] = True
+    lone = np.unique(gram[distinct], return_counts=True)
     several = np.isin(gram, lone[0][lone[1] > 1]) | shared
-    keep = np.flatnonzero(~copy & several)
+    keep = np.flatnonzero(distinct & several)
     counts = size[keep] - length + 1
     owner = np.repeat(keep, counts)
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
