@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import decontamination, embedding_dedup, language_id, line_dedup, mixing, near_dedup, page_diff, suffix_dedup, toxicity, window_dedup
+from voxloom.llm import (
+    decontamination, embedding_dedup, language_id, line_dedup, mixing, near_dedup, page_diff, resident_lloyd, sharded_lloyd, suffix_dedup, token_files,
+    toxicity, window_dedup)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the queries, on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,5 +84,24 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op9_benchmark_decontamination, op10_embedding_near_dedup)}
-ORACLES: dict[str, str] = {"op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3)}
+def op11_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of 16 centroids of every vector of 64 components, after three rounds over column blocks."""
+    found = sharded_lloyd.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dimensions=64, scale=64)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector: 8 parts, 16 entries for each, six rounds."""
+    found = resident_lloyd.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, dimensions=64, scale=4096)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document starts in the token files, how many ids it has, and their checksum, read from the files."""
+    folder = token_files.write_files(table(spark, sf_dir, "documents"), vocabulary(), end=2)
+    return token_files.read_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_language_id, op5_toxicity, op6_html_extraction, op7_source_mixing, op8_substring_dedup, op9_benchmark_decontamination, op10_embedding_near_dedup, op11_sharded_lloyd, op12_resident_lloyd, op13_token_files)}
+ORACLES: dict[str, str] = {
+    "op7_source_mixing": mixing.oracle_sql((5, 2, 1), 3), "op11_sharded_lloyd": sharded_lloyd.oracle_sql(), "op12_resident_lloyd": resident_lloyd.oracle_sql()}
