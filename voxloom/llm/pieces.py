@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from voxloom.llm.kernels import mix64, prefix_hash, slices, span_hash
 
-#: Pieces a worker remembers; then it begins anew, so its memory is bounded.
+#: Pieces a worker remembers; it forgets those it has not met for a while, so its memory is bounded.
 REMEMBERED = 500_000
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 _BLANK, _QUOTE = 32, 39
@@ -46,6 +46,9 @@ class Encoder:
             and not stated.get("padding") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"))
         self.kinds = np.full(0x110000, -1, np.int8)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.letters = _letters(self.library) if self.by_piece else {}
 
     def batches(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For some texts at a time, in order: all their ids, and how many each text has; null is the empty text."""
@@ -89,14 +92,17 @@ class Encoder:
         return flat[at], np.diff(reached, prepend=0)
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = pieces
-        kind = "H" if self.type.itemsize == 2 else "I"
-        for piece, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = array(kind, e.ids).tobytes()
-        return [self.known[p] for p in pieces]
+        found = list(map(self.known.get, pieces))
+        tokenize, older = self.library.model.tokenize, self.older
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            piece = pieces[i]
+            ids = older.get(piece)
+            if ids is None:  # the model reads bytes as the letters that stand for them
+                ids = array(self.code, [t.id for t in tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            found[i] = self.known[piece] = ids
+        if len(self.known) > REMEMBERED // 2:  # what is met again moves over, the rest goes
+            self.known, self.older = {}, self.known
+        return found
 
     def _starts(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where pieces start: runs of letters, numbers or other characters with the blank before them, white space, and short endings."""
@@ -128,6 +134,17 @@ class Encoder:
         return kind
 
 
+def _letters(library) -> dict[int, str]:
+    """The letter that stands for each byte, as the library's pre-tokenizer has it."""
+    letters = {}
+    for point in [*range(0x80), *range(0x80, 0x800, 0x40), *range(0x800, 0x10000, 0x1000), 0xD000, 0x10000, 0x40000, 0x80000, 0xC0000, 0x100000,
+                  *range(0x80, 0xC0)]:
+        if not 0xD800 <= point < 0xE000:
+            spelt = "".join(piece for piece, _ in library.pre_tokenizer.pre_tokenize_str(chr(point)))
+            letters |= dict(zip(chr(point).encode(), spelt, strict=True))
+    return letters
+
+
 def _equal(points: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray) -> bool:
     """Whether every piece has the code points of the piece that stands for it."""
     size = stop - start
