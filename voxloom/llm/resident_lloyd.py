@@ -67,7 +67,7 @@ def _fit(blocks: DataFrame, books: Books, width: int, rounds: int) -> tuple[Data
         else:
             stay = members.rdd.mapPartitions(lambda held, books=books: _moved(held, books, False), preservesPartitioning=True)
             go = members.rdd.mapPartitions(lambda held, books=books: _moved(held, books, True)).partitionBy(tasks, owner)
-            every = stay.union(go)
+            every = stay.union(go).mapPartitions(_joined, preservesPartitioning=True)
         now = Kept(spark, every)
         if turn < rounds:
             books = _updated(now.rdd, books, tasks)
@@ -109,6 +109,16 @@ def _moved(held: Iterator, books: Books, away: bool) -> Iterator:
                 yield (position, entry, block), (row[mine], x[mine])
 
 
+def _joined(held: Iterator) -> Iterator:
+    """One record for each key: what was there and what has come. A task owns a bounded number of keys, and a key a part of one block."""
+    found: dict[tuple[int, int, int], list] = {}
+    for key, piece in held:
+        found.setdefault(key, []).append(piece)
+    for key, pieces in found.items():
+        rows, x = zip(*pieces, strict=True)
+        yield key, (np.concatenate(rows), np.concatenate(x)) if len(pieces) > 1 else pieces[0]
+
+
 def _updated(members: RDD, books: Books, tasks: int) -> Books:
     """Each entry becomes the floor of the mean of its members; an entry without members stays."""
     def summed(held: Iterator) -> Iterator:
