@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from voxloom.operators import cluster, density, reduce
+from voxloom.operators import cluster, density, forest, reduce
 
 KEYS = ("product", "iso_year", "iso_week")
 SCHEMA = T.StructType([
@@ -105,13 +105,110 @@ def test_blocks_give_the_same_neighbours(spark):
     assert whole.exceptAll(cut).count() == 0 and whole.count() == cut.count() == 6 * len(rows)
 
 
-def test_components_of_a_long_chain(spark):
-    chain = [("p", i, i + 1) for i in range(1, 200)] + [("p", 300, 301), ("q", 1, 2)]
-    found = density.components(spark.createDataFrame(chain, "product string, a long, b long"), ("product",))
-    groups = {}
-    for r in found.collect():
-        groups.setdefault((r["product"], r["comp"]), set()).add(r["node"])
-    assert sorted(map(len, groups.values())) == [2, 2, 200]
+def kruskal(edges):
+    """Forest and, for a distance, the parts of a graph, by plain union-find."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    chosen = []
+    for a, b, w in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            chosen.append((a, b, w))
+    return chosen
+
+
+def parts(edges, nodes):
+    groups = {n: {n} for n in nodes}
+    for a, b, _ in edges:
+        if groups[a] is not groups[b]:
+            groups[a] |= groups[b]
+            for n in groups[b]:
+                groups[n] = groups[a]
+    return {frozenset(g) for g in groups.values()}
+
+
+def graphs():
+    rng = np.random.default_rng(5)
+    yield "chain", [(i, i + 1, float(200 - i)) for i in range(1, 200)] + [(300, 301, 0.0)]
+    yield "star", [(0, i, 1.0) for i in range(1, 60)]
+    for name, n, m, kinds in (("ties", 40, 200, 4), ("sparse", 120, 90, 1000), ("dense", 60, 900, 30)):
+        pairs = {tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(m)}
+        yield name, [(a, b, float(rng.integers(kinds))) for a, b in sorted(pairs)]
+
+
+@pytest.mark.parametrize("held", [forest.HELD, 20])
+def test_merge_tree_equals_kruskal(spark, held):
+    """The forest, and the parts at every distance, in one task a run or by rounds of joins."""
+    given = dict(graphs())
+    rows = [(name, a, b, w) for name, edges in given.items() for a, b, w in edges]
+    frame = spark.createDataFrame(rows, "product string, a long, b long, w double").repartition(3)
+    tree, chosen = forest.merge_tree(frame, ("product",), held)
+    tree, chosen = tree.collect(), chosen.collect()
+    for name, edges in given.items():
+        want = kruskal(edges)
+        assert sorted((r["a"], r["b"], r["w"]) for r in chosen if r["product"] == name) == sorted(want)
+        paths = {r["node"]: r["path"] for r in tree if r["product"] == name}
+        assert set(paths) == {n for a, b, _ in edges for n in (a, b)}
+        for limit in {w for *_, w in edges} | {-1.0}:
+            groups = {}
+            for node, path in paths.items():
+                height = sum(1 for x in path if x["w"] <= limit)
+                groups.setdefault((height, path[height - 1]["comp"] if height else node), set()).add(node)
+            assert {frozenset(g) for g in groups.values()} == parts([e for e in want if e[2] <= limit], paths)
+    assert forest.merge_tree(frame.where("a < 0"), ("product",))[1].collect() == []
+
+
+def test_bounds_on_tasks_do_not_change_labels(spark, labelled):
+    rows = [r for name in ("three", "copies", "five") for r in planted(name, *CASES[name])]
+    reduced = reduce.reduce_dims(spark.createDataFrame(rows, SCHEMA), KEYS, block_rows=30)
+    again = density.density_cluster(reduced, KEYS, block_rows=25, held=4).select("id", "label").toPandas()
+    before = labelled.set_index("id")["label"]
+    assert (again.set_index("id")["label"] == before.loc[again["id"]]).all()
+
+
+def test_neighbours_of_a_large_run(spark, record_property):
+    """50,000 rows in groups: equal to brute force, and most pairs of blocks are never compared."""
+    rng = np.random.default_rng(3)
+    n, k = 50_000, 15
+    centers = rng.normal(size=(40, 5))
+    x = (centers[rng.integers(40, size=n)] + rng.normal(scale=0.05, size=(n, 5))).round(6)
+    x[:500] = x[500]  # a heap of copies
+    frame = spark.createDataFrame([("p", i, v) for i, v in enumerate(x.tolist())], "product string, pos int, reduced array<double>")
+    rows, asked = density.searches(frame, ("product",), "pos", "reduced", k)
+    sizes = rows.groupBy(F.col("block").alias("other")).agg(F.count("*").alias("size"))
+    compared = asked.join(sizes, "other").agg(F.sum("size")).first()[0]
+    record_property("share of pairs compared", compared / n ** 2)
+    assert compared < 0.25 * n ** 2
+    some = rng.choice(n, 1500, replace=False)
+    found = {}
+    near = density.neighbours(frame, ("product",), "pos", "reduced", k)
+    for r in near.join(spark.createDataFrame([(int(i),) for i in some], "a long"), "a").collect():
+        found.setdefault(r["a"], []).append((r["d"], r["b"]))
+    for i in some.tolist():
+        d = np.sqrt(((x - x[i]) ** 2).sum(1)).round(9)
+        d[i] = np.inf
+        best = np.lexsort((np.arange(n), d))[:k]
+        got = sorted(found[i])
+        assert [b for _, b in got] == best.tolist() and np.allclose([a for a, _ in got], d[best], atol=2e-9)
+
+
+def test_many_small_runs_of_many_dimensions(spark):
+    """2,000 vectors of 384 dimensions in 200 runs, and the same cut into blocks: equal to numpy up to sign."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 384)) * np.linspace(3, 1, 384)
+    rows = [(f"p{i % 200}", i, v) for i, v in enumerate(x.tolist())]
+    frame = spark.createDataFrame(rows, "product string, pos int, embedding array<double>").repartition(8)
+    for block_rows in (reduce.BLOCK_ROWS, 3):
+        out = {r["pos"]: r["reduced"] for r in reduce.reduce_dims(frame, ("product",), block_rows=block_rows).collect()}
+        for run in (0, 77, 199):
+            mine = x[run::200] / np.linalg.norm(x[run::200], axis=1, keepdims=True)
+            u, s, _ = np.linalg.svd(mine - mine.mean(0), full_matrices=False)
+            assert np.allclose(np.abs([out[i] for i in range(run, 2000, 200)]), np.abs(u[:, :5] * s[:5]), atol=1e-6)
 
 
 def test_reduction_matches_numpy(spark):
