@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voxloom.functions import ranking
 from voxloom.operators.density import NOISE, density_cluster
@@ -36,16 +36,10 @@ def noise_count(labelled: DataFrame, keys: tuple[str, ...] = RUN_KEY) -> DataFra
 
 
 def cluster_stats(labelled: DataFrame, keys: tuple[str, ...] = RUN_KEY) -> DataFrame:
-    """Size, mean rating and members in order. Member lists are bounded by the cap on a run."""
+    """Size, mean rating, first and last member of each cluster; `cluster_members` lists the members, a row each."""
     return noise_exclude(labelled).groupBy(*keys, "label").agg(
         F.count("*").alias("size"), F.avg("rating").alias("avg_rating"), F.min("pos").alias("first_pos"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda m: m["id"]).alias("member_ids"))
-
-
-def cluster_sizes(labelled: DataFrame, keys: tuple[str, ...] = RUN_KEY) -> DataFrame:
-    """`cluster_stats` without the member lists."""
-    return noise_exclude(labelled).groupBy(*keys, "label").agg(
-        F.count("*").alias("size"), F.avg("rating").alias("avg_rating"), F.min("pos").alias("first_pos"))
+        F.min_by("id", "pos").alias("first_id"), F.max_by("id", "pos").alias("last_id"))
 
 
 def top_clusters(clusters: DataFrame, max_themes: int = 5, keys: tuple[str, ...] = RUN_KEY) -> DataFrame:
@@ -53,12 +47,13 @@ def top_clusters(clusters: DataFrame, max_themes: int = 5, keys: tuple[str, ...]
     return ranking.top_n(clusters, keys, [F.col("size").desc(), F.col("first_pos")], max_themes, "rank")
 
 
-def cluster_members(clusters: DataFrame, reviews: DataFrame, keys: tuple[str, ...] = RUN_KEY) -> DataFrame:
-    """One row per member in member order, with its review."""
-    listed = clusters.select(*keys, "label", F.posexplode("member_ids").alias("member_no", "id"))
+def cluster_members(labelled: DataFrame, reviews: DataFrame, keys: tuple[str, ...] = RUN_KEY) -> DataFrame:
+    """One row per member of a cluster with its number in member order (from 0) and its review, however large the cluster."""
+    members = noise_exclude(labelled).select(*keys, "label", "pos", "id")
+    listed = number_items(members, (*keys, "label"), [F.col("pos")], "_n").withColumn("member_no", F.col("_n") - 1).drop("_n", "pos")
     return listed.join(reviews, [*[k for k in keys if k in reviews.columns], "id"])
 
 
 def number_items(df: DataFrame, keys: tuple[str, ...], order: list, name: str = "n") -> DataFrame:
-    """1-based numbers inside a cluster or report."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """1-based numbers inside a cluster or report; a hot one spans many tasks."""
+    return ranking.position(df, keys, order, name)

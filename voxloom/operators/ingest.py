@@ -13,13 +13,14 @@ from voxloom.functions.weeks import assign_windows
 from voxloom.schemas import RUN_KEY
 from voxloom.settings import Settings
 
-_SEQ_PER_SOURCE = 1 << 60
+#: What the second source's `seq` is moved by; polls and positions of the first stay below.
+SEQ_PER_SOURCE = 1 << 60
 Week = tuple[int, int]
 
 
 def union_sources(appstore: DataFrame, playstore: DataFrame) -> DataFrame:
     """App-store rows, then play-store rows; `seq` keeps that order."""
-    later = playstore.withColumn("seq", F.col("seq") + F.lit(_SEQ_PER_SOURCE))
+    later = playstore.withColumn("seq", F.col("seq") + F.lit(SEQ_PER_SOURCE))
     return appstore.unionByName(later)
 
 

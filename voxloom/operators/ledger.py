@@ -8,6 +8,9 @@ from voxloom.functions import ranking
 from voxloom.functions.keys import section_anchor
 from voxloom.schemas import RUN_KEY, RUN_RECORD
 
+# Fixed value: how an anchor ends.
+_WEEK = r"-\d{4}-W\d{2}"
+
 
 def latest_records(updates: DataFrame) -> DataFrame:
     """One record per run; the last write wins. Updates collapse before the shuffle."""
@@ -67,13 +70,19 @@ def failed_runs(ledger: DataFrame, limit: int | None = None) -> DataFrame:
 def anchors_in(published: DataFrame, products: DataFrame) -> DataFrame:
     """Every section anchor of a document's own product that occurs in its text.
 
-    The anchors are taken out of each text once, so texts and anchors meet in an equi-join only.
+    One pass over the texts, with a pattern that is the same for all of them, leaves a short piece for each week that is written in a text:
+    the week and as many characters before it as the longest slug has. Only these pieces are exchanged, and meet the slugs of their document.
     """
-    slugs = products.select("doc_id", "slug").where(F.col("doc_id") != "")
-    found = published.join(slugs, "doc_id")
-    pattern = F.concat(F.lit(r"(?=(\Q"), F.col("slug"), F.lit(r"\E-\d{4}-W\d{2}))"))
-    return found.where(F.contains("text", "slug")).select(
-        "doc_id", F.explode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("anchor")).distinct()
+    slugs = products.select("doc_id", "slug").where((F.col("doc_id") != "") & (F.col("slug") != ""))
+    longest = slugs.agg(F.max(F.length("slug"))).first()[0] or 1
+    # a look-ahead takes nothing, so weeks close to each other are all found; blanks stand before the text for a slug at its start
+    padded = F.concat(F.lit(" " * longest), F.col("text"))
+    pattern = rf"(?s)(?=(.{{{longest}}}{_WEEK}))"
+    pieces = published.where(F.col("text").rlike(_WEEK)).select(
+        "doc_id", F.explode(F.regexp_extract_all(padded, F.lit(pattern), F.lit(1))).alias("piece")).distinct()
+    before, week = F.substring("piece", 1, longest), F.expr(f"substring(piece, {longest + 1})")
+    return pieces.join(slugs, "doc_id").where(F.endswith(before, F.col("slug"))).select(
+        "doc_id", F.concat("slug", week).alias("anchor")).distinct()
 
 
 def anchor_exists(runs: DataFrame, published: DataFrame, products: DataFrame) -> DataFrame:

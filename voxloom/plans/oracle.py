@@ -89,6 +89,16 @@ def price(model: str, side: str) -> str:
     return f"(CASE {whens} ELSE {_PRICES['gpt-4o-mini'][at]}::DOUBLE END)"
 
 
+def _costs(top: str) -> str:
+    """Tokens and cost per run of a call for each cluster of `top`."""
+    return f"""
+        SELECT {RUN}, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+          sum(input_tokens / 1000.0::DOUBLE * {price('model', 'input')} + output_tokens / 1000.0::DOUBLE
+              * {price('model', 'output')}) AS cost
+        FROM (SELECT {RUN}, label, rank, {_MODELS}[(label % 5) + 1] AS model, size * 700 AS input_tokens,
+          size * 90 AS output_tokens FROM {top}) GROUP BY ALL"""
+
+
 _ANCHOR = "product || '-' || iso_year || '-W' || lpad(CAST(iso_week AS VARCHAR), 2, '0')"
 _DAY = "(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(97 * (doc_id % 10000)))"
 
@@ -120,6 +130,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "top": (("sizes",), f"""
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY size DESC, first_pos) AS rank FROM sizes)
         WHERE rank <= 5"""),
+    "all_top": (("all_members",), f"""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY size DESC, first_pos) AS rank FROM (
+          SELECT {RUN}, label, count(*) AS size, min(pos) AS first_pos FROM all_members WHERE label <> -1 GROUP BY ALL))
+        WHERE rank <= 5"""),
     "themes": (("top",), f"""
         SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY size DESC, rank) AS theme_no,
           'Theme ' || label || ' of ' || product AS name, 'About ' || size || ' reviews.' AS description,
@@ -136,13 +150,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             arg_min(m.rating, m.pos) AS rating, arg_min(m.store, m.pos) AS store, arg_min(m.date, m.pos) AS date
           FROM quotes q JOIN members m USING ({RUN}, label)
           WHERE m.body <> '' AND contains(m.body, {strip('q.text')}) GROUP BY ALL) h USING ({RUN}, label, quote_no)"""),
-    "run_calls": (("top",), f"""
-        SELECT {RUN}, label, rank, {_MODELS}[(label % 5) + 1] AS model, size * 700 AS input_tokens,
-          size * 90 AS output_tokens FROM top"""),
-    "costs": (("run_calls",), f"""
-        SELECT {RUN}, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-          sum(input_tokens / 1000.0::DOUBLE * {price('model', 'input')} + output_tokens / 1000.0::DOUBLE
-              * {price('model', 'output')}) AS cost FROM run_calls GROUP BY ALL"""),
+    "costs": (("top",), _costs("top")),
+    "all_costs": (("all_top",), _costs("all_top")),
     "stats": (("members", "top", "themes", "checked", "costs"), f"""
         SELECT {RUN}, total_reviews, appstore_reviews, playstore_reviews, noise_reviews,
           coalesce(clusters_found, 0) AS clusters_found, coalesce(clusters_found, 0) AS themes_generated,

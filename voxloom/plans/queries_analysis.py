@@ -51,9 +51,9 @@ def cap_per_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.cap_per_store(rows, 20, ("product",)).drop("seq")
 
 
-@query("top_clusters", sql(f"SELECT {RUN_SQL}, {LABEL_SQL}, size, rank FROM top", "top"))
+@query("top_clusters", sql(f"SELECT {RUN_SQL}, {LABEL_SQL}, size, rank FROM all_top", "all_top"))
 def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.Given(spark, sf_dir).clusters.select(*run_columns(), label(), "size", pos_column("rank"))
+    return tables.Given(spark, sf_dir).every_cluster.select(*run_columns(), label(), "size", pos_column("rank"))
 
 
 @query("rank_themes", sql(f"SELECT {RUN_SQL}, {LABEL_SQL}, name, theme_no FROM themes", "themes"))
@@ -139,10 +139,9 @@ def assign_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_members", sql(f"""
     SELECT {RUN_SQL}, {LABEL_SQL}, id, row_number() OVER (PARTITION BY {RUN}, label ORDER BY pos) - 1 AS member_no,
-      CAST(rating AS BIGINT) AS rating FROM members WHERE label <> -1""", "members"))
+      CAST(rating AS BIGINT) AS rating FROM all_members WHERE label <> -1""", "all_members"))
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = cluster.cluster_stats(tables.slim_members(spark, sf_dir))
-    rows = cluster.cluster_members(stats, tables.reviews(spark, sf_dir).select("id", "rating"))
+    rows = cluster.cluster_members(tables.every_member(spark, sf_dir), tables.reviews(spark, sf_dir).select("id", "rating"))
     return rows.select(*run_columns(), label(), "id", pos_column("member_no"), pos_column("rating"))
 
 
@@ -267,12 +266,10 @@ def counts_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_stats", sql(f"""
     SELECT {RUN_SQL}, {LABEL_SQL}, count(*) AS size, round(avg(rating), 6) AS avg_rating,
-      string_agg(id, ',' ORDER BY pos) AS member_ids FROM members WHERE label <> -1 GROUP BY ALL""", "members"))
+      arg_min(id, pos) AS first_id, arg_max(id, pos) AS last_id FROM all_members WHERE label <> -1 GROUP BY ALL""", "all_members"))
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cluster.cluster_stats(tables.slim_members(spark, sf_dir))
-    return rows.select(
-        *run_columns(), label(), "size", F.round("avg_rating", 6).alias("avg_rating"),
-        F.array_join("member_ids", ",").alias("member_ids"))
+    rows = cluster.cluster_stats(tables.every_member(spark, sf_dir))
+    return rows.select(*run_columns(), label(), "size", F.round("avg_rating", 6).alias("avg_rating"), "first_id", "last_id")
 
 
 @query("noise_count", sql(f"""
@@ -307,9 +304,9 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cost_alerts", sql(f"""
     SELECT {RUN_SQL}, input_tokens, output_tokens, round(cost, 6) AS cost_usd,
       input_tokens + output_tokens > 20000 AS over_tokens, cost > 0.02 AS over_cost
-    FROM costs WHERE input_tokens + output_tokens > 20000 OR cost > 0.02""", "costs"))
+    FROM all_costs WHERE input_tokens + output_tokens > 20000 OR cost > 0.02""", "all_costs"))
 def cost_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = cost.run_cost(tables.run_calls(tables.Given(spark, sf_dir).clusters))
+    totals = cost.run_cost(tables.run_calls(tables.Given(spark, sf_dir).every_cluster))
     rows = cost.cost_alerts(totals, 20_000, 0.02)
     return rows.select(
         *run_columns(), "input_tokens", "output_tokens", F.round("estimated_cost_usd", 6).alias("cost_usd"),
@@ -386,6 +383,36 @@ def embed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
+#: Three arcs of a circle a run, members in turn; far apart, and points of an arc close and evenly spaced.
+_ARC, _STEP = 1.2, 0.0004
+
+
+def _planted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`embeddings` on arcs, as long as their own first component says: what is near what is known."""
+    n = F.col("vec_id")
+    at = n % 3 * F.lit(_ARC) + F.floor(F.pmod(n, F.lit(500)) / 3) * F.lit(_STEP)
+    first = F.get("embedding", F.lit(0)).cast("double")
+    far = 1 + first * first
+    given = tables.table(spark, sf_dir, "embeddings").withColumns({"_at": at, "_far": far})
+    vector = F.concat(F.array(F.col("_far") * F.cos("_at"), F.col("_far") * F.sin("_at")), F.array_repeat(F.lit(0.0), 62))
+    return given.select(
+        F.lit("vectors").alias("product"), F.lit(2024).alias("iso_year"), (F.floor(n / 500) + 1).cast("int").alias("iso_week"),
+        (F.pmod(n, F.lit(500)) + 1).cast("int").alias("pos"), n.cast("string").alias("id"), vector.alias("embedding"),
+        (n % 5 + 1).cast("int").alias("rating"))
+
+
+# Two dimensions have their principal axes in closed form; the largest part of an axis is positive.
+_PLANTED_SQL = f"""
+    WITH points AS (SELECT 'vectors' AS product, 2024::BIGINT AS iso_year, vec_id // 500 + 1 AS iso_week, vec_id % 500 + 1 AS pos, CAST(vec_id AS VARCHAR) AS id,
+        vec_id % 3 AS arc, vec_id % 5 + 1 AS rating, vec_id % 3 * {_ARC}::DOUBLE + (vec_id % 500) // 3 * {_STEP}::DOUBLE AS t FROM embeddings),
+      axes AS (SELECT iso_week, avg(cos(t)) AS mx, avg(sin(t)) AS my, atan2(2 * covar_pop(cos(t), sin(t)), var_pop(cos(t)) - var_pop(sin(t))) / 2 AS turn
+        FROM points GROUP BY iso_week),
+      signed AS (SELECT *, CASE WHEN abs(cos(turn)) >= abs(sin(turn)) THEN sign(cos(turn)) ELSE sign(sin(turn)) END AS s1,
+        CASE WHEN abs(sin(turn)) > abs(cos(turn)) THEN -sign(sin(turn)) ELSE sign(cos(turn)) END AS s2 FROM axes),
+      labelled AS (SELECT *, CAST(CASE WHEN n < 10 THEN 0 ELSE dense_rank() OVER (PARTITION BY iso_week ORDER BY first) - 1 END AS BIGINT) AS label
+        FROM (SELECT *, min(pos) OVER (PARTITION BY iso_week, arc) AS first, count(*) OVER (PARTITION BY iso_week) AS n FROM points))"""
+
+
 def _vector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`embeddings` in runs of at most 500 consecutive vectors."""
     n = F.col("vec_id")
@@ -395,25 +422,40 @@ def _vector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 5 + 1).cast("int").alias("rating"))
 
 
-@query("reduce_dims")
+@query("reduce_dims", f"""{_PLANTED_SQL}
+    SELECT product, iso_year, iso_week, id, round(s1 * (cos(turn) * (cos(t) - mx) + sin(turn) * (sin(t) - my)), 6) + 0.0::DOUBLE AS c0,
+      round(s2 * (cos(turn) * (sin(t) - my) - sin(turn) * (cos(t) - mx)), 6) + 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3, 0.0::DOUBLE AS c4
+    FROM points JOIN signed USING (iso_week)""")
 def reduce_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reduce.reduce_dims(_vector_runs(spark, sf_dir), RUN_KEY)
-    return rows.select(*run_columns(), "id", *[F.round(F.get("reduced", F.lit(i)), 6).alias(f"c{i}") for i in range(5)])
+    rows = reduce.reduce_dims(_planted_runs(spark, sf_dir), RUN_KEY)
+    return rows.select(*run_columns(), "id", *[(F.round(F.get("reduced", F.lit(i)), 6) + F.lit(0.0)).alias(f"c{i}") for i in range(5)])
 
 
-@query("density_cluster")
+@query("density_cluster", f"{_PLANTED_SQL} SELECT product, iso_year, iso_week, id, label FROM labelled")
 def density_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = density.density_cluster(reduce.reduce_dims(_vector_runs(spark, sf_dir), RUN_KEY), RUN_KEY)
+    rows = density.density_cluster(reduce.reduce_dims(_planted_runs(spark, sf_dir), RUN_KEY), RUN_KEY)
     return rows.select(*run_columns(), "id", label())
 
 
-@query("cluster_reviews")
-def cluster_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cluster.cluster_reviews(_vector_runs(spark, sf_dir))
+def _top(rows: DataFrame) -> DataFrame:
     top = cluster.top_clusters(cluster.cluster_stats(rows))
     return top.select(*run_columns(), label(), "size", F.round("avg_rating", 6).alias("avg_rating"), pos_column("rank"))
 
 
+@query("cluster_reviews", f"""{_PLANTED_SQL}
+    SELECT product, iso_year, iso_week, label, size, round(avg_rating, 6) AS avg_rating,
+      row_number() OVER (PARTITION BY iso_week ORDER BY size DESC, first_pos) AS rank
+    FROM (SELECT product, iso_year, iso_week, label, count(*) AS size, avg(rating) AS avg_rating, min(pos) AS first_pos FROM labelled GROUP BY ALL)""")
+def cluster_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(cluster.cluster_reviews(_planted_runs(spark, sf_dir)))
+
+
+@query("cluster_reviews_vectors")
+def cluster_reviews_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given vectors themselves: what is near what is not known to SQL, so tests compare bounds on tasks with each other."""
+    return _top(cluster.cluster_reviews(_vector_runs(spark, sf_dir)))
+
+
 @query("embedding_cache_merge", """
     SELECT CAST(vec_id AS VARCHAR) AS review_id, CASE WHEN vec_id % 3 = 0 THEN 'old-model' ELSE 'new-model' END AS model,
       CAST(CASE WHEN vec_id % 3 <> 0 AND vec_id % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS kept FROM embeddings

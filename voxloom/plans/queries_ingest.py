@@ -326,13 +326,13 @@ def run_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("run_metadata", sql(f"""
     SELECT {RUN_SQL}, display_name, {when_sql('CAST(window_start AS TIMESTAMP)')} AS window_start,
       {when_sql('CAST(window_end AS TIMESTAMP)')} AS window_end, total_reviews
-    FROM grid JOIN (SELECT {RUN}, count(*) AS total_reviews FROM members GROUP BY ALL) USING ({RUN})""",
-                           "grid", "members"))
+    FROM grid JOIN (SELECT {RUN}, count(*) AS total_reviews FROM all_members GROUP BY ALL) USING ({RUN})""",
+                           "grid", "all_members"))
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = tables.Given(spark, sf_dir)
-    bare = report.counts_by_store(given.slim).select(
+    bare = report.rolling_counts_by_store(given.reviews.select("product", "store", "date")).select(
         *RUN_KEY, F.lit("").alias("display_name"), F.col("total").alias("total_reviews"))
-    stamped = report.run_metadata(bare, given.grid)
+    stamped = report.run_metadata(bare, tables.grid_of(bare, given.products))
     return stamped.select(
         *run_columns(), "display_name", when_text("review_window_start").alias("window_start"),
         when_text("review_window_end").alias("window_end"), "total_reviews")
@@ -500,8 +500,8 @@ def scrub_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- set operations
 
-@query("union_sources", sql("""
-    SELECT id, store, seq + CASE WHEN store = 'playstore' THEN 281474976710656 ELSE 0 END AS seq FROM reviews""", "reviews"))
+@query("union_sources", sql(f"""
+    SELECT id, store, seq + CASE WHEN store = 'playstore' THEN {ingest.SEQ_PER_SOURCE} ELSE 0 END AS seq FROM reviews""", "reviews"))
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.reviews(spark, sf_dir).select("id", "store", "seq")
     return ingest.union_sources(rows.where("store = 'appstore'"), rows.where("store = 'playstore'"))

@@ -1,6 +1,7 @@
 """The given tables as reviews, runs, clusters, themes and ledger, for the registered queries.
 
-Everything here grows with the tables: no row is left out.
+Reviews, windows and clusters hold every row. Reports and what goes into them (`slim`, `chosen`, `themes`, `quotes`, `reports`) are those of
+capped runs, since a cap on the reviews of a run is part of what they are: here MAX_RUN.
 """
 
 from __future__ import annotations
@@ -127,7 +128,12 @@ class Given:
     @cached_property
     def clusters(self) -> DataFrame:
         """The largest clusters of every window, by the planted labels."""
-        return cluster.top_clusters(cluster.cluster_sizes(self.slim))
+        return cluster.top_clusters(cluster.cluster_stats(self.slim))
+
+    @cached_property
+    def every_cluster(self) -> DataFrame:
+        """The largest clusters of every window, all reviews counted."""
+        return cluster.top_clusters(cluster.cluster_stats(self.every_member))
 
     @cached_property
     def chosen(self) -> DataFrame:

@@ -37,7 +37,7 @@ def analyze(cleaned: DataFrame, cache: DataFrame, settings: Settings, encoder: e
     vectors, new = embed.embed_reviews(cleaned, cache, settings.embedding_model, encoder, settings.embedding_batch)
     embedded = cleaned.select(*RUN_KEY, "pos", "id", "store", "rating", "date").join(vectors, "id")
     labelled = durable(cluster.cluster_reviews(embedded, settings.min_cluster_size).drop("embedding"))
-    top = durable(cluster.top_clusters(cluster.cluster_sizes(labelled), settings.max_themes))
+    top = durable(cluster.top_clusters(cluster.cluster_stats(labelled), settings.max_themes))
     members = labelled.join(top.select(*RUN_KEY, "label"), [*ids, "label"], "left_semi").join(
         cleaned.select(*RUN_KEY, "id", "title", "body"), [*ids, "id"])
     prompts = themes.build_prompts(members, settings.quotes_per_theme, settings.actions_per_theme).join(
