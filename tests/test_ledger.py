@@ -1,6 +1,8 @@
 """Records, decisions, delivery, history and the versioned store."""
 
 import datetime as dt
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,87 @@ def test_unfinished_version_is_not_seen(spark):
     assert [r["product"] for r in ledger_store.load_ledger(spark, path).collect()] == ["p1"]
 
 
+def test_two_savers_lose_nothing(spark, monkeypatch):
+    """A saves between the load and the save of B: B merges again into what A wrote."""
+    path = scratch_path(spark, "ledger")
+    ledger_store.save_records(spark, path, frame(spark, *[record("p0", w, seq=w) for w in range(1, 20)]))
+    merge, turns = ledger_store.ledger_upsert, []
+
+    def merge_late(known, records):
+        merged = merge(known, records)
+        turns.append(1)
+        if len(turns) == 1:
+            ledger_store.save_records(spark, path, frame(spark, *[record("p1", w, seq=100 + w) for w in range(1, 21)]))
+        return merged
+
+    monkeypatch.setattr(ledger_store, "ledger_upsert", merge_late)
+    assert ledger_store.save_records(spark, path, frame(spark, *[record("p2", w, seq=200 + w) for w in range(1, 21)])) == 3
+    assert len(turns) == 3 and ledger_store.load_ledger(spark, path).count() == 59
+
+
+def test_savers_at_once(spark):
+    path = scratch_path(spark, "ledger")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda n: ledger_store.save_records(spark, path, frame(spark, record(f"p{n}", 1, seq=n))), range(8)))
+    assert sorted(versions) == list(range(1, 9))
+    assert {r["product"] for r in ledger_store.load_ledger(spark, path).collect()} == {f"p{n}" for n in range(8)}
+
+
+def test_stale_save_is_refused(spark):
+    path = scratch_path(spark, "ledger")
+    base, known = ledger_store.load_version(spark, path)
+    assert ledger_store.save_ledger(frame(spark, record("p1", 1)), path, base) == 1
+    with pytest.raises(ledger_store.StaleLedger):
+        ledger_store.save_ledger(known, path, base)
+    assert ledger_store.load_ledger(spark, path).count() == 1
+
+
+def test_dead_savers_block_nobody(spark, tmp_path):
+    """A claim or an unfinished version of a saver that died; what it left aside goes when it is old."""
+    path = tmp_path / "ledger"
+    ledger_store.save_records(spark, str(path), frame(spark, record("p1", 1)))
+    (path / "claim-00000002").write_text("")
+    (path / "v00000002").mkdir()
+    (path / "v00000002" / "part-0.parquet").write_text("half")
+    for left in (".aside-1000-x", f".aside-{int(time.time())}-y"):
+        (path / left).mkdir()
+    assert ledger_store.save_records(spark, str(path), frame(spark, record("p2", 1, seq=2))) == 3
+    assert {r["product"] for r in ledger_store.load_ledger(spark, str(path)).collect()} == {"p1", "p2"}
+    assert [p.name[-1] for p in path.iterdir() if p.name.startswith(".aside")] == ["y"]
+
+
+def test_a_damaged_version_falls_back(spark, tmp_path):
+    path = tmp_path / "ledger"
+    for n in (1, 2):
+        ledger_store.save_records(spark, str(path), frame(spark, record(f"p{n}", 1, seq=n)))
+    for file in (path / "v00000002").glob("*.parquet"):
+        file.write_bytes(file.read_bytes()[:100])
+    for crc in (path / "v00000002").glob(".*.crc"):
+        crc.unlink()
+    assert [r["product"] for r in ledger_store.load_ledger(spark, str(path)).collect()] == ["p1"]
+    assert ledger_store.save_records(spark, str(path), frame(spark, record("p3", 1, seq=3))) == 3
+    assert {r["product"] for r in ledger_store.load_ledger(spark, str(path)).collect()} == {"p1", "p3"}
+
+
+def test_mailed_runs_are_not_mailed_again(spark, products):
+    mailed = record("p1", 23, "partial", email_delivery=("d1", None, [], "draft", None))
+    plan = ops.delivery_plan(grid(spark, products), spark.createDataFrame([], "doc_id string, text string"), products, "draft",
+                             frame(spark, mailed, record("p1", 24, "partial")))
+    got = {(r["product"], r["iso_week"]): r["email_action"] for r in plan.collect()}
+    assert got[("p1", 23)] == "skip" and got[("p1", 24)] == got[("p2", 23)] == "draft"
+
+
+def test_only_pieces_of_texts_are_exchanged(spark, products):
+    """No text is above the first exchange, and slugs of any length and place are found."""
+    published = spark.createDataFrame(
+        [("d1", "p1-2026-W23"), ("d1", "a p10-2026-W24p1-2026-W24"), ("d2", None), ("", "p2-2026-W23"), ("d2", "-2026-W23")], "doc_id string, text string")
+    rows = ops.anchor_exists(grid(spark, products), published, products)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join" in line]
+    assert joined and not any("text#" in line for line in joined)
+    assert {(r["product"], r["iso_week"]) for r in rows.where("delivered").collect()} == {("p1", 23), ("p1", 24), ("p10", 24)}
+
+
 def test_decisions(spark, products):
     known = frame(spark, record("p1", 23, "completed"), record("p1", 24, "partial"), record("p2", 23, "running"),
                   record("p2", 24, "failed"))
