@@ -2,34 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxloom.functions.pii import scrub_lettered
 from voxloom.functions.text import embedding_text
 from voxloom.operators.embed import Encoder, encode_with, merge_cache, split_cached
 from voxloom.operators.ingest import dedupe_last_wins
 from voxloom.schemas import EMBEDDING
+from voxloom.session import durable
+
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Buckets of a cache, and files of a bucket before they are made one.
+BUCKETS, MOST_FILES = 32, 4
+
+
+class FirstPoll(StatefulProcessor):
+    """Keeps the number of the first poll of an id; later ones give nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "seq bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self.first.exists():
+            return
+        best = min(rows, key=lambda r: r["seq"])
+        self.first.update((best["seq"],))
+        yield best
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State on the executors' disks, with changes in the checkpoint folder; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+
+
+def first_polls(reviews: DataFrame) -> DataFrame:
+    """Of a stream of polls the first of each id: in a batch that with the least `seq`, and none whose id came in an earlier batch."""
+    return reviews.groupBy("id").transformWithState(FirstPoll(), reviews.schema, "Append", "None")
 
 
 def run_stream_ingest(reviews: DataFrame, path: str, checkpoint: str) -> None:
     """Process what has landed and stop: scrubbed reviews, each id once, from the first poll that delivers it.
 
-    No watermark: a review of any age counts, in whatever order files land. What an id store must remember is the stored reviews
-    themselves; a batch meets only their ids.
+    The ids are keyed state (one number each), so a batch reads only itself and not what is stored. No watermark: a review of any age
+    counts, in whatever order files land. A batch that is retried meets the state as it was, and replaces its own folder.
     """
-    spark = reviews.sparkSession
-
     def land(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c != "id"]
-        first = batch.groupBy("id").agg(F.min_by(F.struct(*rest), "seq").alias("_v")).select("id", "_v.*").select(*batch.columns)
-        if _exists(spark, path):
-            # A retried batch must not see what its first try wrote: it replaces its own folder.
-            known = spark.read.parquet(path).where(F.col("batch") != batch_id).select("id")
-            first = first.join(known, "id", "left_anti")
-        scrub_lettered(first).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        scrub_lettered(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    reviews.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start().awaitTermination()
+    with _keyed_state(reviews.sparkSession):
+        first_polls(reviews).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
 
 
 def run_stream_latest(reviews: DataFrame, path: str, checkpoint: str) -> None:
@@ -77,24 +112,65 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
         (F.col("v.rating_sum") / F.col("v.reviews")).alias("avg_rating"))
 
 
-def run_embed_missing(reviews: DataFrame, feed: str, cache_path: str, checkpoint: str, model: str,
-                      encoder: Encoder) -> None:
-    """Encode only ids without a vector; every batch of a feed adds its new vectors to the cache."""
+def run_embed_missing(reviews: DataFrame, path: str, checkpoint: str, model: str, encoder: Encoder,
+                      buckets: int = BUCKETS, most_files: int = MOST_FILES) -> None:
+    """Encode only ids without a vector, and add the new vectors to the cache.
+
+    The cache lies in buckets by the id's hash: a batch reads the ids of its own buckets, and a bucket of more than `most_files` files is
+    written anew as one, so what a batch opens does not grow with the batches before it. A batch that is retried finds what its first try
+    has stored. One stream at a time writes to a cache.
+    """
     spark = reviews.sparkSession
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        # A retried batch must not see what its first try wrote: it replaces its own folder.
-        known = _cache_rows(spark, cache_path).where(~((F.col("feed") == feed) & (F.col("batch") == batch_id)))
-        _, missing = split_cached(scrub_lettered(dedupe_last_wins(batch)), known, model)
-        texts = missing.select(
-            F.col("id").alias("review_id"), embedding_text(F.col("title"), F.col("body")).alias("text"))
-        encode_with(texts, encoder, model).write.mode("overwrite").parquet(
-            f"{cache_path}/feed={feed}/batch={batch_id}")
+        rows = dedupe_last_wins(batch)
+        mine = [r[0] for r in rows.select(_bucket(F.col("id"), buckets)).distinct().collect()]  # so many as there are buckets
+        known = _cache_rows(spark, path).where(F.col("bucket").isin(mine))
+        _, missing = split_cached(scrub_lettered(rows), known, model)
+        texts = missing.select(F.col("id").alias("review_id"), embedding_text(F.col("title"), F.col("body")).alias("text"))
+        _add(encode_with(texts, encoder, model), path, buckets)
+        compact_cache(spark, path, buckets, most_files)
 
     reviews.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
 
 
+def _bucket(id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(id), F.lit(buckets)).cast("int")
+
+
+def _add(vectors: DataFrame, path: str, buckets: int) -> None:
+    vectors.withColumn("bucket", _bucket(F.col("review_id"), buckets)).repartition(buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _files(spark: SparkSession, path: str) -> dict[int, list]:
+    """Data files of each bucket."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found: dict[int, list] = {}
+    for folder in fs.listStatus(root) if fs.exists(root) else []:
+        name = folder.getPath().getName()
+        if name.startswith("bucket="):
+            found[int(name[7:])] = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+    return found
+
+
+def compact_cache(spark: SparkSession, path: str, buckets: int = BUCKETS, most_files: int = MOST_FILES) -> list[int]:
+    """Write buckets of many files anew as one file each; gives their numbers.
+
+    What is new is complete before what is old goes, so a failure in between leaves vectors twice, which readers and the next call put right.
+    """
+    crowded = {b: files for b, files in _files(spark, path).items() if len(files) > most_files}
+    if crowded:
+        rows = _cache_rows(spark, path).where(F.col("bucket").isin(list(crowded))).select(*EMBEDDING.names)
+        _add(durable(merge_cache(spark.createDataFrame([], EMBEDDING), rows)), path, buckets)
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for old in (f for files in crowded.values() for f in files):
+            old.getFileSystem(conf).delete(old, False)
+    return sorted(crowded)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -102,8 +178,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _cache_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All vectors as they were written, with feed and batch."""
-    schema = T.StructType([*EMBEDDING, T.StructField("feed", T.StringType()), T.StructField("batch", T.LongType())])
+    """All vectors as they were written, with their bucket."""
+    schema = T.StructType([*EMBEDDING, T.StructField("bucket", T.IntegerType())])
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
@@ -111,4 +187,4 @@ def _cache_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cached vectors, one per id and model."""
-    return merge_cache(spark.createDataFrame([], EMBEDDING), _cache_rows(spark, path))
+    return merge_cache(spark.createDataFrame([], EMBEDDING), _cache_rows(spark, path).drop("bucket"))
