@@ -5,10 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import ledger as ledger_ops
+from voxloom.operators import embed, ledger as ledger_ops
+from voxloom.plans.landed import run_landed
 from voxloom.plans.weekly import run_weekly
 from voxloom.schemas import EMBEDDING, PRODUCT, RUN_RECORD
 from voxloom.settings import Settings
+from voxloom.sources import feeds
 
 TOPICS = {
     "login": ["cannot login password", "password login fails", "login screen password broken", "login password again"],
@@ -92,3 +94,55 @@ def test_outcomes(spark, result):
     assert done["alpha"]["status"] == "completed" and done["alpha"]["email_delivery"]["draft_id"] == "abc"
     assert done["alpha"]["doc_delivery"]["heading_id"] == "alpha-2026-W23"
     assert done["beta"]["status"] == "partial" and done["beta"]["completed_at"] is None
+
+
+def _line(product, batch, pos, review_id, text, at, poll):
+    return (product, "com.a", batch, pos, review_id, "Some One", text, "5", "1", at, poll)
+
+
+def test_from_landed_feeds_to_a_run(spark, tmp_path):
+    """Two polls, a missing store, a cut line and an unreadable file: the rest becomes a run."""
+    rows = spark.createDataFrame(
+        [_line("alpha", 0, i, f"r{i}", TOPICS["login" if i % 2 else "charts"][(i // 2) % 4], f"2026-05-01T{i:02d}:00:00", 0) for i in range(20)]
+        + [_line("alpha", 0, 0, "r0", "charts lag slowly, mail a@b.org", "2026-05-01T00:00:00", 1), _line("alpha", 0, 1, "", "no id", "2026-05-01T00:00:00", 1)],
+        "product string, app_id string, batch int, pos int, reviewId string, userName string, content string, score string, reviewCreatedVersion string,"
+        " at string, poll int")
+    rows.repartition(3).write.json(str(tmp_path / "play"))
+    (tmp_path / "play" / "cut.json").write_text('{"product": "alpha", "content": "cut o')
+    (tmp_path / "play" / "bad.json.gz").write_text("no archive")
+    products = spark.createDataFrame([("alpha", "Alpha", "1", "com.a", "doc-a", "A", [])], PRODUCT)
+    run, landed = run_landed(
+        spark, str(tmp_path / "app"), str(tmp_path / "play"), products, [(2026, 23)], spark.createDataFrame([], RUN_RECORD),
+        spark.createDataFrame([], "doc_id string, text string"), spark.createDataFrame([], EMBEDDING),
+        F.lit("2026-06-08 00:00:00").cast("timestamp"), 1, Settings(cost_alert_threshold_usd=-1.0))
+    files = {r["file"].rsplit("/", 1)[-1].split("-")[0]: (r["ok"], r["error"]) for r in landed.files.where("source = 'playstore'").collect()}
+    assert files["cut.json"] == (False, "broken lines") and files["bad.json.gz"] == (False, "not readable") and files["part"] == (True, None)
+    assert [(r["ok"], r["error"]) for r in landed.files.where("source = 'appstore'").collect()] == [(False, "PATH_NOT_FOUND")]
+    reviews = run.reviews.collect()
+    assert len(reviews) == 20 and sum("[EMAIL]" in r["body"] for r in reviews) == 1
+    assert run.reports.first()["stats"]["total_reviews"] == 20
+    found = run.scrubbed.first()
+    assert (found["product"], found["emails_scrubbed"] if "emails_scrubbed" in found else found[3], found["authors_anonymized"]) == ("alpha", 1, 20)
+    assert [(r["product"], r["over_tokens"], r["over_cost"]) for r in run.alerts.collect()] == [("alpha", False, True)]
+
+
+def test_expected_files(spark, tmp_path):
+    """A manifest tells a file that has not landed and one that lacks rows."""
+    from voxloom.schemas import SCRAPE_ROW
+    for name, n in (("a.json", 2), ("b.json", 1)):
+        (tmp_path / name).write_text('{"product": "p", "batch": 1}\n' * n)
+    expected = spark.createDataFrame([(f"file:{tmp_path}/{f}", n) for f, n in (("a.json", 2), ("b.json", 5), ("c.json", 1))], "file string, rows long")
+    rows, status = feeds.read_landed(spark, "play", str(tmp_path), SCRAPE_ROW, expected)
+    got = {r["file"].rsplit("/", 1)[-1]: (r["ok"], r["error"], r["rows"]) for r in status.collect()}
+    assert got == {"a.json": (True, None, 2), "b.json": (False, "rows missing", 1), "c.json": (False, "not landed", 0)}
+    assert rows.count() == 3
+
+
+def test_embedding_budget(spark):
+    """Reviews without a vector are taken in batches until the budget is spent; those with one cost nothing."""
+    rows = [("p", 2026, 1, i, f"r{i}", None, "x" * 40) for i in range(1, 11)]
+    reviews = spark.createDataFrame(rows, "product string, iso_year int, iso_week int, pos int, id string, title string, body string")
+    cache = spark.createDataFrame([("r1", [1.0], "m"), ("r9", [1.0], "m"), ("r2", [1.0], "other")], EMBEDDING)
+    kept = embed.within_budget(reviews, cache, "m", 45, 2)
+    assert kept.columns == reviews.columns
+    assert sorted(r["id"] for r in kept.collect()) == ["r1", "r2", "r3", "r4", "r5", "r9"]

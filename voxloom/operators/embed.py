@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxloom.functions import ranking
@@ -44,6 +42,17 @@ def embed_budget(reviews: DataFrame, tokens: str, budget: int, batch: int = 100,
     return numbered.join(fits.select(*keys, "batch"), [*keys, "batch"], "left_semi")
 
 
+def within_budget(reviews: DataFrame, cache: DataFrame, model: str, budget: int, batch: int = 100,
+                  keys: tuple[str, ...] = RUN_KEY) -> DataFrame:
+    """Reviews of each run that have a vector, or get one before the run's budget is spent: those without are taken in batches by `pos`, and
+    a batch that crosses the budget, and all after it, are left out. A token is four characters of a text."""
+    have, lack = split_cached(reviews, cache, model)
+    missing = ranking.position(lack.withColumnRenamed("pos", "_pos"), keys, [F.col("_pos")])
+    tokens = F.ceil(F.length(embedding_text(F.col("title"), F.col("body"))) / 4)
+    kept = embed_budget(missing.withColumn("_tokens", tokens), "_tokens", budget, batch, keys=keys)
+    return have.unionByName(kept.drop("pos", "batch", "_tokens").withColumnRenamed("_pos", "pos"))
+
+
 def encode_with(texts: DataFrame, encoder: Encoder, model: str, batch: int = 100) -> DataFrame:
     """Vectors from a pluggable encoder, in Arrow batches on the executors; any failure is fatal.
 
@@ -62,17 +71,22 @@ def encode_with(texts: DataFrame, encoder: Encoder, model: str, batch: int = 100
 
 
 def encode_hashed(texts: DataFrame, model: str, dims: int = 128) -> DataFrame:
-    """Built-in encoder without a model file: hashed terms, log-scaled counts, unit length; all in the JVM.
+    """Built-in encoder without a model file: signed feature hashing of the words, log-scaled, unit length; all in the JVM.
 
-    Nothing is fitted, so a text has the same vector whatever else is in the batch or the cache.
+    A word counts in the dimension that the first eight hex digits of its MD5 give, with the sign of the ninth (0 to 7 is plus), so any
+    engine can state the vector. Nothing is fitted: a text has the same vector whatever else is in the batch or the cache. Words are added up
+    in the map tasks, so at most `dims` rows of a text are exchanged.
     """
-    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\W+").transform(
-        texts.select("review_id", "text"))
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(words)
-    scaled = counts.select("review_id", F.transform(vector_to_array("_tf"), lambda x: F.log1p(x)).alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform("_v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-    return scaled.select("review_id", unit.cast("array<float>").alias("embedding"), F.lit(model).alias("model"))
+    words = texts.select("review_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("_w"))
+    mark = F.md5("_w")
+    placed = words.select("review_id", (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % dims).cast("int").alias("at"),
+                          F.when(F.substring(mark, 9, 1) < "8", 1).otherwise(-1).alias("_s"))
+    summed = placed.groupBy("review_id", "at").agg(F.sum("_s").alias("_n")).select(
+        "review_id", F.when(F.col("at").isNotNull() & (F.col("_n") != 0), F.struct("at", (F.signum("_n") * F.log1p(F.abs("_n"))).alias("v"))).alias("e"))
+    listed = summed.groupBy("review_id").agg(F.map_from_entries(F.collect_list("e")).alias("_m"))  # at most `dims` entries
+    norm = F.sqrt(F.aggregate(F.map_values("_m"), F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("_m", i) / norm, F.lit(0.0)))
+    return listed.select("review_id", unit.cast("array<float>").alias("embedding"), F.lit(model).alias("model"))
 
 
 def embed_reviews(reviews: DataFrame, cache: DataFrame, model: str, encoder: Encoder | None = None,

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from voxloom.functions import ranking
-from voxloom.functions.pii import scrub_lettered
+from voxloom.functions.pii import COUNTERS, count_hits, scrub_lettered
 from voxloom.functions.weeks import assign_windows
 from voxloom.schemas import RUN_KEY
 from voxloom.settings import Settings
@@ -145,10 +145,25 @@ def ingest_runs(reviews: DataFrame, weeks: Sequence[Week], settings: Settings |
     `reviews` holds all polls of both stores with `seq`. Text is read once, for the kept rows
     only, and scrubbed once per review, not once per run.
     """
-    settings = settings or Settings()
+    return clean_runs(*chosen_texts(reviews, weeks, settings or Settings(), runs))
+
+
+def chosen_texts(reviews: DataFrame, weeks: Sequence[Week], settings: Settings, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(which reviews each run keeps, the kept reviews as they came, each once)."""
     chosen = select_run_rows(reviews, weeks, settings, runs)
     used = chosen.select("id", F.col("last_seq").alias("seq")).distinct()
     # polls without numbers may repeat a place: one text per place
     texts = reviews.drop("product").join(used, ["id", "seq"], "left_semi").dropDuplicates(["id", "seq"])
-    clean = scrub_lettered(texts).withColumnRenamed("seq", "last_seq")
-    return chosen.join(clean, ["id", "last_seq"]).drop("last_seq")
+    return chosen, texts.withColumnRenamed("seq", "last_seq")
+
+
+def clean_runs(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """The chosen reviews of every run with their scrubbed texts."""
+    return chosen.join(scrub_lettered(texts), ["id", "last_seq"]).drop("last_seq")
+
+
+def scrub_stats(chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """What scrubbing finds in the reviews of each run, by kind; every review is searched once, not once per run."""
+    counters = [*COUNTERS, "authors_anonymized"]
+    found = count_hits(texts.select("id", "last_seq", "title", "body", "author")).select("id", "last_seq", *counters)
+    return chosen.select(*RUN_KEY, "id", "last_seq").join(found, ["id", "last_seq"]).groupBy(*RUN_KEY).agg(*[F.sum(c).alias(c) for c in counters])

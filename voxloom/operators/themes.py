@@ -44,12 +44,13 @@ def build_prompts(members: DataFrame, quotes: int = 3, actions: int = 2,
 def summarize_clusters(prompts: DataFrame, summarizer: Summarizer, keys: tuple[str, ...] = RUN_KEY,
                        tries: int = 3, budget: int | None = None, start: int = 0, pause: float = 0.2) -> DataFrame:
     """Ask a pluggable summariser on the executors; a prompt that fails `tries` times gives a NULL answer
-    and costs nothing. An answer that is no JSON object is a failure; an empty one counts as `{}`.
+    and costs nothing; `failure` says why, for the last try. An answer that is no JSON object is a failure; an empty one counts as `{}`.
 
     With `budget`, the clusters of a run (a handful, by `rank`) are asked one after the other and
     none is asked once the tokens so far exceed the budget.
     """
-    def ask(prompt: str) -> tuple[str | None, int, int]:
+    def ask(prompt: str) -> tuple[str | None, int, int, str | None]:
+        why = None
         for turn in range(tries):
             if turn:
                 time.sleep(pause)
@@ -58,16 +59,16 @@ def summarize_clusters(prompts: DataFrame, summarizer: Summarizer, keys: tuple[s
                 raw = raw or "{}"
                 if not isinstance(json.loads(raw), dict):
                     raise ValueError("the answer is no JSON object")
-                return raw, asked, told
-            except Exception:  # noqa: BLE001 - any failure of the callable costs one try
-                continue
-        return None, 0, 0
+                return raw, asked, told, None
+            except Exception as failure:  # noqa: BLE001 - any failure of the callable costs one try
+                why = f"{type(failure).__name__}: {failure}"
+        return None, 0, 0, why
 
-    def with_answers(frame: pd.DataFrame, answers: list[tuple[str | None, int, int]]) -> pd.DataFrame:
+    def with_answers(frame: pd.DataFrame, answers: list[tuple[str | None, int, int, str | None]]) -> pd.DataFrame:
         if not answers:
             return pd.DataFrame()
         kept = {c: frame[c].tolist()[:len(answers)] for c in frame.columns if c != "prompt"}
-        told = {n: [a[i] for a in answers] for i, n in enumerate(("raw", "input_tokens", "output_tokens"))}
+        told = {n: [a[i] for a in answers] for i, n in enumerate(("raw", "input_tokens", "output_tokens", "failure"))}
         return pd.DataFrame({**kept, **told})
 
     def all_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +85,7 @@ def summarize_clusters(prompts: DataFrame, summarizer: Summarizer, keys: tuple[s
         return with_answers(ordered, answers)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema if f.name != "prompt")
-    schema = f"{kept}, raw string, input_tokens long, output_tokens long"
+    schema = f"{kept}, raw string, input_tokens long, output_tokens long, failure string"
     if budget is None:
         return prompts.mapInPandas(all_of, schema)
     return prompts.groupBy(*keys).applyInPandas(in_turn, schema)

@@ -7,13 +7,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom.functions import ranking, text
+from voxloom.functions.pii import scrub_columns
 from voxloom.functions.pricing import price_of
 from voxloom.functions.weeks import assign_windows
 from voxloom.operators import cluster, cost, embed, ingest, ledger as ledger_ops, quotes, readside, reduce, render, report
 from voxloom.operators import density, themes
 from voxloom.plans import tables
 from voxloom.plans.catalog import RUN_SQL, longs, query, run_columns, when_sql, when_text
-from voxloom.plans.oracle import RUN, price, sql, windows
+from voxloom.plans.oracle import RUN, price, scrub, sql, windows
 from voxloom.plans.queries_ingest import _PREVIEW_SQL, _with_preview
 from voxloom.schemas import RUN_KEY
 
@@ -368,19 +369,27 @@ def latest_run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- vectors and clusters
 
-_NORM_SQL = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
-
-
-@query("embed_reviews", f"""
-    SELECT CAST(doc_id AS VARCHAR) AS id, CAST(CASE WHEN vec_id IS NULL THEN 128 ELSE len(embedding) END AS BIGINT) AS dims,
-      CASE WHEN vec_id IS NULL THEN 1.0::DOUBLE ELSE round({_NORM_SQL}, 4) END AS norm
-    FROM documents LEFT JOIN embeddings ON vec_id = doc_id AND vec_id % 3 <> 0""")
+_THOUSANDTHS_SQL = "array_to_string(list_transform({v}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)), ',')"
+
+
+@query("embed_reviews", sql(f"""
+    SELECT id, {_THOUSANDTHS_SQL.format(v='embedding')} AS vector FROM (
+      SELECT CAST(seq AS VARCHAR) AS id, embedding FROM reviews JOIN embeddings ON vec_id = seq AND vec_id % 3 <> 0
+      UNION ALL SELECT id, list(CAST(coalesce(v / norm, 0) AS FLOAT) ORDER BY i) FROM (
+        SELECT k.id, k.i, v, sqrt(sum(v * v) OVER (PARTITION BY k.id)) AS norm
+        FROM (SELECT CAST(seq AS VARCHAR) AS id, i FROM reviews ANTI JOIN (SELECT vec_id AS seq FROM embeddings WHERE vec_id % 3 <> 0) USING (seq),
+          range(128) t(i)) k
+        LEFT JOIN (SELECT id, i, sign(sum(s)) * ln(1 + abs(sum(s))) AS v FROM (
+            SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128 AS i, CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM (
+              SELECT id, unnest(regexp_extract_all(lower(CASE WHEN title IS NULL THEN body ELSE title || chr(10) || body END), '[\\p{{L}}\\p{{N}}]+')) AS w
+              FROM (SELECT CAST(seq AS VARCHAR) AS id, {scrub('title')} AS title, {scrub('body')} AS body FROM reviews)))
+          GROUP BY id, i) w ON w.id = k.id AND w.i = k.i) GROUP BY id)""", "reviews"))
 def embed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scrub-free texts of all reviews; those with a number below the cache size have a vector already."""
-    rows = tables.reviews(spark, sf_dir).select(F.col("seq").cast("string").alias("id"), "title", "body")
+    """Vectors of the scrubbed texts of all reviews; those with a number below the cache size have a vector already."""
+    rows = scrub_columns(tables.reviews(spark, sf_dir)).select(F.col("seq").cast("string").alias("id"), "title", "body")
     vectors, _ = embed.embed_reviews(rows, _cache(spark, sf_dir), "new-model")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return vectors.select("id", F.size("embedding").cast("long").alias("dims"), F.round(norm, 4).alias("norm"))
+    thousandths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string"))
+    return vectors.select("id", F.array_join(thousandths, ",").alias("vector"))
 
 
 #: Three arcs of a circle a run, members in turn; far apart, and points of an arc close and evenly spaced.

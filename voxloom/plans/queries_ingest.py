@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom.functions import keys, pii, text, weeks
 from voxloom.operators import cluster, ingest, ledger as ledger_ops, normalise, readside, render, report
-from voxloom.plans import tables
+from voxloom.plans import landed as landed_plan, tables
 from voxloom.plans.catalog import RUN_SQL, longs, query, run_columns, when_sql, when_text
 from voxloom.plans.oracle import RUN, STAGES, hits, scrub, scrub_stage, sql
-from voxloom.schemas import RUN_KEY, SCRAPE_ROW
+from voxloom.schemas import RAW_PAGE, RUN_KEY, SCRAPE_ROW
 from voxloom.session import durable, scratch_path
+from voxloom.settings import Settings
 from voxloom.sources import feeds, ledger_store, registry, review_store
 
 PAGE_ROWS = 1000
@@ -40,10 +41,10 @@ def _iso(when: str = "date") -> Column:
     return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def _landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _landed_pages(reviews: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """App-store reviews as feed pages; a page with one entry holds an object instead of a list."""
-    rows = tables.reviews(spark, sf_dir).where(F.col("store") == "appstore").select(
-        "product", F.floor(F.col("seq") / PAGE_ROWS).cast("int").alias("page"), "seq",
+    rows = reviews.where(F.col("store") == "appstore").select(
+        "product", F.floor(F.col("seq") / page_rows).cast("int").alias("page"), "seq",
         _entry(_iso(), F.col("rating"), F.lit("1.0")).alias("e"))
     paged = rows.groupBy("product", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "e"))).alias("l"))
     many = F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["e"]).alias("entry")).alias("feed")))
@@ -59,7 +60,7 @@ def _landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM reviews WHERE store = 'appstore'""", "reviews"))
 def scan_appstore_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "pages")
-    _landed_pages(spark, sf_dir).write.json(path)
+    _landed_pages(tables.reviews(spark, sf_dir)).write.json(path)
     rows = feeds.scan_appstore_pages(feeds.read_pages(spark, path))
     return rows.select(
         "product", F.col("page").cast("long").alias("page"), F.col("entry.id.label").alias("source_id"),
@@ -526,3 +527,62 @@ def degrade_missing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ingest.union_sources(app, play).groupBy(F.col("store").alias("source")).agg(F.count("*").alias("reviews"))
     return app_status.unionByName(play_status).join(counts, "source", "left").select(
         "source", F.coalesce("reviews", F.lit(0)).alias("reviews"), "ok")
+
+
+def _spoil(spark: SparkSession, path: str) -> None:
+    """A file that is cut off in the middle of a line, and one that is not what its name says."""
+    spark.range(1).select(F.lit('{"product": "x", "batch": 7, "content": "cut o').alias("value")).coalesce(1).write.text(f"{path}/part=cut")
+    spark.range(1).select(F.lit("no archive at all").alias("value")).coalesce(1).write.text(f"{path}/part=gz")
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/part=gz")
+    fs = folder.getFileSystem(conf)
+    for status in fs.listStatus(folder):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, "rows.json.gz"))
+
+
+@query("degrade_broken_files", sql("""
+    SELECT 'playstore' AS source, CAST(seq % 4 AS VARCHAR) AS part, count(*) AS rows, 0::BIGINT AS broken, true AS ok FROM reviews
+    WHERE store = 'playstore' GROUP BY ALL
+    UNION ALL SELECT 'appstore', '', (SELECT count(DISTINCT (product, seq // 1000)) FROM reviews WHERE store = 'appstore'), 0, true
+    UNION ALL SELECT 'playstore', 'cut', 0, 1, false UNION ALL SELECT 'playstore', 'gz', 0, 0, false
+    UNION ALL SELECT 'missing', '', 0, 0, false""", "reviews"))
+def degrade_broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two stores, one cut off, one unreadable, and a folder that is not there: what each gave."""
+    path = scratch_path(spark, "landed")
+    reviews = tables.reviews(spark, sf_dir)
+    _landed_pages(reviews).write.json(f"{path}/app")
+    _scraped(reviews).withColumn("part", F.pmod(F.col("reviewId").cast("long"), F.lit(4))).write.partitionBy("part").json(f"{path}/play")
+    _spoil(spark, f"{path}/play")
+    found = [feeds.read_landed(spark, "appstore", f"{path}/app", RAW_PAGE), feeds.read_landed(spark, "playstore", f"{path}/play/*/", SCRAPE_ROW),
+             feeds.read_landed(spark, "missing", f"{path}/nowhere", SCRAPE_ROW)]
+    files = found[0][1].unionByName(found[1][1]).unionByName(found[2][1])
+    part = F.regexp_extract("file", r"part=(\w+)/", 1)
+    return files.where("NOT (ok AND bytes = 0)").groupBy("source", part.alias("part")).agg(
+        F.sum("rows").alias("rows"), F.sum("broken").alias("broken"), F.min("ok").alias("ok"))
+
+
+LANDED_PAGE = 50
+
+
+@query("landed_reviews", sql(f"""
+    SELECT id, store, product, md5(arg_max(body, poll)) AS body FROM (
+      SELECT id, store, product, body, 0 AS poll FROM reviews
+      UNION ALL SELECT id, store, product, body || ' (edited)', 1 FROM (SELECT *, seq // {LANDED_PAGE} AS page FROM reviews WHERE seq % 10 = 0)
+        LEFT JOIN (SELECT product, min(seq // {LANDED_PAGE}) AS broken FROM reviews
+          WHERE store = 'appstore' AND seq % 10 = 0 AND (seq // {LANDED_PAGE}) % 7 = 3 GROUP BY product) USING (product)
+        WHERE store = 'playstore' OR broken IS NULL OR page < broken) GROUP BY ALL""", "reviews"))
+def landed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two polls of both stores from landed folders, some pages of the second broken, with spoilt files among the rest: the last polls."""
+    path = scratch_path(spark, "landed")
+    first = tables.reviews(spark, sf_dir)
+    second = first.where(F.col("seq") % 10 == 0).withColumn("body", F.concat("body", F.lit(" (edited)")))
+    for poll, rows in enumerate((first, second)):
+        pages = _landed_pages(rows, LANDED_PAGE)
+        if poll:
+            pages = pages.withColumn("payload", F.when((F.col("page") - 1) % 7 == 3, F.substring("payload", 1, 30)).otherwise(F.col("payload")))
+        pages.withColumn("poll", F.lit(poll)).write.json(f"{path}/app/poll={poll}")
+        _scraped(rows).withColumn("poll", F.lit(poll)).write.json(f"{path}/play/poll={poll}")
+    _spoil(spark, f"{path}/play")
+    landed = landed_plan.landed_reviews(spark, f"{path}/app/*/", f"{path}/play/*/", Settings(max_feed_pages=1 << 30))
+    return ingest.dedupe_last_wins(landed.reviews).select("id", "store", "product", F.md5("body").alias("body"))

@@ -28,14 +28,20 @@ class WeeklyRun:
     delivery: DataFrame
     records: DataFrame
     vectors: DataFrame
+    scrubbed: DataFrame
+    alerts: DataFrame
 
 
 def analyze(cleaned: DataFrame, cache: DataFrame, settings: Settings, encoder: embed.Encoder | None = None,
             summarizer: themes.Summarizer | None = None) -> tuple[DataFrame, ...]:
     """(labelled reviews, top clusters, ranked themes, checked quotes, token totals, new vectors)."""
     ids = list(RUN_KEY)
-    vectors, new = embed.embed_reviews(cleaned, cache, settings.embedding_model, encoder, settings.embedding_batch)
-    embedded = cleaned.select(*RUN_KEY, "pos", "id", "store", "rating", "date").join(vectors, "id")
+    paid = cleaned
+    if settings.max_embedding_tokens is not None:
+        paid = durable(embed.within_budget(
+            cleaned, cache, settings.embedding_model, settings.max_embedding_tokens, settings.embedding_batch))
+    vectors, new = embed.embed_reviews(paid, cache, settings.embedding_model, encoder, settings.embedding_batch)
+    embedded = paid.select(*RUN_KEY, "pos", "id", "store", "rating", "date").join(vectors, "id")
     labelled = durable(cluster.cluster_reviews(embedded, settings.min_cluster_size).drop("embedding"))
     top = durable(cluster.top_clusters(cluster.cluster_stats(labelled), settings.max_themes))
     members = labelled.join(top.select(*RUN_KEY, "label"), [*ids, "label"], "left_semi").join(
@@ -90,7 +96,10 @@ def run_weekly(reviews: DataFrame, products: DataFrame, weeks: Sequence[ingest.W
     decided = ledger_ops.idempotency_decision(grid, ledger, published, products)
     runs = durable(decided.where(F.col("decision") != "skip"))
     known = ingest.source_configured(reviews, products)
-    cleaned = durable(ingest.ingest_runs(known, weeks, settings, runs))
+    chosen, texts = ingest.chosen_texts(known, weeks, settings, runs)
+    chosen = durable(chosen)
+    texts = durable(texts)
+    cleaned = durable(ingest.clean_runs(chosen, texts))
     labelled, top, ranked, checked, totals, new = analyze(cleaned, cache, settings, encoder, summarizer)
     stats = durable(report.run_stats(
         report.counts_by_store(cleaned), cluster.noise_count(labelled), top, ranked, checked, totals))
@@ -98,6 +107,7 @@ def run_weekly(reviews: DataFrame, products: DataFrame, weeks: Sequence[ingest.W
     records = ledger_ops.ledger_metrics(start_records(runs, ledger, now, update_seq), stats)
     delivery = ledger_ops.delivery_plan(
         runs.drop("status", "decision"), published, products, settings.email_mode, ledger)
+    alerts = cost.cost_alerts(totals, settings.max_tokens_per_run, settings.cost_alert_threshold_usd)
     return WeeklyRun(
         runs, cleaned, labelled, ranked, checked, reports, render.render_all(reports, products), delivery,
-        records.select(*RUN_RECORD.names), new)
+        records.select(*RUN_RECORD.names), new, ingest.scrub_stats(chosen, texts), alerts)

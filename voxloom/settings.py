@@ -18,6 +18,8 @@ class Settings:
     embedding_batch: int = 100
     summary_model: str = "qwen3.6-27b"
     max_tokens_per_run: int = 60_000
+    #: Tokens that vectors of a run may cost; None: the encoder costs none.
+    max_embedding_tokens: int | None = None
     cost_alert_threshold_usd: float = 2.0
     email_mode: str = "draft"
     cap_after_end: bool = False

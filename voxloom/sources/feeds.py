@@ -27,6 +27,44 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([*SCRAPE_ROW, POLL])).json(path)
 
 
+def read_landed(spark: SparkSession, source: str, path: str, schema: T.StructType,
+                expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of the landed JSON lines with their `file`, one status row per file), whatever state the files are in.
+
+    A file that cannot be read costs itself only, a line that is no JSON object costs that line; both are told by `(source, file, bytes,
+    rows, broken, expected, ok, error)`: `ok` is a file without broken lines that gave rows, or as many as `expected` (`file, rows`) says. A
+    compressed file that was cut off gives what comes before the cut, which only `expected` can tell. A listed file that has not landed, and
+    a folder that is not there, have a status row too; files without a byte have none.
+    """
+    nothing = spark.createDataFrame([], T.StructType([*schema, T.StructField("file", T.StringType())]))
+    try:
+        there = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+        lines = spark.read.options(ignoreCorruptFiles="true", ignoreMissingFiles="true").text(path)
+    except AnalysisException as failure:
+        gone = spark.range(1).select(F.lit(path).alias("file"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("long").alias("rows"),
+                                     F.lit(None).cast("long").alias("broken"))
+        return nothing, _file_status(gone, source, expected, failure.getCondition() or type(failure).__name__)
+    parsed = lines.where(F.btrim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.from_json("value", T.StructType([*schema, T.StructField("_corrupt_record", T.StringType())]), _SKIP_BROKEN).alias("_row"))
+    broken = F.col("_row").isNull() | F.col("_row._corrupt_record").isNotNull()
+    counted = parsed.groupBy("file").agg(F.count_if(~broken).alias("rows"), F.count_if(broken).alias("broken"))
+    status = _file_status(there.join(counted, "file", "left"), source, expected, None)
+    return parsed.where(~broken).select("_row.*", "file").drop("_corrupt_record"), status
+
+
+def _file_status(files: DataFrame, source: str, expected: DataFrame | None, error: str | None) -> DataFrame:
+    listed = files if expected is None else files.join(expected.select("file", F.col("rows").alias("expected")), "file", "full")
+    rows, broken, bytes_ = (F.coalesce(c, F.lit(0)) for c in ("rows", "broken", "bytes"))
+    want = F.lit(None).cast("long") if expected is None else F.col("expected")
+    whole = F.col("bytes").isNotNull() & (broken == 0) & F.when(want.isNull(), (rows > 0) | (bytes_ == 0)).otherwise(rows == want)
+    told = F.when(F.lit(error is not None), F.lit(error)).when(whole, F.lit(None)).when(F.col("bytes").isNull(), "not landed").when(
+        broken > 0, "broken lines").when(rows == 0, "not readable").otherwise("rows missing")
+    return listed.select(
+        F.lit(source).alias("source"), "file", bytes_.alias("bytes"), rows.alias("rows"), broken.alias("broken"), want.alias("expected"),
+        (whole if error is None else F.lit(False)).alias("ok"), told.cast("string").alias("error"))
+
+
 def _with_entries(pages: DataFrame) -> DataFrame:
     parsed = pages.withColumn("_page", F.from_json("payload", FEED_PAGE, _SKIP_BROKEN))
     text = F.col("_page.feed.entry")
@@ -50,10 +88,11 @@ def scan_playstore_batches(batches: DataFrame) -> DataFrame:
 
 
 def drop_after_failure(pages: DataFrame) -> DataFrame:
-    """Keep the pages read before the first broken one of each product."""
-    marked = _with_entries(pages).select(*pages.columns, "broken")
-    first = marked.where("broken").groupBy("product", "app_id").agg(F.min("page").alias("_failed_page"))
-    joined = marked.where(~F.col("broken")).join(first, ["product", "app_id"], "left")
+    """Keep the pages read before the first broken one of each product and poll."""
+    poll = F.coalesce("poll", F.lit(0)) if _poll(pages) else F.lit(0)
+    marked = _with_entries(pages).select(*pages.columns, "broken", poll.alias("_poll"))
+    first = marked.where("broken").groupBy("product", "app_id", "_poll").agg(F.min("page").alias("_failed_page"))
+    joined = marked.where(~F.col("broken")).join(first, ["product", "app_id", "_poll"], "left")
     return joined.where(F.col("_failed_page").isNull() | (F.col("page") < F.col("_failed_page"))).select(*pages.columns)
 
 
