@@ -122,6 +122,34 @@ def test_shared_lines_of_nearest_pages_go(spark):
     assert page_diff.main_text(pages.limit(0)).count() == 0
 
 
+def kept(html):
+    return [t for t, k in lines(html) if k in (0, 1)]
+
+
+def test_wrappers_of_a_page_are_no_chrome():
+    """A form or a class name around the whole page does not hide the article; inside an article only a name that says nothing else is a mark."""
+    nav = "<nav><a href=x>Home</a></nav>"
+    assert kept(f"<form id=aspnetForm>{nav}<article><p>The story.</p></article><footer>F</footer></form>") == ["The story."]
+    assert kept(f"<div class='layout sidebar-right'>{nav}<main><p>The story.</p></main><aside>S</aside></div>") == ["The story."]
+    assert kept("<article><p class='related-work'>Earlier work.</p><section class='comment-analysis'>Numbers.</section></article>") == ["Earlier work.", "Numbers."]
+    assert kept("<article><p>A.</p><div class='related-posts'>R</div><ol class='comment-list'><li>C</li></ol><div class=ad>D</div></article>") == ["A."]
+    assert kept("<article><p>A.</p></article><div class=comments><article>Nice!</article></div>") == ["A."]
+    assert kept(f"<form>{nav}<p>All there is.</p><div class=sidebar>S</div></form>") == ["All there is."]
+    assert kept("<form><p>Search</p></form><p>Text.</p>") == ["Text."]
+    assert kept("<div class=sidebar><p>S</p></div>") == []
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    """Two pages with the same unmarked blocks keep them; a third of the template still tells what is shared."""
+    menu, rows = "<p>Menu line</p>", []
+    rows += [(i, "http://a.org/x", "<div><p>Same words.</p><p>More of them.</p></div>") for i in (1, 2)]
+    rows += [(i, f"http://b.org/n/{1 if i < 5 else 2}", f"<div>{menu}<p>Story {min(i, 4)}.</p></div>") for i in (3, 4, 5)]
+    rows += [(6, "http://c.org/1", "<div><p>One.</p></div>"), (7, "http://c.org/2", "<div><p>One.</p><p>Two.</p></div>")]
+    found = {r.page_id: r.text for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == found[2] == "Same words. More of them."
+    assert found[3] == "Story 3." and found[4].endswith("Story 4.") and found[6] == "One." and found[7] == "Two."
+
+
 def test_articles_of_the_given_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = page_diff.main_text(pages).collect()

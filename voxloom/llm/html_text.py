@@ -23,8 +23,13 @@ CHROME_WORDS = frozenset(
     "sponsors subscribe subscription toolbar topbar widget widgets signup login skip alert aside".split())
 HEAD_WORDS = frozenset("header head topheader pageheader siteheader".split())
 HARMLESS = frozenset("has with no without not".split())
+FILLERS = frozenset(
+    "list box block section area wrapper wrap container inner outer item items bar button buttons link links post posts article articles form thread "
+    "text body content slot unit label title top bottom left right inline main page site small large first last".split())
 
-BODY, LOOSE, CHROME = 0, 1, 2
+BODY, LOOSE, CHROME, WRAPPED, ENCLOSED = 0, 1, 2, 3, 4
+#: How sure it is that an element is chrome: not, by a name or a form that may as well stand around a whole page, or by what it is.
+NOT, MAYBE, SURE = 0, 1, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -38,28 +43,36 @@ def _traits(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(rest)} if rest else {}
 
 
-def _is_chrome(tag: str, traits: dict[str, str], in_article: bool) -> bool:
+def _chrome(tag: str, traits: dict[str, str], in_article: bool) -> int:
+    if tag == "form" and not in_article:
+        return MAYBE
     if tag in CHROME_TAGS or tag == "header" and not in_article:
-        return True
+        return SURE
     if not traits or tag in ("html", "body", "article", "main"):
-        return False
+        return NOT
     if traits.get("role", "").lower() in CHROME_ROLES or "hidden" in traits or traits.get("aria-hidden", "").lower() == "true":
-        return True
+        return SURE
     if re.search(r"display\s*:\s*none", traits.get("style", ""), re.I):
-        return True
+        return SURE
     for name in ("class", "id"):
         for value in traits.get(name, "").split():
-            words = set(_PARTS.split(_HUMP.sub("-", value).lower()))
-            if not words & HARMLESS and (words & CHROME_WORDS or not in_article and words & HEAD_WORDS):
-                return True
-    return False
+            words = {w for w in _PARTS.split(_HUMP.sub("-", value).lower()) if w}
+            if in_article:  # a name with a word of its own, as in related-work, is no mark
+                if words & CHROME_WORDS and words <= CHROME_WORDS | FILLERS:
+                    return SURE
+            elif not words & HARMLESS and words & (CHROME_WORDS | HEAD_WORDS):
+                return MAYBE
+    return NOT
 
 
 def lines(html: str) -> list[tuple[str, int]]:
     """Text and kind of every non-empty block in page order: BODY inside an article, CHROME inside menus, headers, footers, sidebars,
-    notices, adverts, forms, comments and such, LOOSE elsewhere. Where a page has no article, lists of links are CHROME too."""
+    notices, adverts, forms, comments and such, LOOSE elsewhere. Where a page has no article, lists of links are CHROME too.
+
+    A class name or a form may also stand around a whole page: an article inside such an element counts where the page has none outside,
+    and what a form holds is LOOSE where the page has nothing else."""
     out: list[list] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it is or is in chrome, in an article, in a link
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # element, how surely it is or is in chrome, in an article, in a link, in no chrome but forms
     pieces: list[str] = []
     linked = 0
 
@@ -67,8 +80,9 @@ def lines(html: str) -> list[tuple[str, int]]:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
-            chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append([text, CHROME if chrome else BODY if article else LOOSE, linked > 0.6 * len(text)])
+            chrome, article, _, only_forms = stack[-1][1:] if stack else (NOT, False, False, False)
+            kind = CHROME if chrome == SURE else WRAPPED if chrome and article else ENCLOSED if chrome and only_forms else CHROME if chrome else BODY if article else LOOSE
+            out.append([text, kind, linked > 0.6 * len(text)])
         pieces.clear()
         linked = 0
 
@@ -105,15 +119,19 @@ def lines(html: str) -> list[tuple[str, int]]:
             close("p", ("div", "section", "article", "main", "td", "th", "li", "dd", "blockquote", "body", "form", "aside", "nav", "footer", "header"))
         if tag in ITEMS:
             close(tag, ITEMS[tag])
-        chrome, article, link = stack[-1][1:] if stack else (False, False, False)
+        chrome, article, link, only_forms = stack[-1][1:] if stack else (NOT, False, False, True)
         traits = _traits(m[4])
         article = article or tag in ("article", "main") or traits.get("role", "").lower() in ("main", "article") or traits.get("itemprop") == "articleBody"
-        stack.append((tag, chrome or _is_chrome(tag, traits, article), article, link or tag == "a"))
+        own = _chrome(tag, traits, article)
+        stack.append((tag, max(chrome, own), article, link or tag == "a", only_forms and (not own or tag == "form")))
     pieces.append(html[at:])
     flush()
-    if any(kind == BODY for _, kind, _ in out):
-        return [(text, kind) for text, kind, _ in out]
-    return [(text, CHROME if links else kind) for text, kind, links in out]
+    kinds = {kind for _, kind, _ in out}
+    if kinds & {BODY, WRAPPED}:
+        body = BODY if BODY in kinds else WRAPPED
+        return [(text, BODY if kind == body else CHROME if kind in (WRAPPED, ENCLOSED) else kind) for text, kind, _ in out]
+    loose = LOOSE if any(kind == LOOSE and not links for _, kind, links in out) else ENCLOSED
+    return [(text, CHROME if links or kind in (WRAPPED, ENCLOSED) and kind != loose else LOOSE if kind == loose else kind) for text, kind, links in out]
 
 
 def common(one: list[int], two: list[int]) -> set[int]:

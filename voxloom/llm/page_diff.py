@@ -8,6 +8,9 @@ the same sentence), lines in menus, footers, adverts and such go, and the differ
 A host with a third of all pages spans many tasks: pages get their position in a range-partitioned order and are dealt in runs, each
 with the page before and the page after it. Only line fingerprints travel for that; texts are written once and joined once.
 
+A page whose neighbours have the same lines is compared with none, and one that shares all its lines keeps them: the difference
+tells a template from an article, not a page from its copy.
+
 Defined results: null html and pages without text give the empty text; pages without a host are compared with none; rows that share a page_id
 are pages of their own; other columns are ignored.
 """
@@ -76,12 +79,12 @@ def _deleted(key: tuple, table: pa.Table) -> pa.Table:
     for i, p in enumerate(pos):
         if (p - 1) // RUN != run or LOOSE not in kinds[i]:
             continue
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows)]
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and prints[j] != prints[i]]  # a copy tells nothing about the template
         if not near:
             continue
         best = max(near, key=lambda j: (_same(parts[i], parts[j]), -j))
         gone = [x for x in sorted(common(prints[i], prints[best])) if kinds[i][x] == LOOSE]
-        if gone:
+        if gone and (BODY in kinds[i] or len(gone) < kinds[i].count(LOOSE)):
             out_rows.append(rows[i])
             out.append(gone)
     return pa.table({"row": pa.array(out_rows, pa.int64()), "deleted": pa.array(out, pa.list_(pa.int32()))})
