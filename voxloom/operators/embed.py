@@ -50,7 +50,7 @@ def within_budget(reviews: DataFrame, cache: DataFrame, model: str, budget: int,
     missing = ranking.position(lack.withColumnRenamed("pos", "_pos"), keys, [F.col("_pos")])
     tokens = F.ceil(F.length(embedding_text(F.col("title"), F.col("body"))) / 4)
     kept = embed_budget(missing.withColumn("_tokens", tokens), "_tokens", budget, batch, keys=keys)
-    return have.unionByName(kept.drop("pos", "batch", "_tokens").withColumnRenamed("_pos", "pos"))
+    return have.unionByName(kept.drop("pos", "batch", "_tokens").withColumnRenamed("_pos", "pos")).select(*reviews.columns)
 
 
 def encode_with(texts: DataFrame, encoder: Encoder, model: str, batch: int = 100) -> DataFrame:
