@@ -32,14 +32,15 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM,
     """`doc_id, n_words, n_removed, kept_sha256, spans, kept_text` per row: `spans` are the maximal removed word intervals."""
     source = keyed(docs, id, text)
     marks = source.mapInArrow(lambda b: _least_grams(b, window, gram), "gram long, id long, sub int")
-    known = marks.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    # the key changes its name for a join, so both sides get an exchange that adaptive execution may split
+    known = marks.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.expr("~gram").alias("key"), "lo", "hi")
     # role: 1 where a larger document has the gram too, 2 where a smaller one has it
-    roles = marks.join(known, "gram").groupBy("id", "sub").agg(F.collect_set(F.struct(
+    roles = marks.withColumn("key", F.expr("~gram")).join(known, "key").groupBy("id", "sub").agg(F.collect_set(F.struct(
         "gram", ((F.col("id") < F.col("hi")).cast("int") + 2 * (F.col("id") > F.col("lo")).cast("int")).alias("role"))).alias("marks"))
     held = source.join(roles, ["id", "sub"]).select("id", "sub", "text", F.col("marks.gram").alias("grams"), F.col("marks.role").alias("roles"))
     windows = held.mapInArrow(lambda b: _windows(b, window, gram), "print long, id long, place long, role int")
-    first = windows.where("role % 2 = 1").groupBy("print").agg(F.min("id").alias("first"))
-    later = windows.where("role >= 2").join(first, "print").where("id > first")
+    first = windows.where("role % 2 = 1").groupBy("print").agg(F.min("id").alias("first")).select(F.expr("~print").alias("key"), "first")
+    later = windows.where("role >= 2").withColumn("key", F.expr("~print")).join(first, "key").where("id > first")
     places = later.groupBy("id", F.col("place").bitwiseAND(2**SUB_BITS - 1).cast("int").alias("sub")).agg(
         F.collect_list(F.shiftright("place", SUB_BITS)).alias("starts"))
     return source.join(places, ["id", "sub"], "left").select("id", "sub", "text", "starts").mapInArrow(
