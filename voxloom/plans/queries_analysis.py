@@ -18,6 +18,8 @@ from voxloom.plans.oracle import RUN, price, scrub, sql, windows
 from voxloom.plans.queries_ingest import _PREVIEW_SQL, _with_preview
 from voxloom.schemas import RUN_KEY
 
+# The wording of prompts, theme names and control characters in the SQL below has to equal that of the operators.
+
 LABEL_SQL = "CAST(label AS BIGINT) AS label"
 
 

@@ -17,6 +17,8 @@ from voxloom.session import durable, scratch_path
 from voxloom.settings import Settings
 from voxloom.sources import feeds, ledger_store, registry, review_store
 
+# The wording of markdown, previews and scrubbing placeholders in the SQL below has to equal that of the operators.
+
 PAGE_ROWS = 1000
 
 

@@ -14,6 +14,8 @@ from voxloom.schemas import RUN_KEY
 from voxloom.session import scratch_path
 from voxloom.streaming import feeds as streams
 
+# The wording of document blocks, mails, HTML and markdown in the SQL below has to equal that of the operators.
+
 # ---------------------------------------------------------------- dates
 
 _DATES = "(SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)"
