@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from voxloom.llm import line_dedup, near_dedup, queries, suffix_dedup, window_dedup
+from voxloom.llm import kernels as K, line_dedup, near_dedup, queries, suffix_dedup, window_dedup
 from voxloom.llm.components import components
 
 
@@ -66,6 +67,31 @@ def test_suffix_dedup_removes_what_brute_force_removes(spark, block):
     assert got == brute_bytes(texts_of(docs), 100)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=4, max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12), st.randoms())
+def test_longest_previous_factors(texts, draw):
+    """Suffixes of texts in any order of positions: removed are those that start with four bytes of a smaller position."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    first = np.cumsum([0, *map(len, texts)])
+    ids = draw.sample(range(100), len(texts))
+    spots = [(first[i] + k, ids[i], k) for i, t in enumerate(texts) for k in range(len(t) - 3)]
+    suffix, owner, place = (np.array(c, np.int64) for c in zip(*spots, strict=True))
+    later, heads = suffix_dedup.previous_factors(data, K.prefix_hash(K.byte_values(data)), suffix, owner, place, 4)
+    held = {}
+    for at, i, k in spots:
+        held.setdefault(bytes(data[at:at + 4]), []).append((i, k))
+    want = [n for n, (at, i, k) in enumerate(spots) if min(held[bytes(data[at:at + 4])]) < (i, k)]
+    assert later.tolist() == want and sorted([*later, *heads]) == list(range(len(spots)))
+
+
+def test_fingerprints_of_long_spans():
+    """Thue-Morse texts, which differ in every byte, have one polynomial modulo 2**64."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024)).encode()
+    data = np.frombuffer(one + one.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    a, b = K.prints(data, np.array([0, 1024]), np.array([1024, 2048]))
+    assert a != b
+
+
 def test_suffix_dedup_odd_rows(spark, odd):
     rows = suffix_dedup.remove_later_copies(odd, 50).collect()
     assert len(rows) == odd.count()

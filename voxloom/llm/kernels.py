@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one kernel call works on; a longer document is one call of its own.
 SLICE = 2 << 20
@@ -89,6 +90,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
 
 
+def prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of byte spans that no rule for ``span_hash`` forces to collide (sums modulo 2**64 have such rules for long spans)."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 

@@ -5,13 +5,15 @@ longest prefix of suffix i that also starts earlier, the greater of its common p
 a smaller position; bytes i to i + length go where LPF[i] >= length.
 
 1. Two equal strings share the least of their grams (winnowing), so suffixes are sorted only where such a gram occurs twice anywhere;
-   Spark counts these grams, about one in forty bytes.
-2. Every occurrence of a repeated gram sends its context, the strings that have this gram as their least, to the gram's block. A gram with
-   very many occurrences has several blocks; equal contexts meet in one.
-3. A block sorts the suffixes of its distinct contexts up to ``length`` bytes, ties by position. Runs of suffixes with common prefixes of
-   that length are where LPF can reach it: all but the smallest position of a run have a smaller one before or after them.
-4. Strings that are first in one of several blocks of a gram are counted once more by fingerprint, across blocks.
-5. Removed strings go back to the texts through the exchange of the texts that step 2 has used.
+   Spark counts these grams, about one in forty bytes, and tells each document which of its own repeat.
+2. Every occurrence of a repeated gram has a context: the strings that have this gram as their least. Contexts are exchanged without bytes, by
+   gram and fingerprint; equal ones of a slice of texts before that. All but the first of equal contexts are copies as a whole.
+3. A context that is the only one of its gram shares nothing else. Of the others, one representative per distinct context sends its bytes to its
+   gram's block; a gram with very many distinct contexts has several blocks.
+4. A block sorts the suffixes of its contexts up to ``length`` bytes, takes the common prefixes of neighbours, the previous and next
+   smaller position of each suffix, and from both its longest previous factor, which decides.
+5. Strings that are first in one of several blocks of a gram are counted once more by fingerprint, across blocks.
+6. Removed strings go back to the texts. Steps 2, 3 and 6 meet the texts in one exchange of these.
 
 Defined results: null is the empty text; positions compare by document, then start; a null id comes after all others; rows that share
 id and text are one document, each returned; rows that share an id only are ordered by a fingerprint of their text; other columns are ignored.
@@ -24,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from voxloom.llm import kernels as K
 from voxloom.llm.keyed import keyed, lists, named
 
-#: Bytes of the grams; bytes of text of a kernel call; occurrences of a gram per block; contexts whose suffixes are sorted together.
+#: Bytes of the grams; bytes of text of a kernel call; distinct contexts of a gram per block; contexts whose suffixes are sorted together.
 GRAM, BYTES, BLOCK, CHUNK = 24, 1 << 18, 8192, 4096
 _START_BITS = 40
 
@@ -37,26 +39,36 @@ _START_BITS = 40
 def remove_later_copies(docs: DataFrame, length: int = 100, gram: int = GRAM, block: int = BLOCK, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans` per row of `docs`; `spans` are the maximal removed byte runs."""
     source = keyed(docs, id, text)
-    marks = source.mapInArrow(lambda b: _marks(b, length, gram), "gram long, id long, sub int")
+    marks = source.mapInArrow(lambda b: _marks(b, length, gram), "gram long, id long, sub int, nth int")
     # the gram changes its name for the join, so both sides get an exchange that adaptive execution may split
-    counts = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
+    counts = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.expr("~gram").alias("key"))
+    known = marks.select(F.expr("~gram").alias("key"), "id", "sub", "nth").join(counts, "key").groupBy("id", "sub").agg(
+        F.collect_set("nth").alias("known"))
+    contexts = source.join(known, ["id", "sub"]).select("id", "sub", "text", "known").mapInArrow(
+        lambda b: _contexts(b, length, gram), "gram long, print long, id long, place long, size int, again boolean")
+    at = F.struct("id", "place")
+    equal = Window.partitionBy("gram", "print").orderBy("id", "place")
+    ranked = contexts.withColumn("turn", F.row_number().over(equal)).withColumn("first", F.first(at).over(equal))
+    copies = ranked.where(F.col("again") | (at != F.col("first"))).select("id", "place", "size")
+    distinct = ranked.where("NOT again AND turn = 1").select("gram", "print", "id", "place", "size")
+    several = distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
         F.expr("~gram").alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    known = marks.withColumn("key", F.expr("~gram")).join(counts, "key").groupBy("id", "sub").agg(
-        F.collect_set(F.struct("gram", "blocks")).alias("known"))
-    held = source.join(known, ["id", "sub"]).select(
-        "id", "sub", "text", F.col("known.gram").alias("grams"), F.col("known.blocks").alias("blocks"))
-    contexts = held.mapInArrow(
-        lambda b: _contexts(b, length, gram), "gram long, salt int, shared boolean, id long, place long, size int, bytes binary")
+    # blocks of a gram that has one only are salt -1
+    salt = F.when(F.col("blocks") > 1, F.pmod(F.shiftrightunsigned("print", 33), "blocks")).otherwise(-1).cast("int")
+    sub = F.shiftrightunsigned("place", _START_BITS).cast("int")
+    asked = distinct.withColumn("key", F.expr("~gram")).join(several, "key").groupBy("id", sub.alias("sub")).agg(
+        F.collect_list(F.struct("gram", salt.alias("salt"), "print", "place", "size")).alias("asked"))
+    pieces = source.join(asked, ["id", "sub"]).select(
+        "id", "text", *(F.col(f"asked.{c}").alias(c) for c in ("gram", "salt", "print", "place", "size"))).mapInArrow(
+        _pieces, "gram long, salt int, id long, place long, size int, bytes binary")
     # a hash of both, so that the blocks of one gram are dealt apart
-    dealt = contexts.repartition(F.col("gram"), F.col("salt")).sortWithinPartitions("gram", "salt")
+    dealt = pieces.repartition(F.col("gram"), F.col("salt")).sortWithinPartitions("gram", "salt")
     solved = dealt.mapInArrow(lambda b: _solve(b, length), "id long, place long, size int, print long")
     done = solved.where("print IS NULL").select("id", "place", "size")
     open_ = solved.where("print IS NOT NULL")
-    at = F.struct("id", "place")
     first = open_.groupBy("print").agg(F.min(at).alias("first")).select(F.expr("~print").alias("key"), "first")
     later = open_.withColumn("key", F.expr("~print")).join(first, "key").where(at != F.col("first")).select("id", "place", "size")
-    sub = F.shiftrightunsigned("place", _START_BITS).cast("int")
-    removed = done.unionByName(later).groupBy("id", sub.alias("sub")).agg(F.collect_list(F.struct(
+    removed = copies.unionByName(done).unionByName(later).groupBy("id", sub.alias("sub")).agg(F.collect_list(F.struct(
         F.col("place").bitwiseAND((1 << _START_BITS) - 1).alias("start"), F.col("size").alias("size"))).alias("cuts"))
     return source.join(removed, ["id", "sub"], "left").select("id", "sub", "text", F.col("cuts.start").alias("starts"), F.col("cuts.size").alias("sizes")).mapInArrow(
         _cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>").select(
@@ -75,26 +87,29 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
         for part in K.slices(batch.column(2), BYTES):
             _, grams = _grams(part, gram)
             _, at = K.anchors(grams, part.offsets, gram, length)
-            row = np.searchsorted(part.offsets, at, "right") - 1 + part.lo
+            row = np.searchsorted(part.offsets, at, "right") - 1
+            nth = (np.arange(len(at)) - np.searchsorted(at, part.offsets)[row]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[at].view(np.int64)), pa.array(ids[row]), pa.array(subs[row])], names=["gram", "id", "sub"])
+                [pa.array(grams[at].view(np.int64)), pa.array(ids[row + part.lo]), pa.array(subs[row + part.lo]), pa.array(nth)],
+                names=["gram", "id", "sub", "nth"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The strings that have a repeated gram as their least, one row per occurrence: from the first string's start to the last one's end.
 
-    Equal contexts of a slice travel once, for the smallest position; the others are known to be later copies and travel without bytes,
-    unless they have that position too (a repeated row).
+    Of equal contexts of a slice the one of the smallest position stands for all; the others are known to be later copies (`again`) and travel
+    under a key of their own, unless they have that position too (a repeated row).
     """
     for batch in batches:
         ids, subs = np.array(batch.column(0)), np.array(batch.column(1)).astype(np.int64)
         for part in K.slices(batch.column(2), BYTES):
             prefix, grams = _grams(part, gram)
             least, at = K.anchors(grams, part.offsets, gram, length)
-            values, owner = lists(batch.column(3), part.lo, len(part))
-            blocks, _ = lists(batch.column(4), part.lo, len(part))
-            values, index = np.unique(values.view(np.uint64), return_index=True)
-            blocks = blocks[index]
+            nth, owner = lists(batch.column(3), part.lo, len(part))
+            begin = np.searchsorted(at, part.offsets)
+            mark = begin[owner] + nth
+            # a number beyond the text's marks belongs to another text of the same id and sub
+            values = np.unique(grams[at[mark[mark < begin[owner + 1]]]])
             start = np.flatnonzero(least)
             if not len(start) or not len(values):
                 continue
@@ -111,7 +126,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             last = np.concatenate([fresh[1:] - 1, [len(start) - 1]])
             lo, hi, code = start[fresh], start[last] + length, code[fresh]
             row = np.searchsorted(part.offsets, lo, "right") - 1
-            print_ = K.span_hash(prefix, lo, hi)
+            print_ = K.prints(part.data, lo, hi)
             place = subs[row + part.lo] << _START_BITS | (lo - part.offsets[row])
             key = ids[row + part.lo]
             order = np.lexsort((place, key, print_))
@@ -121,26 +136,34 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             again = (key != key[head]) | (place != place[head])
             once = again | (head == np.arange(len(head)))
             lo, hi, code, print_, place, key, again = (x[once] for x in (lo, hi, code, print_, place, key, again))
-            several = blocks[code] > 1
-            salt = np.where(several, (print_ >> np.uint64(33)).astype(np.int64) % blocks[code], 0).astype(np.int32)
-            name = values[code].view(np.int64)
-            # later copies are dealt by their own fingerprint and place
-            name = np.where(again, K.mix64(print_ ^ place.view(np.uint64)).view(np.int64), name)
+            name = np.where(again, K.mix64(print_ ^ place.view(np.uint64)), values[code])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(name.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(key), pa.array(place), pa.array((hi - lo).astype(np.int32)),
+                pa.array(again)], names=["gram", "print", "id", "place", "size", "again"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the asked contexts; what does not bear its fingerprint belongs to another text of the same id and sub."""
+    for batch in batches:
+        ids = np.array(batch.column(0))
+        for part in K.slices(batch.column(1), BYTES):
+            gram, owner = lists(batch.column(2), part.lo, len(part))
+            salt, print_, place, size = (lists(batch.column(c), part.lo, len(part))[0] for c in (3, 4, 5, 6))
+            lo = (place & ((1 << _START_BITS) - 1)) + part.offsets[owner]
+            hi = lo + size
+            good = np.flatnonzero(hi <= part.offsets[owner + 1])
+            good = good[K.prints(part.data, lo[good], hi[good]) == print_[good].view(np.uint64)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(name), pa.array(np.where(again, -1, salt).astype(np.int32)), pa.array(several), pa.array(key), pa.array(place),
-                pa.array((hi - lo).astype(np.int32)),
-                pa.array([None if x else part.data[a:b].tobytes() for a, b, x in zip(lo.tolist(), hi.tolist(), again.tolist(), strict=True)], pa.binary())],
-                names=["gram", "salt", "shared", "id", "place", "size", "bytes"])
+                pa.array(gram[good]), pa.array(salt[good]), pa.array(ids[owner[good] + part.lo]), pa.array(place[good]), pa.array(size[good]),
+                pa.array([part.data[a:b].tobytes() for a, b in zip(lo[good].tolist(), hi[good].tolist(), strict=True)], pa.binary())],
+                names=["gram", "salt", "id", "place", "size", "bytes"])
 
 
 def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Blocks come one after the other; whole blocks are solved together, about CHUNK contexts at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        copies = batch.filter(pa.compute.equal(batch.column("salt"), -1))
-        if copies.num_rows:
-            yield _rows(np.array(copies.column("id")), np.array(copies.column("place")), np.array(copies.column("size")), None)
-        held.append(batch.filter(pa.compute.not_equal(batch.column("salt"), -1)))
+        held.append(batch)
         while sum(b.num_rows for b in held) > CHUNK:
             table = pa.Table.from_batches(held).combine_chunks()
             gram, salt = (np.array(table.column(c)) for c in ("gram", "salt"))
@@ -162,7 +185,8 @@ def _rows(ids: np.ndarray, place: np.ndarray, size: np.ndarray, print_: np.ndarr
 
 def _block(table: pa.Table, length: int) -> pa.RecordBatch:
     """Removed strings of some blocks, and the first strings of shared blocks with their fingerprints."""
-    gram, ids, place, size, shared = (np.array(table.column(c)) for c in ("gram", "id", "place", "size", "shared"))
+    gram, ids, place, size, salt = (np.array(table.column(c)) for c in ("gram", "id", "place", "size", "salt"))
+    shared = salt >= 0
     order = np.lexsort((place, ids))
     gram, ids, place, size, shared = gram[order], ids[order], place[order], size[order], shared[order]
     raw = table.column("bytes").combine_chunks().take(pa.array(order)).cast(pa.large_binary())
@@ -170,17 +194,8 @@ def _block(table: pa.Table, length: int) -> pa.RecordBatch:
     data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
     prefix = K.prefix_hash(K.byte_values(data))
-    whole = K.mix64(K.span_hash(prefix, offsets[:-1], offsets[1:]) ^ gram.view(np.uint64))
-    _, first, head = np.unique(whole, return_index=True, return_inverse=True)  # the smallest position of each distinct context
-    head = first[head]
-    # a context at its first one's position is that one, of a repeated row
-    copy = (ids != ids[head]) | (place != place[head])
-    # suffixes of the distinct contexts, in the order of their positions
-    distinct = np.zeros(len(whole), bool)
-    distinct[first] = True
-    lone = np.unique(gram[distinct], return_counts=True)
-    several = np.isin(gram, lone[0][lone[1] > 1]) | shared
-    keep = np.flatnonzero(distinct & several)
+    # a repeated row sends its contexts more than once
+    keep = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])])[:len(ids)])
     counts = size[keep] - length + 1
     owner = np.repeat(keep, counts)
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -188,9 +203,7 @@ def _block(table: pa.Table, length: int) -> pa.RecordBatch:
     later, heads = previous_factors(data, prefix, suffix, ids[owner], place[owner] + start, length)
     lo, hi = _strings(owner[later], start[later], length)
     pending = heads[shared[owner[heads]]]
-    n = np.flatnonzero(copy)
     found = [
-        _rows(ids[n], place[n], size[n], None),
         _rows(ids[owner[later][lo]], place[owner[later][lo]] + start[later][lo], start[later][hi] - start[later][lo] + length, None),
         _rows(ids[owner[pending]], place[owner[pending]] + start[pending], np.full(len(pending), length),
               K.span_hash(prefix, suffix[pending], suffix[pending] + length))]
@@ -198,10 +211,10 @@ def _block(table: pa.Table, length: int) -> pa.RecordBatch:
 
 
 def previous_factors(data: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, ids: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes whose longest previous factor reaches `length`, and the others, as sorted numbers.
+    """Suffixes whose longest previous factor reaches `length`, and the others, as sorted numbers; no two have one position.
 
-    Suffixes with a fingerprint of their own have none and are set aside. The rest are sorted by their first `length` bytes; in a run of equal ones
-    a suffix has a smaller position before or after it in suffix order unless its own is the run's smallest.
+    Suffixes with a fingerprint of their own have none and are set aside. The rest are sorted by their first `length` bytes. The longest
+    previous factor is the greater of the common prefixes with the nearest suffixes of a smaller position, before and after in this order.
     """
     _, inverse, times = np.unique(K.span_hash(prefix, suffix, suffix + length), return_inverse=True, return_counts=True)
     alone = times[inverse] == 1
@@ -213,16 +226,33 @@ def previous_factors(data: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, i
     keys[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[suffix[some]]
     order = np.argsort(keys.view(f"S{length + 1}").ravel(), kind="stable")
     ranked = keys[order]
-    fresh = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)])
-    run = np.cumsum(fresh) - 1
-    # positions as numbers; equal ones (repeated rows) are one
+    differ = ranked[1:] != ranked[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
     position = np.empty(len(some), np.int64)
-    same = np.lexsort((place[some], ids[some]))
-    new = np.concatenate([[True], (place[some][same][1:] != place[some][same][:-1]) | (ids[some][same][1:] != ids[some][same][:-1])])
-    position[same] = np.cumsum(new) - 1
-    smallest = np.minimum.reduceat(position[order], np.flatnonzero(fresh))
-    earlier = position[order] > smallest[run]
-    return np.sort(some[order[earlier]]), np.sort(np.concatenate([np.flatnonzero(alone), some[order[~earlier]]]))
+    position[np.lexsort((place[some], ids[some]))] = np.arange(len(some))
+    position = position[order]
+    before = _smaller(position, common)
+    after = _smaller(position[::-1], common[::-1])[::-1]
+    reached = np.maximum(before, after) >= length
+    return np.sort(some[order[reached]]), np.sort(np.concatenate([np.flatnonzero(alone), some[order[~reached]]]))
+
+
+def _smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with the nearest one before it that has a smaller position (0 if there is none).
+
+    All pointers begin at the neighbour and jump to the pointer of what they point at until that is smaller: what lies between is greater.
+    """
+    # entry 0 stands before all suffixes, with the smallest position and nothing in common
+    position = np.concatenate([[-1], position])
+    near = np.maximum(np.arange(len(position)) - 1, 0)
+    shared = np.concatenate([[0, 0], common])[:len(position)]
+    open_ = np.flatnonzero(position[near] > position)
+    while len(open_):
+        at = near[open_]
+        shared[open_] = np.minimum(shared[open_], shared[at])
+        near[open_] = near[at]
+        open_ = open_[position[near[open_]] > position[open_]]
+    return shared[1:]
 
 
 def _strings(owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
