@@ -34,30 +34,36 @@ from voxloom.llm.keyed import keyed, lists, named
 #: Bytes of the grams; bytes of text of a kernel call; distinct contexts of a gram per block; contexts whose suffixes are sorted together.
 GRAM, BYTES, BLOCK, CHUNK = 24, 1 << 18, 8192, 4096
 _START_BITS = 40
+#: The bits of fingerprints that travel. Two grams that share them send contexts in vain; contexts are equal where 96 bits are, gram and all.
+_COUNTED = np.uint64((1 << 48) - 1)
 
 
 def remove_later_copies(docs: DataFrame, length: int = 100, gram: int = GRAM, block: int = BLOCK, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans` per row of `docs`; `spans` are the maximal removed byte runs."""
     source = keyed(docs, id, text)
-    marks = source.mapInArrow(lambda b: _marks(b, length, gram), "gram long, id long, sub int, nth int")
+    marks = source.mapInArrow(lambda b: _marks(b, length, gram), "gram long, id long, spot long")
     # the gram changes its name for the join, so both sides get an exchange that adaptive execution may split
     counts = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.expr("~gram").alias("key"))
-    known = marks.select(F.expr("~gram").alias("key"), "id", "sub", "nth").join(counts, "key").groupBy("id", "sub").agg(
+    known = marks.select(F.expr("~gram").alias("key"), "id", "spot").join(counts, "key").select(
+        "id", F.shiftright("spot", 32).cast("int").alias("sub"), F.col("spot").bitwiseAND((1 << 31) - 1).cast("int").alias("nth")).repartition("id", "sub").groupBy("id", "sub").agg(
         F.collect_set("nth").alias("known"))
     contexts = source.join(known, ["id", "sub"]).select("id", "sub", "text", "known").mapInArrow(
-        lambda b: _contexts(b, length, gram), "gram long, print long, id long, place long, size int, again boolean")
+        lambda b: _contexts(b, length, gram),
+        "gram long NOT NULL, print long NOT NULL, id long NOT NULL, place long NOT NULL, size int NOT NULL, again boolean NOT NULL").repartition("gram", "print")
     at = F.struct("id", "place")
-    equal = Window.partitionBy("gram", "print").orderBy("id", "place")
-    ranked = contexts.withColumn("turn", F.row_number().over(equal)).withColumn("first", F.first(at).over(equal))
+    equal = Window.partitionBy("gram", "print").orderBy("id", "place", "size")
+    # One exchange serves three uses as long as nothing is filtered or pruned below it for one of them: no column can be null, all are in
+    # the window, and lag marks the first row, since Spark cuts by row_number before the exchange
+    ranked = contexts.withColumn("first", F.first(at).over(equal)).withColumn("prior", F.lag("id").over(equal))
     copies = ranked.where(F.col("again") | (at != F.col("first"))).select("id", "place", "size")
-    distinct = ranked.where("NOT again AND turn = 1").select("gram", "print", "id", "place", "size")
+    distinct = ranked.where("NOT again AND prior IS NULL").select("gram", "print", "id", "place", "size")
     several = distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
         F.expr("~gram").alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     # blocks of a gram that has one only are salt -1
-    salt = F.when(F.col("blocks") > 1, F.pmod(F.shiftrightunsigned("print", 33), "blocks")).otherwise(-1).cast("int")
+    salt = F.when(F.col("blocks") > 1, F.pmod(F.shiftrightunsigned("print", 17), "blocks")).otherwise(-1).cast("int")
     sub = F.shiftrightunsigned("place", _START_BITS).cast("int")
-    asked = distinct.withColumn("key", F.expr("~gram")).join(several, "key").groupBy("id", sub.alias("sub")).agg(
-        F.collect_list(F.struct("gram", salt.alias("salt"), "print", "place", "size")).alias("asked"))
+    asked = distinct.select(F.expr("~gram").alias("key"), "print", "id", "place", "size").join(several, "key").groupBy("id", sub.alias("sub")).agg(
+        F.collect_list(F.struct(F.expr("~key").alias("gram"), salt.alias("salt"), "print", "place", "size")).alias("asked"))
     pieces = source.join(asked, ["id", "sub"]).select(
         "id", "text", *(F.col(f"asked.{c}").alias(c) for c in ("gram", "salt", "print", "place", "size"))).mapInArrow(
         _pieces, "gram long, salt int, id long, place long, size int, bytes binary")
@@ -88,10 +94,9 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
             _, grams = _grams(part, gram)
             _, at = K.anchors(grams, part.offsets, gram, length)
             row = np.searchsorted(part.offsets, at, "right") - 1
-            nth = (np.arange(len(at)) - np.searchsorted(at, part.offsets)[row]).astype(np.int32)
+            spot = subs[row + part.lo].astype(np.int64) << 32 | np.arange(len(at)) - np.searchsorted(at, part.offsets)[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[at].view(np.int64)), pa.array(ids[row + part.lo]), pa.array(subs[row + part.lo]), pa.array(nth)],
-                names=["gram", "id", "sub", "nth"])
+                [pa.array((grams[at] & _COUNTED).view(np.int64)), pa.array(ids[row + part.lo]), pa.array(spot)], names=["gram", "id", "spot"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -126,7 +131,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             last = np.concatenate([fresh[1:] - 1, [len(start) - 1]])
             lo, hi, code = start[fresh], start[last] + length, code[fresh]
             row = np.searchsorted(part.offsets, lo, "right") - 1
-            print_ = K.prints(part.data, lo, hi)
+            print_ = K.prints(part.data, lo, hi) & _COUNTED
             place = subs[row + part.lo] << _START_BITS | (lo - part.offsets[row])
             key = ids[row + part.lo]
             order = np.lexsort((place, key, print_))
@@ -136,9 +141,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             again = (key != key[head]) | (place != place[head])
             once = again | (head == np.arange(len(head)))
             lo, hi, code, print_, place, key, again = (x[once] for x in (lo, hi, code, print_, place, key, again))
-            name = np.where(again, K.mix64(print_ ^ place.view(np.uint64)), values[code])
+            # what has been decided goes by its position
             yield pa.RecordBatch.from_arrays([
-                pa.array(name.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(key), pa.array(place), pa.array((hi - lo).astype(np.int32)),
+                pa.array(np.where(again, place, (values[code] & _COUNTED).view(np.int64))), pa.array(np.where(again, key, print_.view(np.int64))), pa.array(key), pa.array(place), pa.array((hi - lo).astype(np.int32)),
                 pa.array(again)], names=["gram", "print", "id", "place", "size", "again"])
 
 
@@ -152,7 +157,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = (place & ((1 << _START_BITS) - 1)) + part.offsets[owner]
             hi = lo + size
             good = np.flatnonzero(hi <= part.offsets[owner + 1])
-            good = good[K.prints(part.data, lo[good], hi[good]) == print_[good].view(np.uint64)]
+            good = good[K.prints(part.data, lo[good], hi[good]) & _COUNTED == print_[good].view(np.uint64)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(gram[good]), pa.array(salt[good]), pa.array(ids[owner[good] + part.lo]), pa.array(place[good]), pa.array(size[good]),
                 pa.array([part.data[a:b].tobytes() for a, b in zip(lo[good].tolist(), hi[good].tolist(), strict=True)], pa.binary())],
