@@ -20,6 +20,23 @@ def test_language_of_held_out_documents(corpus):
     assert both.where("score < 0 OR score > 1").count() == 0
 
 
+@pytest.mark.parametrize("rare", ["a", "ok then", " ", "???"])
+def test_a_language_with_a_tiny_sample_takes_no_texts(corpus, rare):
+    fold = language_id.remainder(F.col("doc_id"))
+    learned = language_id.samples(corpus.where(fold != 1)) | {"aa": [rare]}
+    found = language_id.predict(corpus.where(fold == 1), learned).join(corpus.select("doc_id", "lang"), "doc_id")
+    right, taken, n = found.where("lang IS NOT NULL AND lang_pred != 'und'").agg(
+        F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.sum((F.col("lang_pred") == "aa").cast("int")), F.count("*")).first()
+    assert n and right >= 0.97 and taken == 0
+
+
+def test_samples_come_from_whole_texts(spark):
+    """Documents that begin with one header of 600 characters do not teach the header alone."""
+    docs = spark.createDataFrame([(i, "h" * 600 + "xyz " * 600, "en") for i in range(64)], "doc_id long, text string, lang string")
+    texts = language_id.samples(docs)["en"]
+    assert len(texts) == 64 and all(len(t) == 512 for t in texts) and sum("xyz" in t for t in texts) > 32
+
+
 def test_language_odd_rows(odd):
     rows = language_id.predict(odd, {"en": ["the quick brown fox"], "fr": ["le renard brun"]}).collect()
     assert len(rows) == odd.count()

@@ -1,13 +1,15 @@
 """Language ID by cross-parsing: the language whose labelled text needs the fewest phrases to spell a text wins.
 
 A suffix automaton of each language's sample follows the text from its root as far as some substring of the sample goes (the longest match);
-there a phrase ends and the next begins. Phrases times log(sample length) over text length estimates the cross entropy, so samples
-of different size compare. Samples are bounded: ``per_lang`` labelled documents of a language, chosen by a hash of the id, the first
-``chars`` characters of each. Every whole text is parsed, in stretches of ``STRETCH`` symbols that begin with a new phrase each; numpy
+there a phrase ends and the next begins; a symbol that the sample lacks is a phrase of its own. Phrases over text length are compared
+without a factor for the sample's length: with log(length), phrases of a tiny sample would cost next to nothing and it would win texts of all
+languages. Samples are bounded: ``per_lang`` labelled documents of a language, chosen by a hash of the id, and a stretch of ``chars``
+characters of each, from a place in the whole text chosen by a hash. The ``LETTERS`` most frequent letters of all samples are told apart, rarer
+ones are one symbol. Every whole text is parsed, in stretches of ``STRETCH`` symbols that begin with a new phrase each; numpy
 walks many stretches and all languages in step through dense transition tables.
 
 Defined results: null texts and texts without a letter are `und` with score 0, and so is everything where nothing can be learned; rows with a null id
-or language teach nothing; equal entropies go to the language first by code point; repeated rows are rows; other columns are ignored.
+or language teach nothing; equal numbers of phrases go to the language first by code point; repeated rows are rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ def remainder(id: Column) -> Column:
 
 def samples(docs: DataFrame, per_lang: int = 64, chars: int = 512, id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
     """The labelled text of each language that the automata are built of; at most per_lang * chars characters each."""
-    known = docs.select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), F.substring(F.col(text), 1, chars).alias("text"))
+    whole = F.col(text).cast("string")
+    place = F.pmod(F.xxhash64(F.col(id), whole), F.greatest(F.length(whole) - chars, F.lit(0)) + 1) + 1
+    known = docs.select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), whole.substr(place.cast("int"), F.lit(chars)).alias("text"))
     some = top_n(known.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"), ("lang",),
                  [F.xxhash64("id"), F.col("id"), F.col("text")], per_lang)
     out: dict[str, list[str]] = {}
@@ -44,7 +48,7 @@ def samples(docs: DataFrame, per_lang: int = 64, chars: int = 512, id: str = "do
 
 
 def predict(docs: DataFrame, learned: dict[str, list[str]], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id, lang_pred, score` per row of `docs`; the score is the share by which the best entropy is below the next."""
+    """`doc_id, lang_pred, score` per row of `docs`; the score is the share by which the fewest phrases are below the next."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(learned)
         for batch in batches:
@@ -88,14 +92,12 @@ class Parser:
         self.symbol = np.where(_letters(), STRANGE, BLANK).astype(np.uint8)
         self.symbol[common] = np.arange(2, 2 + len(common))
         self.width = 2 + len(common)
-        tables, lengths = [], []
+        tables = []
         for lang in self.langs:
             text = self.symbols(" ".join(learned[lang]))
             tables.append(automaton(text.tolist(), self.width))
-            lengths.append(len(text))
         self.roots = np.cumsum([0, *(len(t) for t in tables)])[:-1]
         self.steps = np.concatenate([np.zeros((0, self.width), np.int64), *(_steps(t, root) for t, root in zip(tables, self.roots, strict=True))]).ravel()
-        self.cost = np.log2(np.maximum(np.array(lengths, float), 2))
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters as symbols, every run of other characters as one blank."""
@@ -123,10 +125,9 @@ class Parser:
             if not len(self.langs) or not (s != BLANK).any():
                 yield "und", 0.0
                 continue
-            entropy = phrases[:, i] * self.cost
-            at = int(entropy.argmin())
-            rest = np.delete(entropy, at)
-            yield self.langs[at], float(1 - entropy[at] / rest.min()) if len(rest) else 1.0
+            at = int(phrases[:, i].argmin())
+            rest = np.delete(phrases[:, i], at)
+            yield self.langs[at], float(1 - phrases[at, i] / rest.min()) if len(rest) else 1.0
 
     def _walk(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases per language and stretch; stretches come longest first."""
