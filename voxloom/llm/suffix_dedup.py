@@ -71,9 +71,9 @@ def remove_later_copies(docs: DataFrame, length: int = 100, gram: int = GRAM, bl
     dealt = pieces.repartition(F.col("gram"), F.col("salt")).sortWithinPartitions("gram", "salt")
     solved = dealt.mapInArrow(lambda b: _solve(b, length), "id long, place long, size int, print long")
     done = solved.where("print IS NULL").select("id", "place", "size")
-    open_ = solved.where("print IS NOT NULL")
-    first = open_.groupBy("print").agg(F.min(at).alias("first")).select(F.expr("~print").alias("key"), "first")
-    later = open_.withColumn("key", F.expr("~print")).join(first, "key").where(at != F.col("first")).select("id", "place", "size")
+    # a block sends a string once, so a fingerprint has one row per block of its gram at most
+    first = F.first(at).over(Window.partitionBy("print").orderBy("id", "place"))
+    later = solved.where("print IS NOT NULL").withColumn("first", first).where(at != F.col("first")).select("id", "place", "size")
     removed = copies.unionByName(done).unionByName(later).groupBy("id", sub.alias("sub")).agg(F.collect_list(F.struct(
         F.col("place").bitwiseAND((1 << _START_BITS) - 1).alias("start"), F.col("size").alias("size"))).alias("cuts"))
     return source.join(removed, ["id", "sub"], "left").select("id", "sub", "text", F.col("cuts.start").alias("starts"), F.col("cuts.size").alias("sizes")).mapInArrow(
@@ -211,7 +211,7 @@ def _block(table: pa.Table, length: int) -> pa.RecordBatch:
     found = [
         _rows(ids[owner[later][lo]], place[owner[later][lo]] + start[later][lo], start[later][hi] - start[later][lo] + length, None),
         _rows(ids[owner[pending]], place[owner[pending]] + start[pending], np.full(len(pending), length),
-              K.span_hash(prefix, suffix[pending], suffix[pending] + length))]
+              K.prints(data, suffix[pending], suffix[pending] + length))]
     return pa.concat_batches(found)
 
 
