@@ -88,8 +88,22 @@ def test_fingerprints_of_long_spans():
     """Thue-Morse texts, which differ in every byte, have one polynomial modulo 2**64."""
     one = "".join("ab"[i.bit_count() % 2] for i in range(1024)).encode()
     data = np.frombuffer(one + one.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
-    a, b = K.prints(data, np.array([0, 1024]), np.array([1024, 2048]))
-    assert a != b
+    ends = np.array([0, 1024]), np.array([1024, 2048])
+    prefix = K.prefix_hash(K.byte_values(data))
+    assert len(set(K.span_hash(prefix, *ends).tolist())) == 1
+    assert len(set(K.prints(data, *ends).tolist())) == len(set(K.span_prints(data, prefix, *ends).tolist())) == 2
+
+
+def test_long_words_that_differ_everywhere_are_no_copies(spark):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one), (4, f"{one} " * 60), (5, f"{two} " * 60)], "doc_id long, text string")
+    lines = {r.doc_id: r.n_removed for r in line_dedup.remove_repeated_lines(docs.where("doc_id < 4"), short=True).collect()}
+    assert lines == {1: 0, 2: 0, 3: 1}
+    near = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words_each=3, percent=85).collect()}
+    assert near == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    windows = {r.doc_id: r.n_removed for r in window_dedup.remove_repeated_windows(docs).collect()}
+    assert set(windows.values()) == {0}
 
 
 def test_suffix_dedup_odd_rows(spark, odd):

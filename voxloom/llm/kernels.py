@@ -11,6 +11,8 @@ from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one kernel call works on; a longer document is one call of its own.
 SLICE = 2 << 20
+#: Bytes from which on a span is told apart by ``prints``: polynomials modulo 2**64 collide by rule from about 1,024 symbols on.
+LONG = 128
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -96,6 +98,15 @@ def prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
 
 
+def span_prints(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of byte spans of any length: ``span_hash`` up to ``LONG`` bytes, ``prints`` beyond."""
+    out = span_hash(prefix, start, end)
+    long = np.flatnonzero(end - start > LONG)
+    if len(long):
+        out[long] = prints(data, start[long], end[long])
+    return out
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
@@ -122,8 +133,8 @@ def words(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_hashes(part: Slice, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words as in ``words`` and a fingerprint of each."""
     start, end, first = words(part)
-    prefix = prefix_hash(byte_values(LOWER[part.data] if lower else part.data))
-    return start, end, first, span_hash(prefix, start, end)
+    data = LOWER[part.data] if lower else part.data
+    return start, end, first, span_prints(data, prefix_hash(byte_values(data)), start, end)
 
 
 def sliding(values: np.ndarray, width: int, least: bool = True) -> np.ndarray:

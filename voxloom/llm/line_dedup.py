@@ -86,7 +86,7 @@ class Lines:
         long = self.end - self.start >= least
         self.doc, self.number, self.start, self.end = (x[long] for x in (self.doc, self.number, self.start, self.end))
         self.prefix = K.prefix_hash(K.byte_values(data))
-        self.print = K.span_hash(self.prefix, self.start, self.end).view(np.int64)
+        self.print = K.span_prints(data, self.prefix, self.start, self.end).view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
