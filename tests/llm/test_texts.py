@@ -254,6 +254,57 @@ def test_edited_copies_beside_an_exact_one_are_found(spark):
     assert all(found[i] == pytest.approx((36 * 2 - 4) / 80) for i in range(1, 1001))
 
 
+def edited(draw, item, rate, period):
+    """An item with words changed, left out or added: every `period`-th one, or each with probability `rate`."""
+    out = []
+    for i, w in enumerate(item):
+        if (i % period == period - 1) if period else draw.random() < rate:
+            out += draw.choice([[f"new{draw.randrange(10**9)}"], [], [w, f"new{draw.randrange(10**9)}"]]) if rate else [f"new{i}"]
+        else:
+            out.append(w)
+    return out
+
+
+def test_leaks_against_all_items_times_all_documents(spark):
+    """Every pair whose alignment reaches the limit is found, by the rate of edits; items share frequent words, and a phrase is in all documents."""
+    draw = random.Random(12)
+    common = [f"the{i}" for i in range(12)]
+    items = [[draw.choice(common) if draw.random() < 0.4 else f"w{draw.randrange(3000)}" for _ in range(draw.randrange(16, 60))] for _ in range(24)]
+    cases = [(0, 1), (0, 2), (0.1, 0), (0.2, 0), (0.3, 0), (0, 3), (0, 4), (0, 5), (0.4, 0)]
+    docs, case = [], []
+    for rate, period in cases:
+        for i, item in enumerate(items):
+            around = [[draw.choice(common) if draw.random() < 0.4 else f"w{draw.randrange(3000)}" for _ in range(40)] for _ in range(2)]
+            docs.append([*common[:8], *around[0], *edited(draw, item, rate, period), *around[1]])
+            case.append((rate, period))
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()}
+    number = {w: n for n, w in enumerate(sorted({w for x in docs + items for w in x}))}
+    coded = [[np.array([number[w] for w in x]) for x in kind] for kind in (docs, items)]
+    want = {}
+    for d, words in enumerate(coded[0]):
+        for i, item in enumerate(coded[1]):
+            score = decontamination.smith_waterman(item, words)[0] / (2 * len(item))
+            if score >= 0.5:
+                want[d, i] = score
+    assert found.keys() <= want.keys() and all(found[k] == pytest.approx(want[k]) for k in found)
+    for c in cases:
+        asked = [k for k in want if case[k[0]] == c]
+        kept = sum(k in found for k in asked)
+        print(c, kept, len(asked))
+        assert kept == len(asked), c
+
+
+def test_one_long_item_does_not_widen_the_passages_of_others(spark):
+    items = spark.createDataFrame([(1, " ".join(f"s{i}" for i in range(16))), (2, " ".join(f"l{i}" for i in range(5000)))], "item_id long, text string")
+    text = " ".join([*(f"x{i}" for i in range(3000)), *(f"s{i}" for i in range(16)), *(f"y{i}" for i in range(3000))])
+    grams = items.limit(0)  # no items, no filter
+    assert decontamination.leaks(items.select(F.col("item_id").alias("doc_id"), "text"), grams).count() == 0
+    found = decontamination.leaks(spark.createDataFrame([(5, text)], "doc_id long, text string"), items).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.start, r.end) for r in found] == [(5, 1, 1.0, 3000, 3016)]
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
     draw = np.random.default_rng(3)
