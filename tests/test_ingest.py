@@ -224,3 +224,33 @@ def test_the_later_poll_of_a_place_wins(spark):
     reviews = normalise.normalize_appstore(feeds.scan_appstore_pages(pages))
     assert reviews.select("seq").distinct().count() == 2
     assert [r["body"] for r in ingest.dedupe_last_wins(reviews).collect()] == ["after"]
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_thinned_candidates_leave_every_run_as_it_is(spark, inside):
+    """A hot product and a quiet one, weeks out of order with gaps, rows before all windows; equal to every run on its own."""
+    draw = random.Random(9)
+    first = dt.date(2025, 1, 1)
+    rows = []
+    for i, seq in enumerate(draw.sample(range(5000), 1200)):
+        day = first + dt.timedelta(days=draw.randrange(420))
+        rows.append(("hot" if i % 12 else "quiet", draw.choice(["appstore", "playstore"]), f"r{i % 1100}", dt.datetime(day.year, day.month, day.day, 12), seq))
+    weeks = [(2026, 2), (2025, 30), (2025, 31), (2025, 52), (2025, 12)]
+    settings = Settings(max_reviews_per_product=25, cap_after_end=inside)
+    reviews = spark.createDataFrame(rows, "product string, store string, id string, date timestamp, seq long")
+    thin = ingest.thin_candidates(reviews, weeks, settings)
+    assert thin.columns == reviews.columns
+    kept = ingest.candidate_runs(thin, weeks, settings)
+    assert kept.count() <= 4 * len(weeks) ** 2 * 25 and kept.count() < ingest.candidate_runs(reviews, weeks, settings).count()
+    found = {}
+    for r in ingest.cap_per_store(kept, 25).collect():
+        found.setdefault((r.product, r.store, r.iso_year, r.iso_week), set()).add(r.seq)
+    want = {}
+    for y, w in weeks:
+        end = dt.date.fromisocalendar(y, w, 7)
+        start = end - dt.timedelta(weeks=settings.review_window_weeks)
+        for product, store in {r[:2] for r in rows}:
+            own = sorted(r[4] for r in rows if r[:2] == (product, store) and r[3].date() >= start and (not inside or r[3].date() <= end))
+            if own:
+                want[product, store, y, w] = set(own[:25])
+    assert found == want

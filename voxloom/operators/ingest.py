@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions import ranking
 from voxloom.functions.pii import COUNTERS, count_hits, scrub_lettered
@@ -95,8 +95,8 @@ def run_grid(products: DataFrame, weeks: Sequence[Week], window_weeks: int = 10)
         F.date_sub("_w.window_end", 7 * window_weeks).alias("window_start"), "_w.window_end")
 
 
-def candidate_runs(df: DataFrame, weeks: Sequence[Week], settings: Settings) -> DataFrame:
-    """One row per listed week whose window the row may belong to.
+def _listed(weeks: Sequence[Week], settings: Settings) -> Column:
+    """The listed weeks whose window a row may belong to, as an array.
 
     As fetched, a run sees everything from its window start on, also what is newer than the
     window; with `cap_after_end` only what lies inside.
@@ -110,7 +110,24 @@ def candidate_runs(df: DataFrame, weeks: Sequence[Week], settings: Settings) ->
         inside = day >= F.date_sub(w["_end"], 7 * settings.review_window_weeks)
         return inside & (day <= w["_end"]) if settings.cap_after_end else inside
 
-    return df.withColumn("_w", F.explode(F.filter(listed, belongs))).select(*df.columns, "_w.*")
+    return F.filter(listed, belongs)
+
+
+def candidate_runs(df: DataFrame, weeks: Sequence[Week], settings: Settings) -> DataFrame:
+    """One row per listed week whose window the row may belong to."""
+    return df.withColumn("_w", F.explode(_listed(weeks, settings))).select(*df.columns, "_w.*")
+
+
+def thin_candidates(df: DataFrame, weeks: Sequence[Week], settings: Settings) -> DataFrame:
+    """The rows that can survive the cap per store, before they are multiplied by weeks.
+
+    Rows of a product and store with the same first and last listed week belong to the same runs, so no more than the
+    first rows of such a share, up to the cap, can be among the first of any run. Map tasks cut their own rows first.
+    """
+    ends = F.transform(_listed(weeks, settings), lambda w: w["_end"])
+    marked = df.withColumn("_ends", ends).select(*df.columns, F.array_min("_ends").alias("_from"), F.array_max("_ends").alias("_to"))
+    share = ("product", "store", "_from", "_to")
+    return ranking.top_n(marked.where("_to IS NOT NULL"), share, [F.col("seq")], settings.max_reviews_per_product, "_turn").select(*df.columns)
 
 
 def window_start_filter(df: DataFrame, start) -> DataFrame:
@@ -126,7 +143,7 @@ def select_run_rows(reviews: DataFrame, weeks: Sequence[Week], settings: Setting
                     runs: DataFrame | None = None) -> DataFrame:
     """Which reviews each run keeps: caps, dedup and order, decided on slim rows without any text."""
     slim = reviews.select("product", "store", "id", "date", "seq")
-    seen = candidate_runs(slim, weeks, settings)
+    seen = candidate_runs(thin_candidates(slim, weeks, settings), weeks, settings)
     if runs is not None:
         seen = seen.join(runs.select(*RUN_KEY), list(RUN_KEY), "left_semi")
     capped = cap_per_store(seen, settings.max_reviews_per_product)
