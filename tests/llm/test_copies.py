@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -67,6 +68,64 @@ def test_suffix_dedup_removes_what_brute_force_removes(spark, block):
     assert got == brute_bytes(texts_of(docs), 100)
 
 
+def crowded(spark, n=400):
+    """Texts around one line of 40 bytes (many contexts of its grams), some with more in common, with copies of each kind, and periodic texts."""
+    draw = random.Random(5)
+    line = "".join(draw.choices("abcdefgh", k=40))
+    left, right = ("".join(draw.choices("ijkl", k=150)) for _ in range(2))
+    noise = lambda k: "".join(draw.choices("mnopqrstuvwxyz", k=k))
+    kinds = [
+        lambda: noise(120) + line + noise(120), lambda: noise(30) + left + line + noise(120), lambda: noise(120) + line + right + noise(30),
+        lambda: noise(90) + left[-20:] + line + right[:draw.randint(10, 60)] + noise(90), lambda: line * draw.randint(2, 6) + noise(9)]
+    rows = [(i, kinds[draw.choice([0, 0, 0, 0, 1, 2, 3, 4])]()) for i in range(n)]
+    rows += [(n + i, "x" + rows[i][1][60:250] + "y") for i in range(0, n, 10)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+
+
+@pytest.mark.parametrize("block,halvings", [(8192, 1), (3, 0), (3, 1), (1, 2)])
+def test_suffix_dedup_of_crowded_grams_removes_what_brute_force_removes(spark, block, halvings):
+    docs = crowded(spark)
+    got = {r.doc_id: tuple(r[1:5]) for r in suffix_dedup.remove_later_copies(docs, 100, block=block, halvings=halvings).collect()}
+    assert got == brute_bytes(texts_of(docs), 100)
+
+
+def test_suffix_dedup_blocks_of_a_gram_send_the_same_beside_each_other_and_apart():
+    """Two blocks of one gram hold the same 120 bytes: the strings of both stay open, also where one task has both blocks."""
+    text = bytes(range(120))
+    names = ["gram", "salt", "id", "place", "size", "bytes"]
+    rows = [pa.RecordBatch.from_arrays([
+        pa.array([5]), pa.array([salt], pa.int32()), pa.array([salt + 1]), pa.array([0]), pa.array([120], pa.int32()), pa.array([text])], names=names) for salt in (0, 1)]
+    sent = [[r for b in suffix_dedup._solve(iter(x), 100) for r in b.to_pylist()] for x in (rows, rows[:1], rows[1:])]
+    assert len(sent[0]) == 42 and sent[0] == sent[1] + sent[2] and all(r["print"] is not None for r in sent[0])
+
+
+def python_rows(df, column):
+    """Rows that Python made in the plan of `df`, which has run, where `column` is among their columns."""
+    todo, seen, total = [df._jdf.queryExecution().executedPlan()], set(), 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if node.id() in seen:
+            continue
+        seen.add(node.id())
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [
+            node.children().apply(i) for i in range(node.children().size())]
+        if kind == "MapInArrowExec" and column in [node.output().apply(i).name() for i in range(node.output().size())][3:]:
+            total += node.metrics().apply("pythonNumRowsReceived").value()
+    return total
+
+
+def test_suffix_dedup_sends_no_strings_of_a_gram_in_several_blocks_one_by_one(spark):
+    """A line of 40 bytes in texts that have nothing else in common: its grams have a context per text, no two of which share a string."""
+    draw = random.Random(6)
+    line = "".join(draw.choices("abcdefgh", k=40))
+    noise = lambda k: "".join(draw.choices("mnopqrstuvwxyz", k=k))
+    docs = spark.createDataFrame([(i, noise(150) + line + noise(150)) for i in range(500)], "doc_id long, text string")
+    found = suffix_dedup.remove_later_copies(docs, 100, block=16)
+    assert {r.n_removed for r in found.collect()} == {0}
+    assert python_rows(found, "print") < 500
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.binary(min_size=4, max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12), st.randoms())
 def test_longest_previous_factors(texts, draw):

@@ -9,10 +9,13 @@ a smaller position; bytes i to i + length go where LPF[i] >= length.
 2. Every occurrence of a repeated gram has a context: the strings that have this gram as their least. Contexts are exchanged without bytes, by
    gram and fingerprint; equal ones of a slice of texts before that. All but the first of equal contexts are copies as a whole.
 3. A context that is the only one of its gram shares nothing else. Of the others, one representative per distinct context sends its bytes to its
-   gram's block; a gram with very many distinct contexts has several blocks.
+   gram's block. A gram with very many distinct contexts is divided: equal strings hold it at the same place, so its strings are dealt by halves
+   of these places, and all strings of a half hold the same bytes around the gram (its core). Cores take the gram's place in steps 2 and 3, and
+   are divided again if they have very many distinct contexts.
 4. A block sorts the suffixes of its contexts up to ``length`` bytes, takes the common prefixes of neighbours, the previous and next
    smaller position of each suffix, and from both its longest previous factor, which decides.
-5. Strings that are first in one of several blocks of a gram are counted once more by fingerprint, across blocks.
+5. Cores that still have very many after the last division get several blocks; what is first in one of these is counted once more by
+   fingerprint, across blocks.
 6. Removed strings go back to the texts. Steps 2, 3 and 6 meet the texts in one exchange of these.
 
 Defined results: null is the empty text; positions compare by document, then start; a null id comes after all others; rows that share
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +35,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from voxloom.llm import kernels as K
 from voxloom.llm.keyed import keyed, lists, named
 
-#: Bytes of the grams; bytes of text of a kernel call; distinct contexts of a gram per block; contexts whose suffixes are sorted together.
-GRAM, BYTES, BLOCK, CHUNK = 24, 1 << 18, 8192, 4096
+#: Bytes of the grams; bytes of text of a kernel call; distinct contexts of a gram per block; contexts whose suffixes are sorted together;
+#: divisions of a gram with more contexts than a block has, into 2, 4, .. cores (of 62, 81, .. bytes for strings of 100). Each division
+#: doubles the plan.
+GRAM, BYTES, BLOCK, CHUNK, HALVINGS = 24, 1 << 18, 8192, 4096, 1
 _START_BITS = 40
 #: The bits of fingerprints that travel. Two grams that share them send contexts in vain; contexts are equal where 96 bits are, gram and all.
 _COUNTED = np.uint64((1 << 48) - 1)
 
 
-def remove_later_copies(docs: DataFrame, length: int = 100, gram: int = GRAM, block: int = BLOCK, id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_later_copies(
+        docs: DataFrame, length: int = 100, gram: int = GRAM, block: int = BLOCK, id: str = "doc_id", text: str = "text", halvings: int = HALVINGS) -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans` per row of `docs`; `spans` are the maximal removed byte runs."""
     source = keyed(docs, id, text)
     marks = source.mapInArrow(lambda b: _marks(b, length, gram), "gram long, id long, spot long")
@@ -47,36 +54,45 @@ def remove_later_copies(docs: DataFrame, length: int = 100, gram: int = GRAM, bl
     known = marks.select(F.expr("~gram").alias("key"), "id", "spot").join(counts, "key").select(
         "id", F.shiftright("spot", 32).cast("int").alias("sub"), F.col("spot").bitwiseAND((1 << 31) - 1).cast("int").alias("nth")).repartition("id", "sub").groupBy("id", "sub").agg(
         F.collect_set("nth").alias("known"))
-    contexts = source.join(known, ["id", "sub"]).select("id", "sub", "text", "known").mapInArrow(
-        lambda b: _contexts(b, length, gram),
-        "gram long NOT NULL, print long NOT NULL, id long NOT NULL, place long NOT NULL, size int NOT NULL, again boolean NOT NULL").repartition("gram", "print")
+    row = "gram long NOT NULL, print long NOT NULL, id long NOT NULL, place long NOT NULL, size int NOT NULL, again boolean NOT NULL"
+    contexts = source.join(known, ["id", "sub"]).select("id", "sub", "text", "known").mapInArrow(lambda b: _contexts(b, length, gram), row)
     at = F.struct("id", "place")
-    equal = Window.partitionBy("gram", "print").orderBy("id", "place", "size")
-    # One exchange serves three uses as long as nothing is filtered or pruned below it for one of them: no column can be null, all are in
-    # the window, and lag marks the first row, since Spark cuts by row_number before the exchange
-    ranked = contexts.withColumn("first", F.first(at).over(equal)).withColumn("prior", F.lag("id").over(equal))
-    copies = ranked.where(F.col("again") | (at != F.col("first"))).select("id", "place", "size")
-    distinct = ranked.where("NOT again AND prior IS NULL").select("gram", "print", "id", "place", "size")
-    several = distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.expr("~gram").alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sub = F.shiftrightunsigned("place", _START_BITS).cast("int")
+    removed, sent = [], []
+    for level in range(halvings + 1):
+        equal = Window.partitionBy("gram", "print").orderBy("id", "place", "size")
+        # One exchange serves all uses as long as nothing is filtered or pruned below it for one of them: no column can be null, all are in
+        # the window, and lag marks the first row, since Spark cuts by row_number before the exchange
+        ranked = contexts.repartition("gram", "print").withColumn("first", F.first(at).over(equal)).withColumn("prior", F.lag("id").over(equal))
+        removed.append(ranked.where(F.col("again") | (at != F.col("first"))).select("id", "place", "size"))
+        distinct = ranked.where("NOT again AND prior IS NULL").select("gram", "print", "id", "place", "size")
+        several = distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
+            F.expr("~gram").alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        sharing = distinct.select(F.expr("~gram").alias("key"), "print", "id", "place", "size").join(several, "key")
+        if level == halvings:
+            sent.append(sharing)
+            break
+        sent.append(sharing.where("blocks = 1"))
+        crowded = sharing.where("blocks > 1").groupBy("id", sub.alias("sub")).agg(F.collect_list(F.struct("print", "place", "size")).alias("asked"))
+        contexts = source.join(crowded, ["id", "sub"]).select("id", "text", *(F.col(f"asked.{c}").alias(c) for c in ("print", "place", "size"))).mapInArrow(
+            lambda b, n=2 << level: _cores(b, length, gram, n), row)
     # blocks of a gram that has one only are salt -1
     salt = F.when(F.col("blocks") > 1, F.pmod(F.shiftrightunsigned("print", 17), "blocks")).otherwise(-1).cast("int")
-    sub = F.shiftrightunsigned("place", _START_BITS).cast("int")
-    asked = distinct.select(F.expr("~gram").alias("key"), "print", "id", "place", "size").join(several, "key").groupBy("id", sub.alias("sub")).agg(
+    asked = reduce(DataFrame.unionByName, sent).groupBy("id", sub.alias("sub")).agg(
         F.collect_list(F.struct(F.expr("~key").alias("gram"), salt.alias("salt"), "print", "place", "size")).alias("asked"))
     pieces = source.join(asked, ["id", "sub"]).select(
-        "id", "text", *(F.col(f"asked.{c}").alias(c) for c in ("gram", "salt", "print", "place", "size"))).mapInArrow(
+        "id", "text", *(F.col(f"asked.{c}").alias(c) for c in ("print", "place", "size", "gram", "salt"))).mapInArrow(
         _pieces, "gram long, salt int, id long, place long, size int, bytes binary")
     # a hash of both, so that the blocks of one gram are dealt apart
     dealt = pieces.repartition(F.col("gram"), F.col("salt")).sortWithinPartitions("gram", "salt")
     solved = dealt.mapInArrow(lambda b: _solve(b, length), "id long, place long, size int, print long")
-    done = solved.where("print IS NULL").select("id", "place", "size")
+    removed.append(solved.where("print IS NULL").select("id", "place", "size"))
     # a block sends a string once, so a fingerprint has one row per block of its gram at most
     first = F.first(at).over(Window.partitionBy("print").orderBy("id", "place"))
-    later = solved.where("print IS NOT NULL").withColumn("first", first).where(at != F.col("first")).select("id", "place", "size")
-    removed = copies.unionByName(done).unionByName(later).groupBy("id", sub.alias("sub")).agg(F.collect_list(F.struct(
+    removed.append(solved.where("print IS NOT NULL").withColumn("first", first).where(at != F.col("first")).select("id", "place", "size"))
+    cuts = reduce(DataFrame.unionByName, removed).groupBy("id", sub.alias("sub")).agg(F.collect_list(F.struct(
         F.col("place").bitwiseAND((1 << _START_BITS) - 1).alias("start"), F.col("size").alias("size"))).alias("cuts"))
-    return source.join(removed, ["id", "sub"], "left").select("id", "sub", "text", F.col("cuts.start").alias("starts"), F.col("cuts.size").alias("sizes")).mapInArrow(
+    return source.join(cuts, ["id", "sub"], "left").select("id", "sub", "text", F.col("cuts.start").alias("starts"), F.col("cuts.size").alias("sizes")).mapInArrow(
         _cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>").select(
         named().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
@@ -100,11 +116,7 @@ def _marks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The strings that have a repeated gram as their least, one row per occurrence: from the first string's start to the last one's end.
-
-    Of equal contexts of a slice the one of the smallest position stands for all; the others are known to be later copies (`again`) and travel
-    under a key of their own, unless they have that position too (a repeated row).
-    """
+    """The strings that have a repeated gram as their least, one row per occurrence: from the first string's start to the last one's end."""
     for batch in batches:
         ids, subs = np.array(batch.column(0)), np.array(batch.column(1)).astype(np.int64)
         for part in K.slices(batch.column(2), BYTES):
@@ -131,41 +143,93 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             last = np.concatenate([fresh[1:] - 1, [len(start) - 1]])
             lo, hi, code = start[fresh], start[last] + length, code[fresh]
             row = np.searchsorted(part.offsets, lo, "right") - 1
-            print_ = K.prints(part.data, lo, hi) & _COUNTED
             place = subs[row + part.lo] << _START_BITS | (lo - part.offsets[row])
-            key = ids[row + part.lo]
-            order = np.lexsort((place, key, print_))
-            fresh = np.concatenate([[True], print_[order[1:]] != print_[order[:-1]]])
-            head = np.empty(len(order), np.int64)
-            head[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            again = (key != key[head]) | (place != place[head])
-            once = again | (head == np.arange(len(head)))
-            lo, hi, code, print_, place, key, again = (x[once] for x in (lo, hi, code, print_, place, key, again))
-            # what has been decided goes by its position
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.where(again, place, (values[code] & _COUNTED).view(np.int64))), pa.array(np.where(again, key, print_.view(np.int64))), pa.array(key), pa.array(place), pa.array((hi - lo).astype(np.int32)),
-                pa.array(again)], names=["gram", "print", "id", "place", "size", "again"])
+            yield _collapsed(part, values[code], ids[row + part.lo], place, lo, hi)
+
+
+def _collapsed(part: K.Slice, gram: np.ndarray, key: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Rows of the contexts from `lo` to `hi` of a slice; `key` has their ids.
+
+    Of equal contexts of a slice the one of the smallest position stands for all; the others are known to be later copies (`again`) and travel
+    under a key of their own, unless they have that position too (a repeated row).
+    """
+    print_ = K.prints(part.data, lo, hi) & _COUNTED
+    order = np.lexsort((place, key, print_))
+    fresh = np.concatenate([[True], print_[order[1:]] != print_[order[:-1]]])[:len(order)]
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    again = (key != key[head]) | (place != place[head])
+    once = again | (head == np.arange(len(head)))
+    size = (hi - lo).astype(np.int32)
+    gram, print_, place, key, size, again = (x[once] for x in (gram, print_, place, key, size, again))
+    # what has been decided goes by its position
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.where(again, place, (gram & _COUNTED).view(np.int64))), pa.array(np.where(again, key, print_.view(np.int64))), pa.array(key), pa.array(place), pa.array(size),
+        pa.array(again)], names=["gram", "print", "id", "place", "size", "again"])
+
+
+def _asked(batch: pa.RecordBatch, part: K.Slice) -> tuple[np.ndarray, ...]:
+    """Row, place, start and end of the contexts asked of a slice, and which of the asked they are: what does not bear its fingerprint
+    belongs to another text of the same id and sub."""
+    print_, owner = lists(batch.column(2), part.lo, len(part))
+    place, size = (lists(batch.column(c), part.lo, len(part))[0] for c in (3, 4))
+    lo = (place & ((1 << _START_BITS) - 1)) + part.offsets[owner]
+    hi = lo + size
+    good = np.flatnonzero(hi <= part.offsets[owner + 1])
+    good = good[K.prints(part.data, lo[good], hi[good]) & _COUNTED == print_[good].view(np.uint64)]
+    return owner[good] + part.lo, place[good], lo[good], hi[good], good
+
+
+def _cores(batches: Iterator[pa.RecordBatch], length: int, gram: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Contexts divided by where their strings hold the gram: `parts` ranges of places, each with a key of its own.
+
+    Equal strings hold their least gram first at the same place, so they fall into one range, and they agree in all bytes that every string of
+    this range holds around the gram. These bytes, the core, are the key. A context has one piece per range at most.
+    """
+    edges = sorted({(length - gram + 1) * k // parts for k in range(parts + 1)})
+    for batch in batches:
+        ids = np.array(batch.column(0))
+        for part in K.slices(batch.column(1), BYTES):
+            row, place, lo, hi, _ = _asked(batch, part)
+            if not len(row):
+                continue
+            _, grams = _grams(part, gram)
+            # the first least of the grams that all strings of a context hold is the one they have as their least
+            anchor = np.empty(len(lo), np.int64)
+            for k in range(0, len(lo), CHUNK):
+                spot = lo[k:k + CHUNK, None] + np.arange(length - gram + 1)
+                common = spot >= (hi[k:k + CHUNK] - length)[:, None]
+                anchor[k:k + CHUNK] = lo[k:k + CHUNK] + np.where(common, grams[spot], np.iinfo(np.uint64).max).argmin(axis=1)
+            most, fewest = anchor - lo, anchor - (hi - length)
+            found = []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                some = np.flatnonzero((fewest < end) & (most >= begin))
+                start = anchor[some] - np.minimum(most[some], end - 1)
+                stop = anchor[some] - np.maximum(fewest[some], begin) + length
+                core = K.prints(part.data, anchor[some] - begin, anchor[some] + length + 1 - end)
+                found.append((core, ids[row[some]], place[some] + start - lo[some], start, stop))
+            yield _collapsed(part, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the asked contexts; what does not bear its fingerprint belongs to another text of the same id and sub."""
+    """The bytes of the asked contexts."""
     for batch in batches:
         ids = np.array(batch.column(0))
         for part in K.slices(batch.column(1), BYTES):
-            gram, owner = lists(batch.column(2), part.lo, len(part))
-            salt, print_, place, size = (lists(batch.column(c), part.lo, len(part))[0] for c in (3, 4, 5, 6))
-            lo = (place & ((1 << _START_BITS) - 1)) + part.offsets[owner]
-            hi = lo + size
-            good = np.flatnonzero(hi <= part.offsets[owner + 1])
-            good = good[K.prints(part.data, lo[good], hi[good]) & _COUNTED == print_[good].view(np.uint64)]
+            row, place, lo, hi, good = _asked(batch, part)
+            gram, salt = (lists(batch.column(c), part.lo, len(part))[0][good] for c in (5, 6))
             yield pa.RecordBatch.from_arrays([
-                pa.array(gram[good]), pa.array(salt[good]), pa.array(ids[owner[good] + part.lo]), pa.array(place[good]), pa.array(size[good]),
-                pa.array([part.data[a:b].tobytes() for a, b in zip(lo[good].tolist(), hi[good].tolist(), strict=True)], pa.binary())],
+                pa.array(gram), pa.array(salt), pa.array(ids[row]), pa.array(place), pa.array((hi - lo).astype(np.int32)),
+                pa.array([part.data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())],
                 names=["gram", "salt", "id", "place", "size", "bytes"])
 
 
 def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Blocks come one after the other; whole blocks are solved together, about CHUNK contexts at a time."""
+    """Blocks come one after the other; whole blocks are solved together, about CHUNK contexts at a time.
+
+    Several blocks of one gram are solved one by one: this runs once for what is decided and once for what is not, in tasks that adaptive
+    execution may cut differently, and what a block sends must not depend on its neighbours in a task.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
@@ -177,10 +241,18 @@ def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             if not ready:
                 held = table.to_batches()
                 break
-            yield _block(table.slice(0, ready), length)
+            yield from _blocks(table.slice(0, ready), length)
             held = table.slice(ready).to_batches()
     if held and sum(b.num_rows for b in held):
-        yield _block(pa.Table.from_batches(held), length)
+        yield from _blocks(pa.Table.from_batches(held), length)
+
+
+def _blocks(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    gram, salt = (np.array(table.column(c)) for c in ("gram", "salt"))
+    several = salt >= 0
+    edge = np.flatnonzero(((gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])) & (several[1:] | several[:-1])) + 1
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(gram)], strict=True):
+        yield _block(table.slice(lo, hi - lo), length)
 
 
 def _rows(ids: np.ndarray, place: np.ndarray, size: np.ndarray, print_: np.ndarray | None) -> pa.RecordBatch:
